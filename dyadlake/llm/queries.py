@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import decontaminate, fingerprint, langid
 from . import shared as S
 
 
@@ -21,5 +21,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {"op9_language_id": op9_language_id}
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and their likeness."""
+    return fingerprint.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that lie within benchmark windows."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.report(docs, bench, keep=["doc_id"])
+
+
+QUERIES = {"op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
 ORACLE_SQL: dict[str, str] = {}
