@@ -1,11 +1,11 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over the last seven bytes ends a piece wherever its low bits are zero; the number of zero bits needed is
-the block size (its logarithm, the level). A text's level is the smallest from ``LEAST`` up at which it has at most ``PIECES`` pieces, so every byte of
-every text counts and no signature is cut. Each piece gives one character; the fingerprint is the level and the signatures at that level and the next:
+the block size (its logarithm, the level). A text's level follows from its length in bytes, so that about ``PIECES``/2
+to ``PIECES`` pieces are to be expected; every byte of every text counts and no signature is cut. Each piece gives one character; the fingerprint is the level and the signatures at that level and the next:
 ``level:signature:signature``. Two fingerprints are compared at equal block sizes, those of the same or the
 neighbouring level, by edit distance (insertions and deletions), 1 for equal signatures; signatures without a common
-run of ``RUN`` characters count as unlike.
+run of ``RUN`` characters (half of a shorter signature) count as unlike.
 
 Fingerprints are made in a map. The comparison with the next document takes one range shuffle by id, of compressed
 texts, whose boundaries are ids of documents: the first document of a range also goes to the end of the range before it, so each
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-PIECES = 64
+PIECES = 48
 LEAST = 2
 WINDOW = 7
 RUN = 4
@@ -87,18 +87,17 @@ def signature(place: np.ndarray, level: np.ndarray, before: np.ndarray, least: i
 
 def fingerprint(data: bytes) -> str:
     place, level, before = boundaries(data)
+    best = max(LEAST, (len(data) // PIECES).bit_length())
     if not len(place):
-        return f"{LEAST}::"
-    counts = np.bincount(level, minlength=66)[::-1].cumsum()[::-1]  # pieces at each level
-    best = int(np.argmax(counts[LEAST:] <= PIECES)) + LEAST
-    return f"{best}:{signature(place, level, before, best)}:{signature(place, level, before, min(best + 1, 64))}"
+        return f"{best}::"
+    return f"{best}:{signature(place, level, before, best)}:{signature(place, level, before, best + 1)}"
 
 
 def alike(a: str, b: str) -> float:
     """1 - edit distance over the summed lengths, by the bit-parallel longest common subsequence."""
     if a == b:
         return 1.0
-    run = min(RUN, len(a), len(b))
+    run = min(RUN, (min(len(a), len(b)) + 1) // 2)
     if not run or not any(a[i : i + run] in b for i in range(len(a) - run + 1)):
         return 0.0
     places: dict[str, int] = {}

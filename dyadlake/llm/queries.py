@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid
+from . import decontaminate, fingerprint, langid, packing
 from . import shared as S
 
 
@@ -32,5 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(docs, bench, keep=["doc_id"])
 
 
-QUERIES = {"op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+
+
+QUERIES = {"op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
 ORACLE_SQL: dict[str, str] = {}
