@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("mail_words", "number", "local_phone", "ssn", "iban", "secret")
+ADDED = ("mail_words", "number", "local_phone", "ssn", "iban")
 KINDS = BASE + ADDED
 LEAST = 0.8
 ROUNDS = 50
@@ -41,13 +41,12 @@ _MORE = {
     "local_phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\) ?|0)[0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-]?[0-9]{2,4}){0,2}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "secret": re.compile(r"(?i)(?<!\w)(?:api[_-]?key|token|secret|passw(?:or)?d)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,})"),
 }
 #: Words that speak for a kind, then words that speak against any.
 _FOR = {
     "email": "mail e-mail email contact correo courriel write schreiben", "mail_words": "mail e-mail email contact correo courriel", "ip": "ip host server address adresse dirección", "card": "card visa mastercard amex karte tarjeta carte credit",
     "number": "card visa mastercard amex karte tarjeta carte credit account konto", "phone": "phone tel call mobile fax telefon teléfono téléphone", "local_phone": "phone tel call mobile fax telefon teléfono téléphone", "ssn": "ssn social security",
-    "iban": "iban bank konto cuenta compte account", "secret": "api key token secret password",
+    "iban": "iban bank konto cuenta compte account",
 }
 _AGAINST = frozenset("version isbn order invoice figure table page chapter build serial item section".split())
 _CONTEXT = {k: frozenset(v.split()) for k, v in _FOR.items()}
@@ -113,7 +112,7 @@ def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
         if has_digit or kind == "mail_words" and ("(at)" in text or "[at]" in text):
             out += [(kind, *m.span(m.lastindex or 0)) for m in pattern.finditer(text)]
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    return [(k, a, b, votes(text, k, a, b, any(abs(a - c) < 80 for j in (i - 1, i + 1) if 0 <= j < len(out) for c in [out[j][1]]))) for i, (k, a, b) in enumerate(out)]
+    return [(k, a, b, votes(text, k, a, b, any(a - 80 < y <= a or b <= x < b + 80 for _, x, y in out[max(0, i - 2) : i + 3]))) for i, (k, a, b) in enumerate(out)]
 
 
 def votes(text: str, kind: str, a: int, b: int, near: bool) -> tuple[int, ...]:
@@ -130,11 +129,9 @@ def votes(text: str, kind: str, a: int, b: int, near: bool) -> tuple[int, ...]:
         strict, known = (1 if 9 <= len(d) <= 15 else -1), (0 if kind == "local_phone" else 1 if d.startswith(_DIAL) else -1)
     elif kind == "ssn":
         strict, known = (-1 if d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000" else 1), 0
-    elif kind == "iban":
+    else:
         flat = span.replace(" ", "")
         strict, known = 1 if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else -1, 1 if flat[:2] in _IBAN else -1
-    else:
-        strict, known = 1 if d and len(set(span)) > 7 else -1, 0
     edge = not (a and (text[a - 1].isalnum() or text[a - 1] in "._-") or b < len(text) and (text[b].isalnum() or text[b] in "_-"))
     return strict, known, 1 if words & _CONTEXT[kind] else 0, -1 if words & _AGAINST else 0, 1 if near else 0, 1 if edge else -1, min((b - a) // 8, 7)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, packing, pii
+from . import decontaminate, fingerprint, langid, neardup, packing, pii
 from . import shared as S
 
 
@@ -42,5 +42,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_personal_data": op8_personal_data, "op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, over shingles of four words."""
+    return neardup.classes(table(spark, sf_dir, "documents"), size=4)
+
+
+QUERIES = {"op10_near_duplicates": op10_near_duplicates, "op8_personal_data": op8_personal_data, "op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
 ORACLE_SQL: dict[str, str] = {}
