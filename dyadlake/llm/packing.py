@@ -6,8 +6,8 @@ what is left is cut into near-equal pieces of at most ``PIECE`` ids. Each task p
 until one partition into k near-equal windows is left; k starts at the least possible number and rises while a window
 exceeds the capacity. Nothing is shuffled; a task holds one block of pieces (not their ids) and one chunk of texts.
 
-Only different words of a chunk go through the tokenizer, a bounded cache of words staying from chunk to chunk; that is exact for
-a tokenizer that drops white space, since its pieces never reach across it.
+Only different units of a chunk (runs of letters, or of other signs; words with apostrophes or rarer letters whole) go
+through the tokenizer, a bounded cache of them staying from chunk to chunk.
 
 Defined results: a null or empty text is the end id alone; rows of one id are packed each; an empty table has no
 pieces. sequence_id is partition * 2^33 + a running number, offset runs gapless from 0 in every sequence.
@@ -16,6 +16,7 @@ pieces. sequence_id is partition * 2^33 + a running number, offset runs gapless
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -29,45 +30,100 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 WINDOW = 2048
-PIECE = 512
+SHARE = 0.9
+LEAST = 8
 BLOCK = 1 << 21
-CACHE = 200_000
+CACHE = 600_000
 END = 1
 FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
+#: Bytes of a unit: 0 white space, 1 letters A-Z, a-z and those of two bytes after C3, 2 other ASCII; 3 the apostrophe and all other bytes.
+_CLASS = bytes(0 if b == 0x20 or 9 <= b <= 13 else 1 if chr(b).isascii() and chr(b).isalpha() or b == 0xC3 or 0x80 <= b <= 0xBF else 3 if b == 0x27 or b > 0x7F else 2 for b in range(256))
+
+
 class Encoder:
-    """Token ids of many texts at once, by the tokenizer file at ``path``."""
+    """Token ids of many texts at once, by the tokenizer file at ``path``, for tokenizers that lower-case, drop white space, and keep letters, digits and the rest apart."""
 
     def __init__(self, path: str, end: int = END):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.known: dict[int, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # hashes of known units, ascending
+        self.begin = self.size = np.zeros(0, np.int64)  # where their ids are in flat
+        self.flat = np.zeros(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, units: list[str], plain: np.ndarray) -> None:
+        """Adds the ids of new units. Plain ones, of letters only, are one word each to the tokenizer, so many go through it together."""
+        sizes = np.zeros(len(units), np.int64)
+        found: list[np.ndarray] = []
+        for kind in (True, False):
+            which = np.flatnonzero(plain == kind)
+            if kind:
+                lines = [" ".join([units[k] for k in which[i : i + 500].tolist()]) for i in range(0, len(which), 500)]
+                ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+                flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+                stops = np.flatnonzero(self.word_end[flat]) + 1
+                if len(stops) != len(which):  # not such a tokenizer: one by one
+                    plain = np.zeros(len(units), bool)
+                    continue
+                sizes[which] = np.diff(stops, prepend=0)
+            else:
+                ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([units[k] for k in which.tolist()], add_special_tokens=False)]
+                flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+                sizes[which] = [len(x) for x in ids]
+            found.append((which, flat))
+        begins = np.zeros(len(units), np.int64)
+        at = len(self.flat)
+        for which, flat in found:
+            own = sizes[which]
+            begins[which] = at + np.cumsum(own) - own
+            at += len(flat)
+        self.flat = np.concatenate([self.flat, *(f for _, f in found)])
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys)
+        self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begins])[order], np.concatenate([self.size, sizes])[order]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and where each text begins in them."""
-        words = S.Words(texts, S.NOT_SPACE, lower=False)
+        lower = not any("<|" in t for t in texts)  # special tokens stand in a text as they are, and only so
+        words = S.Words(texts, S.NOT_SPACE, lower=lower)
+        kind = np.frombuffer(words.data.translate(_CLASS), np.uint8)
+        view = np.frombuffer(words.data, np.uint8)
+        odd = kind == 3
+        after = np.flatnonzero(view == 0xC3) + 1
+        odd[after] = (view[after] == 0x97) | (view[after] == 0xB7)  # the two signs among the letters
+        stray = (view >= 0x80) & (view <= 0xBF)
+        stray[after] = False
+        odd |= stray
+        bad = np.zeros(len(view) + 1, np.int32)
+        np.cumsum(odd, out=bad[1:])
+        safe = bad[words.ends] == bad[words.starts]
+        cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        if not lower:
+            cut = cut[:0]
+        cut = cut[safe[np.searchsorted(words.starts, cut, "right") - 1]]
+        words.cut_at(cut)
+        plain = (kind[words.starts] == 1) & (bad[words.ends] == bad[words.starts]) & lower
         unique, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(range(len(keys)))
-        fresh: dict[int, np.ndarray] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for k, e in zip(part, self.tokenizer.encode_batch_fast([words.word(int(at[k])) for k in part], add_special_tokens=False), strict=True):
-                fresh[keys[k]] = np.array(e.ids, np.uint32)
-        known = self.known
-        if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-            fresh = known
-        ids = [fresh[h] if h in fresh else known[h] for h in keys] + [np.array([self.end], np.uint32)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.concatenate(ids)
-        order = np.insert(inverse, words.first[1:], len(keys))  # the end after each text's words
+        if len(self.keys) > CACHE:
+            self.forget()
+        place = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            self.learn(unique[new], [words.word(k) for k in at[new].tolist()], plain[at[new]])
+        place = np.searchsorted(self.keys, unique)
+        begins, sizes = self.begin[place], self.size[place]
+        flat = np.concatenate([self.flat, np.array([self.end], np.uint32)])
+        begins, sizes = np.append(begins, len(self.flat)), np.append(sizes, 1)
+        order = np.insert(inverse, words.first[1:], len(unique))  # the end after each text's units
         counts = sizes[order]
         ends = np.cumsum(counts)
         stream = flat[np.repeat(begins[order] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
@@ -75,13 +131,15 @@ class Encoder:
         return stream, np.concatenate([[0], ends[last]])
 
 
-def pieces(ids: np.ndarray, window: int, piece: int) -> list[tuple[int, int, int]]:
-    """(start, length, crc32) of a document's pieces: whole windows, then near-equal pieces of the rest."""
+def pieces(ids: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(start, length, crc32) of a document's pieces: whole windows, then falling shares of the rest."""
     n = len(ids)
-    whole = n - n % window
-    rest = n - whole
-    parts = -(-rest // piece)
-    cuts = [*range(0, whole, window), *(whole + rest * k // parts for k in range(parts)), n]
+    cuts = list(range(0, n - n % window, window))
+    at = n - n % window
+    while at < n:
+        cuts.append(at)
+        at = n if n - at <= LEAST else at + int((n - at) * SHARE)
+    cuts.append(n)
     raw = ids.astype("<u4").tobytes()
     return [(a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -142,7 +200,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k * (worst - capacity) // (2 * capacity))
 
 
-def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, piece: int = PIECE, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
     """One row for each piece: ``keep`` (default: doc_id), start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ``ids`` if asked for.
 
     ``path`` is the tokenizer's file. Columns of ``keep`` must not have the names of the added ones.
@@ -191,7 +249,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
                 whole = []
                 for d in range(j - i):
                     ids = stream[begins[d] : begins[d + 1]]
-                    for p in pieces(ids, window, piece):
+                    for p in pieces(ids, window):
                         own = ids[p[0] : p[0] + p[1]].tolist() if with_ids else None
                         if p[1] == window:
                             whole.append((first + d, *p, len(ids), base + serial, 0, *([own] if with_ids else [])))

@@ -154,6 +154,16 @@ class Words:
         edges = np.flatnonzero(flags[1:] != flags[:-1]) + 1
         self.starts, self.ends = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.starts, at + 1)
+        self._hash()
+
+    def cut_at(self, places: np.ndarray) -> None:
+        """Cuts words at byte places within them."""
+        self.starts = np.sort(np.concatenate([self.starts, places]))
+        self.ends = np.sort(np.concatenate([self.ends, places]))
+        self.first = np.searchsorted(self.starts, self.begins)
+        self._hash()
+
+    def _hash(self) -> None:
         view = np.frombuffer(self.data, np.uint8)
         if len(view) <= CHUNK:
             self.hashes = span_hashes(prefix_sums(view), self.starts, self.ends)
