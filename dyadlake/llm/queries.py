@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, neardup, packing, pii
+from . import chat_format, decontaminate, fingerprint, html_extract, langid, neardup, packing, pii, url_filter
 from . import shared as S
 
 
@@ -47,5 +47,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {"op10_near_duplicates": op10_near_duplicates, "op8_personal_data": op8_personal_data, "op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL; the trees learn from URLs labelled by seed words in their hosts."""
+    pages = table(spark, sf_dir, "pages")
+    host, _ = url_filter.split(F.col("url"))
+    labelled = pages.select("url", url_filter.seed_label(host).alias("label"))
+    found = url_filter.judge(pages.select("page_id", "url"), url_filter.train(labelled))
+    return found.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.train(pages), keep=["page_id", "url"])
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one whose texts hold the template's control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.segments(turns.unionByName(probe)))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_html_extraction": op2_html_extraction, "op5_chat_formatting": op5_chat_formatting, "op10_near_duplicates": op10_near_duplicates, "op8_personal_data": op8_personal_data, "op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
 ORACLE_SQL: dict[str, str] = {}
