@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, html_extract, langid, neardup, packing, pii, url_filter
+from . import chat_format, decontaminate, fingerprint, html_extract, langid, lm_score, neardup, packing, pii, url_filter
 from . import shared as S
 
 
@@ -69,5 +69,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.segments(turns.unionByName(probe)))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_html_extraction": op2_html_extraction, "op5_chat_formatting": op5_chat_formatting, "op10_near_duplicates": op10_near_duplicates, "op8_personal_data": op8_personal_data, "op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learned from those whose fold isn't 2."""
+    return lm_score.score(table(spark, sf_dir, "documents"), S.crc_fold("doc_id", 7) != 2)
+
+
+QUERIES = {"op4_lm_scoring": op4_lm_scoring, "op1_url_filter": op1_url_filter, "op2_html_extraction": op2_html_extraction, "op5_chat_formatting": op5_chat_formatting, "op10_near_duplicates": op10_near_duplicates, "op8_personal_data": op8_personal_data, "op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
 ORACLE_SQL: dict[str, str] = {}
