@@ -2,16 +2,17 @@
 
 Each of ``PERMUTATIONS`` hash orders of a document's word shingles gives two signature values, its minimum and its
 maximum; ``ROWS`` of them form a band. Documents that share a band are candidates, a pair of similarity 0.8 being missed
-with probability (1 - 0.8^5)^36, under one in a million. What follows is exact:
+with probability (1 - 0.8^5)^36, under one in a million. What follows loses no candidate and never lists a group's pairs:
 
-1. Documents with equal sets become one class, so copies never form pairs.
-2. In each bucket of a band every class is tried against the bucket's smallest id and its neighbour by size: a number of
-   pairs linear in the rows. One-byte sketches drop pairs far below the limit (by five standard errors), the full sets confirm the rest.
-3. Connected components of the confirmed links; then every pair of a bucket that lies in two components and passes the
-   sketches is confirmed too. Pairs within one component need no test, so no link is lost and no group is expanded into its pairs.
+1. Documents with equal sets become one class.
+2. Each bucket of a band is joined up by a spanning forest of the pairs whose one-byte sketches come within five standard errors
+   of the limit: fewer edges than rows. The components of all these edges are the clusters; no link leaves one.
+3. A cluster's full sets are brought together, each once, and compared exactly; a spanning forest of the true links
+   is kept, whose components are the result.
 
-Sets are remade for the documents that need them, found by a bitmap of fixed size over their ids; a large bucket is split into blocks whose pairs
-are separate groups. Components are found by alternating large and small stars. Results between steps are written to the shared folder.
+Large buckets and clusters are split into blocks of bounded size, every two blocks being a group of their own. Sets are remade for the
+documents in clusters, found by a bitmap of fixed size over their ids. Components are found by alternating large and small
+stars. Results between steps are written to the shared folder.
 
 Defined results: a null text, and one without words, has an empty set (n_shingles 0) and is linked with nothing; a text
 of fewer words than a shingle has one. Equal ids are taken for one document; a null id only joins its exact copies, and is never removed.
@@ -25,7 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared as S
@@ -33,7 +34,7 @@ from . import shared as S
 PERMUTATIONS = 90
 ROWS = 5
 BITS = 1 << 25
-GROUP = 4096
+GROUP, ITEMS = 2048, 1_500_000
 NEAR = 0.65
 
 _rng = np.random.default_rng(7)
@@ -115,89 +116,114 @@ def components(edges: DataFrame) -> DataFrame:
     return S.materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
 
 
-def likely(edges: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose sizes and sketches allow the similarity."""
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    sized = edges.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+def blocked(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """The rows dealt into groups (key, x, y) for every two blocks of a key, sorted by group. ``blocks``: the key's number of blocks."""
+    rows = rows.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    return rows.drop("other", "g", "block").repartition(key, "x", "y").sortWithinPartitions(key, "x", "y")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The values of the rows of each group, by column; the first three columns tell groups apart."""
+
+    def rows() -> Iterator[tuple]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= NEAR))
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    for _, group in groupby(rows(), key=lambda r: r[:3]):
+        yield list(zip(*group, strict=True))[3:]
+
+
+def spanning(n: int, near) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs for which ``near(i, others)`` holds; pairs already joined up aren't asked for."""
+    root = np.arange(n)
+    out = []
+    for i in range(n):
+        others = np.flatnonzero(root != root[i])
+        if not len(others):
+            break
+        for j in others[near(i, others)].tolist():
+            if root[i] != root[j]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def edge_batch(rep: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    i, j = np.array(edges).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+
+
+def forest(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Edges that join up each bucket's members wherever sizes and sketches allow the similarity. ``buckets``: key, rep, m (the bucket's size)."""
 
-    return sized.mapInArrow(test, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, n, sketch in groups(batches):
+            rep, n = np.array(rep, np.int64), np.array(n, np.int64)
+            s = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rep), -1)
+            near = lambda i, o, n=n, s=s: (100 * np.minimum(n[o], n[i]) >= percent * np.maximum(n[o], n[i])) & ((s[o] == s[i]).mean(1) >= NEAR)
+            edges = spanning(len(rep), near)
+            if edges:
+                yield edge_batch(rep, edges)
+
+    rows = blocked(buckets.join(reps.select("rep", "n", "sketch"), "rep"), "key", F.ceil(F.col("m") / GROUP).cast("int"))
+    return rows.select("key", "x", "y", "rep", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(edges: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The edges whose full sets are that similar. ``docs``: doc_id, text."""
-    ends = edges.select(F.col("a").alias("rep")).union(edges.select("b")).distinct().join(reps.select("rep", "digest"), "rep")
-    ends = S.materialize(ends)
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(rep, items) of the wanted (rep, digest); the others' sets aren't made, but for a few that share a bit. ``docs``: doc_id, text."""
     slot = F.pmod(F.xxhash64("rep"), F.lit(BITS))
-    maps = ends.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    bits = np.zeros(BITS // 8 + 8192, np.uint8)
+    maps = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    bits = np.zeros(BITS // 8, np.uint8)  # places from 1 on; place 0 counts as wanted
     for r in maps:
         if r.k:
             bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = b.column(2).to_numpy(zero_copy_only=False) - 0
-            # bitmap_bucket_number and bitmap_bit_position count from 1 and 0 for positions from 1; position 0 stands in bucket 0
-            k = np.where(s > 0, s - 1, 0)
-            hit = ((sent.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool) | (s <= 0)
-            b = b.filter(pa.array(hit))
-            texts = S.text_of(b, "text")
-            ids = b.column(0).to_pylist()
-            at = 0
+            s = b.column(2).to_numpy(zero_copy_only=False)
+            k = np.maximum(s - 1, 0)
+            b = b.filter(pa.array(((sent.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool) | (s == 0)))
+            texts, ids = S.text_of(b, "text"), b.column(0).to_pylist()
             for i, j in S.chunks(texts):
                 found = list(shingles(texts[i:j], size))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + j - i], pa.int64()), pa.array([hashlib.md5(u.tobytes()).digest() for u in found], pa.binary()), pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))], names=["rep", "digest", "items"])
-                at += j - i
-
-    made = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("s")).mapInArrow(sets, "rep long, digest binary, items array<bigint>")
-    made = S.materialize(made.join(ends, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]).select("rep", "items"))
-    side = lambda k: made.select(F.col("rep").alias(k), F.col("items").alias(f"i{k}"))
-    both = edges.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("ia", "ib"))
-    return S.materialize(both.select("a", "b", common.alias("c"), (F.size("ia") + F.size("ib") - common).alias("u")).where(F.expr(f"100 * c >= {percent} * u")).select("a", "b").distinct())
-
-
-def across(buckets: DataFrame, reps: DataFrame, found: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs of a bucket that lie in two components and may be similar. ``found``: (node, component)."""
-    named = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    rows = S.materialize(named.join(open_, "key"))
-    # large buckets: blocks by hash, and a group for each pair of blocks
-    g = F.ceil(F.col("m") / GROUP).cast("int")
-    rows = rows.withColumn("g", g).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component").join(reps.select("rep", "n", "sketch"), "rep")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-        for (_, x, y), group in groupby(rows_of(), key=lambda r: r[:3]):
-            block, rep, comp, n, sketch = (list(c) for c in list(zip(*group, strict=True))[3:])
-            block, rep, comp, n = (np.array(c, np.int64) for c in (block, rep, comp, n))
-            s = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rep), -1)
-            names, counts = np.unique(comp, return_counts=True)
-            few = np.flatnonzero(comp != names[counts.argmax()])
-            for i in few.tolist():
-                ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((rep > rep[i]) | (comp == names[counts.argmax()]))
-                if x != y:
-                    ok &= block != block[i]
-                j = np.flatnonzero(ok)
-                j = j[(s[j] == s[i]).mean(1) >= NEAR] if len(j) else j
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[j], rep[i])), pa.array(np.maximum(rep[j], rep[i]))], names=["a", "b"])
-
-    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "block", "rep", "component", "n", "sketch")
-    new = dealt.mapInArrow(pairs, "a long, b long").distinct()
-    return new.join(tried, ["a", "b"], "left_anti")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([hashlib.md5(u.tobytes()).digest() for u in found], pa.binary()), pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))], names=["rep", "digest", "items"])
+
+    made = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("s")).mapInArrow(run, "rep long, digest binary, items array<bigint>")
+    return made.join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).drop("digest")
+
+
+def links_within(clusters: DataFrame, docs: DataFrame, leads: DataFrame, size: int, percent: int) -> DataFrame:
+    """A spanning forest of each cluster's true links, by the full sets. ``clusters``: (node, component)."""
+    inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(leads.select("rep", "digest", "n"), "rep")
+    counts = inside.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("items")).select("cluster", F.ceil(F.greatest(F.col("m") / GROUP, F.col("items") / ITEMS)).cast("int").alias("blocks"))
+    wanted = S.materialize(inside.join(counts, "cluster").select("rep", "digest", "cluster", "blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, items in groups(batches):
+            rep = np.array(rep, np.int64)
+            n = np.array([len(x) for x in items], np.int64)
+            values, ids = np.unique(np.concatenate([np.array(x, np.int64) for x in items]), return_inverse=True)
+            starts = np.cumsum(n) - n
+            mine = np.zeros(len(values), bool)
+
+            def near(i: int, o: np.ndarray, n=n, ids=ids, starts=starts, mine=mine) -> np.ndarray:
+                own = ids[starts[i] : starts[i] + n[i]]
+                mine[own] = True
+                if len(o) > 8:
+                    common = np.add.reduceat(mine[ids].astype(np.int64), starts)[o]
+                else:
+                    common = np.array([mine[ids[starts[j] : starts[j] + n[j]]].sum() for j in o.tolist()])
+                mine[own] = False
+                return 100 * common >= percent * (n[i] + n[o] - common)
+
+            edges = spanning(len(rep), near)
+            if edges:
+                yield edge_batch(rep, edges)
+
+    rows = blocked(sets_of(docs, wanted, size), "cluster", F.col("blocks"))
+    return rows.select("cluster", "x", "y", "rep", "items").mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -205,22 +231,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = S.materialize(S.add_columns(docs, "text", {"n": "long", "digest": "binary", "sketch": "binary", "keys": "array<bigint>"}, lambda: lambda texts: _signed(texts, size), ["doc_id"]))
     leads = S.materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "sketch", "keys"), "doc_id").alias("s")).where("rep is not null").select("rep", "digest", "s.*"))
-    reps = leads.select("rep", "digest", "n", "sketch")
-
-    w = Window.partitionBy("key")
-    keyed = leads.select("rep", "n", F.explode("keys").alias("key"))
-    counted = keyed.select("key", "rep", F.count("*").over(w).alias("m"), F.min("rep").over(w).alias("first"), F.lag("rep").over(w.orderBy("n", "rep")).alias("before")).where("m > 1")
-    buckets = S.materialize(counted)
-    stars = buckets.select(F.explode(F.array(F.struct(F.col("first").alias("x"), F.col("rep").alias("y")), F.struct(F.col("before").alias("x"), F.col("rep").alias("y")))).alias("e"))
-    edges = stars.select(F.least("e.x", "e.y").alias("a"), F.greatest("e.x", "e.y").alias("b"), F.col("e.x").alias("x")).where("x is not null and a <> b").select("a", "b").distinct()
-    tried = S.materialize(likely(edges, reps, percent))
-    links = confirm(tried, docs, reps, size, percent)
-    found = components(links)
-    more = S.materialize(across(buckets.select("key", "rep"), reps, found, tried, percent))
-    if not more.isEmpty():
-        late = confirm(more, docs, reps, size, percent)
-        if not late.isEmpty():
-            found = components(links.unionByName(late))
+    keyed = leads.select("rep", F.explode("keys").alias("key"))
+    buckets = S.materialize(keyed.select("key", "rep", F.count("*").over(Window.partitionBy("key")).alias("m")).where("m > 1"))
+    clusters = components(forest(buckets, leads, percent))
+    found = components(links_within(clusters, docs, leads, size, percent))
     named = leads.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     rows = signed.select("doc_id", "n", "digest").join(S.materialize(named), "digest", "left")
     component = F.coalesce("component_id", "doc_id")
