@@ -227,7 +227,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> np.ndarray:
     """The classifier's weights, from the blocks of at most ``sample`` pages whose elements name their part."""
-    chosen = pages.select(F.col(html).alias("html")).where("html is not null").withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(sample).select("html")
+    chosen = pages.select(F.col(html).alias("html")).where("html is not null")
+    chosen = S.sample_by_hash(chosen, "html", sample).distinct()
 
     def work():
         def f(texts: list) -> list[list]:

@@ -67,6 +67,13 @@ def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def sample_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The rows whose values have the n smallest distinct hashes: bounded (but for repeated values), and alike for every partitioning. Only hashes are sorted."""
+    h = F.xxhash64(column)
+    least = df.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(least)) if least is not None else df.where("false")
+
+
 def without(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The columns of ``df`` that clash with none of ``names``, whatever their case."""
     low = {n.lower() for n in names}

@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared as S
+
 SAMPLE = 20_000
 #: The rules of the registered query, (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -107,8 +109,8 @@ def with_stats(df: DataFrame, stats: dict[str, DataFrame], prior: float) -> Data
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE) -> Model:
     """From labelled URLs (label 1.0: block), at most ``sample`` distinct ones."""
-    rows = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.max(F.col(label).cast("double")).alias("label"))
-    rows = rows.orderBy(F.xxhash64("url"), "url").limit(sample)
+    known = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).dropna()
+    rows = S.sample_by_hash(known, "url", sample).groupBy("url").agg(F.max("label").alias("label"))
     spark = labelled.sparkSession
     bounded = spark.createDataFrame(rows.toArrow(), rows.schema)  # at most `sample` rows
     seen = lexical(bounded)
