@@ -47,13 +47,13 @@ def case_roles(spark: SparkSession, d: str) -> DataFrame:
     return T.pair_hands(spark, d).select("p1", "p2", "hand_id", X.picked(first, "p1", "p2").alias("loser"), *[X.picked(first, f"{c}_1", f"{c}_2").alias(f"loser_{c}") for c in ("contribution", "folded")], X.picked(first, "showdown_2", "showdown_1").alias("winner_showdown"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, round(least(greatest(l_extendedprice / greatest(l_quantity, 1.0) / 1000.0, 0.5), 2.5), 6) price_ratio FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, least(greatest(l_extendedprice / greatest(l_quantity, 1.0) / 1000.0, 0.5), 2.5) price_ratio FROM lineitem")
 def clip_ratio(spark: SparkSession, d: str) -> DataFrame:
     unit = F.col("l_extendedprice") / X.clip("l_quantity", 1.0) / 1000.0
-    return T.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.round(X.clip(unit, 0.5, 2.5), 6).alias("price_ratio"))
+    return T.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", X.clip(unit, 0.5, 2.5).alias("price_ratio"))
 
 
-@query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), x -> x <> '')) n_tokens, string_split(p_name, ' ')[1] AS first_token, substr(p_type, 1, 1) AS initial, right(p_brand, 1) AS last_char, length(p_name) - length(replace(p_name, ' ', '')) + 1 AS by_blanks FROM part")
+@query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: x <> '')) n_tokens, string_split(p_name, ' ')[1] AS first_token, substr(p_type, 1, 1) AS initial, right(p_brand, 1) AS last_char, length(p_name) - length(replace(p_name, ' ', '')) + 1 AS by_blanks FROM part")
 def string_tokens(spark: SparkSession, d: str) -> DataFrame:
     tokens = X.tokens_in("p_name")
     blanks = F.length("p_name") - F.length(F.replace("p_name", F.lit(" "), F.lit("")))
@@ -61,7 +61,7 @@ def string_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT hand_id, len(l) n, list_max(l) most, len(list_distinct(l)) n_distinct, CASE WHEN list_contains(l, 1) THEN 1 ELSE 0 END has_one, l[3] AS third, len(list_filter(l, x -> x > 50)) n_high, array_to_string(l[1:2], ',') AS first_two FROM (SELECT hand_id, list(player_id ORDER BY player_id) l FROM seats GROUP BY 1)",
+    "SELECT hand_id, len(l) n, list_max(l) most, len(list_distinct(l)) n_distinct, CASE WHEN list_contains(l, 1) THEN 1 ELSE 0 END has_one, l[3] AS third, len(list_filter(l, lambda x: x > 50)) n_high, array_to_string(l[1:2], ',') AS first_two FROM (SELECT hand_id, list(player_id ORDER BY player_id) l FROM seats GROUP BY 1)",
     "seats",
 )
 def list_ops(spark: SparkSession, d: str) -> DataFrame:
