@@ -139,6 +139,7 @@ def edit(text: str, following: str) -> str:
 def compared_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
     spark = docs.sparkSession
+    S.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(n)], 20 * n), F.min("doc_id")).first()

@@ -79,6 +79,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """The model of the rows with a text and a label: languages, log priors and log-probabilities (languages x buckets)."""
+    S.bound_batches(rows.sparkSession)
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

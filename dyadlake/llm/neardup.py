@@ -126,9 +126,15 @@ def blocked(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The values of the rows of each group, by column; the first three columns tell groups apart."""
 
+    def values(c: pa.Array) -> list:
+        if not pa.types.is_list(c.type):
+            return c.to_pylist()
+        flat, at = c.values.to_numpy(), c.offsets.to_numpy().tolist()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def rows() -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+            yield from zip(*map(values, b.columns), strict=True)
 
     for _, group in groupby(rows(), key=lambda r: r[:3]):
         yield list(zip(*group, strict=True))[3:]
@@ -204,7 +210,7 @@ def links_within(clusters: DataFrame, docs: DataFrame, leads: DataFrame, size: i
         for rep, items in groups(batches):
             rep = np.array(rep, np.int64)
             n = np.array([len(x) for x in items], np.int64)
-            values, ids = np.unique(np.concatenate([np.array(x, np.int64) for x in items]), return_inverse=True)
+            values, ids = np.unique(np.concatenate(items), return_inverse=True)
             starts = np.cumsum(n) - n
             mine = np.zeros(len(values), bool)
 
@@ -228,6 +234,7 @@ def links_within(clusters: DataFrame, docs: DataFrame, leads: DataFrame, size: i
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    S.bound_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = S.materialize(S.add_columns(docs, "text", {"n": "long", "digest": "binary", "sketch": "binary", "keys": "array<bigint>"}, lambda: lambda texts: _signed(texts, size), ["doc_id"]))
     leads = S.materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "sketch", "keys"), "doc_id").alias("s")).where("rep is not null").select("rep", "digest", "s.*"))

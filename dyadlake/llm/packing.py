@@ -205,6 +205,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
     ``path`` is the tokenizer's file. Columns of ``keep`` must not have the names of the added ones.
     """
+    S.bound_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     fields = [*FIELDS, ("ids", pa.list_(pa.int64()))] if with_ids else FIELDS

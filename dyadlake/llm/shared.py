@@ -45,6 +45,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the Arrow batches that go to Python to a few megabytes, whatever the texts' lengths; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(value: str) -> int:
+    """A size setting as a number."""
+    digits = value.rstrip("bBkKmMgG")
+    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(value[len(digits) :].lower()[:1], 0)
+
+
 def crc_fold(column: str, modulus: int):
     """crc32 of a column as text, modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -87,6 +100,7 @@ def add_columns(df: DataFrame, text: str, added: dict[str, str], work: Callable[
     column. Columns of ``df`` with an added name are replaced. ``where`` names an added boolean column: rows without
     it are dropped, and the added columns with them. Rows stay where they are: no shuffle.
     """
+    bound_batches(df.sparkSession)
     names = without(df.select(*keep) if keep is not None else df, added)
     source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
     types = ", ".join(f"`{k}` {v}" for k, v in added.items())
