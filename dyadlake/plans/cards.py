@@ -1 +1,85 @@
+"""Cards dealt by arithmetic on a part's key: starting-hand scores and exact values by street."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dyadlake.operators import cards as C
+from dyadlake.plans.registry import query
+from dyadlake.sources import tables as T
+
+STEPS = (1, 3, 5, 7, 9, 11, 15, 17, 19, 21, 23, 25)
+
+_HOLE = "hole AS (SELECT p_partkey, p_partkey % 52 a, ((p_partkey % 52) + 1 + (p_partkey // 52) % 51) % 52 b FROM part), h AS (SELECT *, greatest(a // 4, b // 4) + 2 hi, least(a // 4, b // 4) + 2 lo, CASE WHEN a % 4 = b % 4 THEN 1 ELSE 0 END suited FROM hole)"
+
+
+def hole(spark: SparkSession, d: str) -> DataFrame:
+    """Two different cards for each part."""
+    k = F.col("p_partkey")
+    first = (k % 52).cast("int")
+    return T.table(spark, d, "part").select("p_partkey", first.alias("a"), ((first + 1 + F.floor(k / 52) % 51) % 52).cast("int").alias("b"))
+
+
+@query(
+    "SELECT p_partkey, CAST(CASE WHEN hi = lo THEN greatest(5.0, 2 * base) ELSE base + 2 * suited - CASE hi - lo - 1 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 5 END + CASE WHEN hi - lo - 1 <= 1 AND hi < 12 THEN 1 ELSE 0 END END AS DOUBLE) points FROM (SELECT *, CASE hi WHEN 14 THEN 10.0 WHEN 13 THEN 8.0 WHEN 12 THEN 7.0 WHEN 11 THEN 6.0 ELSE hi / 2.0 END base FROM h)",
+    also=_HOLE,
+)
+def chen_score(spark: SparkSession, d: str) -> DataFrame:
+    return hole(spark, d).select("p_partkey", C.chen(F.col("a"), F.col("b")).alias("points"))
+
+
+@query("SELECT p_partkey, hi * 15 + lo + 300 * suited AS code FROM h", also=_HOLE)
+def hole_class(spark: SparkSession, d: str) -> DataFrame:
+    return hole(spark, d).select("p_partkey", C.hole_class(F.col("a"), F.col("b")).cast("long").alias("code"))
+
+
+def dealt(n: int) -> Column:
+    """n different cards: steps coprime to 52 from a first card."""
+    k = F.col("p_partkey")
+    step = F.get(F.array(*map(F.lit, STEPS)), (F.floor(k / 52) % len(STEPS)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((k + i * step) % 52).cast("int"))
+
+
+def _values(n: int) -> str:
+    """Oracle: the best five of n cards over all combinations."""
+    steps = f"[{', '.join(map(str, STEPS))}]"
+    return f"""SELECT p_partkey, max(v) v FROM (SELECT p_partkey, CASE
+ WHEN f AND s IS NOT NULL THEN 8 * 759375 + s
+ WHEN pattern = '4,1' THEN 7 * 759375 + g[1] * 15 + g[2]
+ WHEN pattern = '3,2' THEN 6 * 759375 + g[1] * 15 + g[2]
+ WHEN f THEN 5 * 759375 + (((r[1] * 15 + r[2]) * 15 + r[3]) * 15 + r[4]) * 15 + r[5]
+ WHEN s IS NOT NULL THEN 4 * 759375 + s
+ WHEN pattern = '3,1,1' THEN 3 * 759375 + g[1] * 225 + g[2] * 15 + g[3]
+ WHEN pattern = '2,2,1' THEN 2 * 759375 + (g[1] * 15 + g[2]) * 15 + g[3]
+ WHEN pattern = '2,1,1,1' THEN 759375 + g[1] * 3375 + (g[2] * 15 + g[3]) * 15 + g[4]
+ ELSE (((r[1] * 15 + r[2]) * 15 + r[3]) * 15 + r[4]) * 15 + r[5] END v
+ FROM (SELECT *, CASE WHEN r = [12, 3, 2, 1, 0] THEN 3 WHEN len(list_distinct(r)) = 5 AND r[1] - r[5] = 4 THEN r[1] END s, array_to_string(list_transform(o, lambda x: x // 100), ',') pattern, list_transform(o, lambda x: x % 100) g
+ FROM (SELECT p_partkey, list_reverse_sort(list_transform(c, lambda x: x // 4)) r, len(list_distinct(list_transform(c, lambda x: x % 4))) = 1 f, list_reverse_sort(list_distinct(list_transform(c, lambda x: len(list_filter(c, lambda y: y // 4 = x // 4)) * 100 + x // 4))) o
+ FROM (SELECT d.p_partkey, [i.c, j.c, k.c, l.c, m.c] c FROM part d JOIN dealt{n} i USING (p_partkey) JOIN dealt{n} j ON j.p_partkey = d.p_partkey AND j.n > i.n JOIN dealt{n} k ON k.p_partkey = d.p_partkey AND k.n > j.n JOIN dealt{n} l ON l.p_partkey = d.p_partkey AND l.n > k.n JOIN dealt{n} m ON m.p_partkey = d.p_partkey AND m.n > l.n)))) GROUP BY 1""", f"dealt{n} AS (SELECT p_partkey, n, (p_partkey + n * {steps}[(p_partkey // 52) % {len(STEPS)} + 1]) % 52 c FROM part, (SELECT unnest(range({n})) n))"
+
+
+_FLOP, _TURN, _RIVER = _values(5), _values(6), _values(7)
+
+
+@query(f"SELECT p_partkey, v // 759375 AS category FROM ({_RIVER[0]})", also=_RIVER[1])
+def hand_category(spark: SparkSession, d: str) -> DataFrame:
+    """The category of the best five of seven cards."""
+    return T.table(spark, d, "part").select("p_partkey", C.category(C.value(dealt(7))).alias("category"))
+
+
+@query(f"SELECT p_partkey, a.v flop, b.v turn, c.v river FROM ({_FLOP[0]}) a JOIN ({_TURN[0]}) b USING (p_partkey) JOIN ({_RIVER[0]}) c USING (p_partkey)", also=", ".join(x[1] for x in (_FLOP, _TURN, _RIVER)))
+def hand_value_streets(spark: SparkSession, d: str) -> DataFrame:
+    """Exact values of five, six and seven cards."""
+    return T.table(spark, d, "part").select("p_partkey", C.value(dealt(5)).alias("flop"), C.value(dealt(6)).alias("turn"), C.value(dealt(7)).alias("river"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN len(list_distinct(list_transform(b, lambda x: x // 4))) < 3 THEN 1 ELSE 0 END paired, CASE WHEN len(list_distinct(list_transform(b, lambda x: x % 4))) = 1 THEN 1 ELSE 0 END monotone, CASE WHEN len(list_distinct(list_transform(b, lambda x: x % 4))) = 2 THEN 1 ELSE 0 END two_tone, list_max(list_transform(b, lambda x: x // 4)) high FROM (SELECT p_partkey, list(c ORDER BY n) FILTER (n < 3) b FROM dealt5 GROUP BY 1)",
+    also=_FLOP[1],
+)
+def board_texture(spark: SparkSession, d: str) -> DataFrame:
+    """What three cards on the board have in common."""
+    b = dealt(3)
+    suits, ranks = F.size(F.array_distinct(F.transform(b, C.suit))), F.transform(b, C.rank)
+    return T.table(spark, d, "part").select("p_partkey", (F.size(F.array_distinct(ranks)) < 3).cast("int").alias("paired"), (suits == 1).cast("int").alias("monotone"), (suits == 2).cast("int").alias("two_tone"), F.array_max(ranks).cast("long").alias("high"))

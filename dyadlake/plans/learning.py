@@ -1 +1,103 @@
+"""Model queries: their results depend on a fit, so they have no oracle and are tested by their quality."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dyadlake.functions import expr as X
+from dyadlake.operators import learning as L
+from dyadlake.plans import behaviour
+from dyadlake.plans.registry import query
+from dyadlake.sources import files
+from dyadlake.sources import tables as T
+
+PAIR = ("n", "both_stayed_mean", "one_folded_mean", "net_gap_max", "imbalance", "direction")
+
+
+def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pair features with a fold, and a label for two pairs of three: one-sided transfers; the rest is unlabelled."""
+    one = behaviour.pair_features(spark, d).fillna(0.0, ["imbalance"])
+    key = F.col("p1") * 1000003 + F.col("p2")
+    known = F.when(key % 3 < 2, (F.col("imbalance") > 0.3).cast("int"))
+    # many fits read it: a stage of its own
+    return files.stage(one.select("p1", "p2", key.alias("id"), *[F.col(c).cast("double").alias(c) for c in PAIR], known.alias("known"), X.fold_of(key, 3).alias("fold")))
+
+
+SITUATION = ("street", "amount", "own_before", "street_before")
+
+
+@query()
+def policy_clone(spark: SparkSession, d: str) -> DataFrame:
+    """The probability of the action that was taken, by a multinomial model of the situation."""
+    from dyadlake.plans.windows import running_before
+
+    log = T.actions(spark, d).join(running_before(spark, d), "event_id")
+    code = X.mapped("action", {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}, 4)
+    rows = log.select("event_id", *[F.col(c).cast("double").alias(c) for c in SITUATION], code.cast("double").alias("label"))
+    scored = L.logistic(SITUATION, classes="multinomial").fit(rows).transform(rows)
+    p = F.get(L.vector_to_array("probability"), F.col("label").cast("int"))
+    return scored.select("event_id", F.round(p, 6).alias("p"), F.round(X.surprise(p), 6).alias("surprise"))
+
+
+@query()
+def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
+    rows = labelled_pairs(spark, d).withColumn("label", F.col("known").cast("double"))
+    model = L.logistic(PAIR).fit(rows.where("known is not null"))
+    return L.probability(model, rows).select("p1", "p2", "known", F.round("p", 6).alias("p"))
+
+
+@query()
+def hand_ranker_oof(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees, every labelled pair scored without its fold."""
+    rows = labelled_pairs(spark, d).where("known is not null").withColumn("label", F.col("known").cast("double"))
+    return L.out_of_fold(rows, lambda: L.boosted(PAIR), "fold", 3).select("p1", "p2", "fold", "known", F.round("p", 6).alias("p"))
+
+
+@query()
+def leave_table_out(spark: SparkSession, d: str) -> DataFrame:
+    """Unlabelled pairs scored by the models fitted without their fold."""
+    rows = labelled_pairs(spark, d)
+    known = rows.where("known is not null").withColumn("label", F.col("known").cast("double"))
+    return L.out_of_fold(known, lambda: L.logistic(PAIR), "fold", 3, rows.where("known is null")).select("p1", "p2", "fold", F.round("p", 6).alias("p"))
+
+
+@query()
+def pu_three_stage(spark: SparkSession, d: str) -> DataFrame:
+    rows = labelled_pairs(spark, d)
+    some = rows.withColumn("known", F.when((F.col("known") == 1) | (F.col("id") % 5 == 0), F.col("known")))
+    return L.pu_rounds(some, PAIR).select("p1", "p2", "known", F.round("p", 6).alias("p"))
+
+
+@query()
+def family_heads(spark: SparkSession, d: str) -> DataFrame:
+    """One-vs-rest heads; the family with the largest p / prior among likely pairs, none elsewhere."""
+    rows = labelled_pairs(spark, d)
+    families = {"one_sided": F.col("imbalance") > 0.3, "staying": F.col("both_stayed_mean") > 0.3, "folding": F.col("one_folded_mean") > 0.5}
+    priors = rows.agg(*[F.greatest(F.avg(c.cast("int")), F.lit(0.01)).alias(f"prior_{k}") for k, c in families.items()])
+    for k, c in families.items():
+        data = rows.withColumn("label", c.cast("double"))
+        rows = L.probability(L.logistic(PAIR).fit(data), data, k).drop("label")
+    rows = rows.join(F.broadcast(priors))
+    best = F.array_max(F.array(*[F.struct((F.col(k) / F.col(f"prior_{k}")).alias("v"), F.lit(k).alias("f")) for k in families]))
+    return rows.select("p1", "p2", F.when(F.greatest(*families) >= 0.5, best["f"]).otherwise("none").alias("family"))
+
+
+@query()
+def mil_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Hands ranked within pairs that are only labelled as a whole."""
+    hands = behaviour.pair_hand_features(spark, d)
+    bags = labelled_pairs(spark, d).select("p1", "p2", F.col("id").alias("bag"), F.coalesce("known", F.lit(0)).alias("bag_label"))
+    rows = files.stage(hands.join(bags, ["p1", "p2"]).select("bag", "bag_label", "hand_id", *[F.col(c).cast("double").alias(c) for c in ("net_gap", "lines", "one_folded", "pot_to_max")]))
+    scored = L.mil_rounds(rows, "bag", ("net_gap", "lines", "one_folded", "pot_to_max"), "hand_id")
+    return scored.groupBy("bag", "bag_label").agg(F.round(F.max("p"), 6).alias("most"), F.round(F.avg("p"), 6).alias("mean"), F.count_if(F.col("p") > 0.5).alias("n_likely"))
+
+
+@query()
+def seed_bag(spark: SparkSession, d: str) -> DataFrame:
+    """The blend of a bag of models and a heuristic by rank shares."""
+    rows = labelled_pairs(spark, d)
+    known = rows.withColumn("label", F.coalesce("known", F.lit(0)).cast("double"))
+    bag = L.rank_share(L.bagged(known, PAIR, (1, 2, 3)), "p", "id").select("p1", "p2", "id", "imbalance", F.col("share").alias("model"))
+    both = L.rank_share(bag, "imbalance", "id")
+    return both.select("p1", "p2", F.round(0.7 * F.col("model") + 0.3 * F.col("share"), 9).alias("blend"))

@@ -1 +1,28 @@
+"""The event log run as a stream to its end; each result equals the batch query."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from dyadlake.plans.registry import query
+from dyadlake.streaming import events as E
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS \"start\", event_type, count(*) n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) cents FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return E.run(spark, f"{d}/events.parquet", lambda s: E.tumbling(s, "1 hour"), "complete")
+
+
+@query("SELECT strftime(w, '%Y-%m-%d %H:%M') AS \"start\", event_type, count(*) n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) cents FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) w FROM events, (VALUES (0), (1)) v(k)) GROUP BY 1, 2")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return E.run(spark, f"{d}/events.parquet", lambda s: E.sliding(s, "2 hours", "1 hour"), "complete")
+
+
+@query("SELECT user_id, epoch_us(min(ts)) AS \"start\", count(*) n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END fresh FROM events)) GROUP BY user_id, s")
+def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    return E.run(spark, f"{d}/events.parquet", lambda s: E.sessions(s, "6 hours"), "complete")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_dedup_watermark(spark: SparkSession, d: str) -> DataFrame:
+    return E.run(spark, f"{d}/events.parquet", lambda s: E.first_of_each(s), "append")
