@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, html_extract, langid, lm_score, neardup, packing, pii, url_filter
+from . import chat_format, decontaminate, fingerprint, html_extract, langid, lm_score, neardup, oracles, packing, pii, url_filter
 from . import shared as S
 
 
@@ -29,7 +29,7 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that lie within benchmark windows."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontaminate.report(docs, bench, keep=["doc_id"])
+    return decontaminate.report(docs, bench, keep=["doc_id"]).drop("matches")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +74,8 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), S.crc_fold("doc_id", 7) != 2)
 
 
-QUERIES = {"op4_lm_scoring": op4_lm_scoring, "op1_url_filter": op1_url_filter, "op2_html_extraction": op2_html_extraction, "op5_chat_formatting": op5_chat_formatting, "op10_near_duplicates": op10_near_duplicates, "op8_personal_data": op8_personal_data, "op7_packing": op7_packing, "op3_document_fingerprints": op3_document_fingerprints, "op6_decontamination": op6_decontamination, "op9_language_id": op9_language_id}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_html_extraction, op3_document_fingerprints, op4_lm_scoring, op5_chat_formatting, op6_decontamination, op7_packing, op8_personal_data, op9_language_id, op10_near_duplicates)
+}
+ORACLE_SQL = oracles.ORACLE_SQL
