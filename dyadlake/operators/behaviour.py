@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadlake.functions import expr as X
+from dyadlake.operators import ranking as R
+from dyadlake.sources import files
 
 
 def flag(c: Column) -> Column:
@@ -20,8 +22,8 @@ def pool_features(pair_hands: DataFrame) -> DataFrame:
     one = pair_hands.groupBy("table_id", "p1", "p2").agg(F.count("*").alias("n"), F.sum(there).alias("moved_12"), F.sum(back).alias("moved_21"), F.avg(F.col("folded_1") * F.col("folded_2")).alias("both_folded"))
     moved = F.col("moved_12") + F.col("moved_21")
     one = one.withColumns({"moved": moved, "one_way": X.ratio(F.abs(F.col("moved_12") - F.col("moved_21")), moved)})
-    w = Window.partitionBy("table_id")
-    return one.withColumns({"moved_rank": F.percent_rank().over(w.orderBy("moved")), "n_rank": F.percent_rank().over(w.orderBy("n"))})
+    one = files.stage(one)  # ranking reads it several times
+    return R.percent_rank(R.percent_rank(one, ["table_id"], "moved", "moved_rank"), ["table_id"], "n", "n_rank")
 
 
 def policy(rows: DataFrame, group: Sequence[str], situation: Sequence[str], event: str, k: float) -> DataFrame:

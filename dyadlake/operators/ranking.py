@@ -31,6 +31,21 @@ def ranked(df: DataFrame, groups: Sequence[str], score: str, tie: str, sums: Seq
     return out.drop("__b", "__o_n", *[f"__o_{c}" for c in sums])
 
 
+def positions(df: DataFrame, groups: Sequence[str], time: str, tie: str, name: str) -> DataFrame:
+    """``df`` with ``name``: its position from 0 in its group by a timestamp without time zone, then ``tie``."""
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{time}`)")
+    return ranked(df.withColumn("__t", -micros), groups, "__t", tie).withColumn(name, F.col("place") - 1).drop("place", "__t")
+
+
+def percent_rank(df: DataFrame, groups: Sequence[str], value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``name``: (rank - 1) / (rows - 1) in its group, from counts of distinct values; 0 in a group of one."""
+    n = df.groupBy(*groups, value).agg(F.count("*").alias("__ties"))
+    r = ranked(n.withColumn("__neg", -F.col(value)), groups, "__neg", value, ["__ties"], buckets)
+    total = n.groupBy(*groups).agg(F.sum("__ties").alias("__all"))
+    share = F.coalesce((F.col("cum___ties") - F.col("__ties")) / F.nullif(F.col("__all") - 1, F.lit(0)), F.lit(0.0))
+    return df.join(r.join(total, list(groups)).select(*groups, value, share.alias(name)), [*groups, value])
+
+
 def average_precision(df: DataFrame, groups: Sequence[str], score: str, label: str, tie: str) -> DataFrame:
     """ap per group: the mean over positives of the precision at their place; null without a positive."""
     r = ranked(df, groups, score, tie, [label])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dyadlake.functions import expr as X
 from dyadlake.operators import aggregates as A
 from dyadlake.plans.registry import query
-from dyadlake.plans.windows import BY_PAIR_TIME
+from dyadlake.plans.windows import by_pair_time
 from dyadlake.sources import tables as T
 
 
@@ -66,7 +66,7 @@ def threshold_rates(spark: SparkSession, d: str) -> DataFrame:
 )
 def burst_bins(spark: SparkSession, d: str) -> DataFrame:
     """Equal-width chronological bins of each pair: the strongest bin and how far it stands out."""
-    position = (F.row_number().over(BY_PAIR_TIME) - 1) / F.count("*").over(Window.partitionBy("p1", "p2"))
+    position = (F.row_number().over(by_pair_time()) - 1) / F.count("*").over(Window.partitionBy("p1", "p2"))
     rows = T.pair_hands(spark, d).select("p1", "p2", (F.col("lines_1") + F.col("lines_2")).alias("x"), X.equal_width_bin(position, 8).alias("b"))
     return rows.groupBy("p1", "p2", "b").agg(F.avg("x").alias("m")).groupBy("p1", "p2").agg(F.max("m").alias("most"), (F.max("m") - F.avg("m")).alias("burst"), F.count("*").alias("bins"))
 

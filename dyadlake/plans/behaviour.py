@@ -10,6 +10,7 @@ from dyadlake.operators import aggregates as A
 from dyadlake.operators import behaviour as B
 from dyadlake.operators import pairs as P
 from dyadlake.plans.registry import query
+from dyadlake.plans.windows import hand_index
 from dyadlake.sources import tables as T
 
 
@@ -122,8 +123,7 @@ def member_delta_sym(spark: SparkSession, d: str) -> DataFrame:
 )
 def exposure_windows(spark: SparkSession, d: str) -> DataFrame:
     """Two overlapping windows of hand positions: each hand is exploded into those it lies in."""
-    w = Window.partitionBy("table_id").orderBy("started_at", "hand_id")
-    index = T.hands(spark, d).select("hand_id", (F.row_number().over(w) - 1).alias("i"))
+    index = hand_index(spark, d).select("hand_id", F.col("hand_index").alias("i"))
     rows = T.pair_hands(spark, d).select("p1", "p2", "hand_id", "lines_1", "lines_2").join(index, "hand_id")
     bounds = ((0, 0, 2000), (1, 1000, 3000))
     inside = F.filter(F.array(*[F.when((F.col("i") >= lo) & (F.col("i") < hi), k) for k, lo, hi in bounds]), lambda x: x.isNotNull())
@@ -181,7 +181,7 @@ def pair_features(spark: SparkSession, d: str) -> DataFrame:
 )
 def pair_pool_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best hands of each pair with features relative to that pool."""
-    index = T.hands(spark, d).select("hand_id", "table_id", (F.row_number().over(Window.partitionBy("table_id").orderBy("started_at", "hand_id")) - 1).alias("i"))
+    index = hand_index(spark, d).select("hand_id", "table_id", F.col("hand_index").alias("i"))
     both = T.pair_hands(spark, d).select("p1", "p2", "hand_id", (F.col("contribution_1") + F.col("contribution_2")).alias("pot"))
     pool = A.top_rows(both, ["p1", "p2"], [F.desc("pot"), F.asc("hand_id")], 20).join(index, "hand_id")
     w = Window.partitionBy("p1", "p2")

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dyadlake.functions import expr as X
+from dyadlake.operators import ranking as R
 from dyadlake.plans.registry import query
 from dyadlake.sources import tables as T
 
-BY_PAIR_TIME = Window.partitionBy("p1", "p2").orderBy("started_at", "hand_id")
+
+def by_pair_time() -> WindowSpec:
+    return Window.partitionBy("p1", "p2").orderBy("started_at", "hand_id")
+
+
 _PAIR_TIME = "OVER (PARTITION BY p1, p2 ORDER BY started_at, hand_id"
 
 
 @query("SELECT hand_id, table_id, row_number() OVER (PARTITION BY table_id ORDER BY started_at, hand_id) - 1 hand_index FROM hands", "hands")
 def hand_index(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("table_id").orderBy("started_at", "hand_id")
-    return T.hands(spark, d).select("hand_id", "table_id", (F.row_number().over(w) - 1).cast("long").alias("hand_index"))
+    """Each hand's position in its table; a table's hands are dealt out by ranges of time, since few tables may hold them all."""
+    return R.positions(T.hands(spark, d), ["table_id"], "started_at", "hand_id", "hand_index").select("hand_id", "table_id", "hand_index")
 
 
-BY_STREET = Window.partitionBy("hand_id", "street").orderBy("ts", "event_id")
+def by_street() -> WindowSpec:
+    return Window.partitionBy("hand_id", "street").orderBy("ts", "event_id")
 
 
 @query(
@@ -28,7 +34,7 @@ BY_STREET = Window.partitionBy("hand_id", "street").orderBy("ts", "event_id")
 )
 def ffill_last_aggressor(spark: SparkSession, d: str) -> DataFrame:
     """Who last acted aggressively on the street before each action."""
-    return T.actions(spark, d).select("event_id", "hand_id", "street", "player_id", X.last_before("player_id", F.col("aggressive") == 1, BY_STREET).alias("last_aggressor"))
+    return T.actions(spark, d).select("event_id", "hand_id", "street", "player_id", X.last_before("player_id", F.col("aggressive") == 1, by_street()).alias("last_aggressor"))
 
 
 @query(
@@ -37,7 +43,7 @@ def ffill_last_aggressor(spark: SparkSession, d: str) -> DataFrame:
 )
 def aggressor_response(spark: SparkSession, d: str) -> DataFrame:
     """How players answer the last aggressor, keyed by that aggressor."""
-    log = T.actions(spark, d).withColumn("last_aggressor", X.last_before("player_id", F.col("aggressive") == 1, BY_STREET))
+    log = T.actions(spark, d).withColumn("last_aggressor", X.last_before("player_id", F.col("aggressive") == 1, by_street()))
     return log.where("last_aggressor <> player_id").groupBy("last_aggressor", F.col("player_id").alias("responder"), "action").agg(F.count("*").alias("n"))
 
 
@@ -56,7 +62,7 @@ def lag_lead_context(spark: SparkSession, d: str) -> DataFrame:
 )
 def running_before(spark: SparkSession, d: str) -> DataFrame:
     own = Window.partitionBy("hand_id", "player_id").orderBy("ts", "event_id")
-    return T.actions(spark, d).select("event_id", X.running_before("aggressive", BY_STREET).cast("long").alias("street_before"), X.running_before("aggressive", own).cast("long").alias("own_before"))
+    return T.actions(spark, d).select("event_id", X.running_before("aggressive", by_street()).cast("long").alias("street_before"), X.running_before("aggressive", own).cast("long").alias("own_before"))
 
 
 @query(
@@ -95,7 +101,7 @@ def indexed_pairs(spark: SparkSession, d: str) -> DataFrame:
 def gap_prev_next(spark: SparkSession, d: str) -> DataFrame:
     """Distance to the pair's hand before and after; 9999 where there is none."""
     gap = lambda c: F.coalesce(c, F.lit(9999)).cast("long")
-    return indexed_pairs(spark, d).select("p1", "p2", "hand_id", gap(F.col("i") - F.lag("i").over(BY_PAIR_TIME)).alias("gap_before"), gap(F.lead("i").over(BY_PAIR_TIME) - F.col("i")).alias("gap_after"))
+    return indexed_pairs(spark, d).select("p1", "p2", "hand_id", gap(F.col("i") - F.lag("i").over(by_pair_time())).alias("gap_before"), gap(F.lead("i").over(by_pair_time()) - F.col("i")).alias("gap_after"))
 
 
 @query("SELECT a.p1, a.p2, a.hand_id, count(*) near FROM indexed a JOIN indexed b ON a.p1 = b.p1 AND a.p2 = b.p2 AND abs(a.i - b.i) <= 20 GROUP BY ALL", "pairs", also=_INDEXED)
@@ -107,13 +113,13 @@ def band_join_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT p1, p2, max(s) most FROM (SELECT p1, p2, CAST(sum(lines_1 + lines_2) {_PAIR_TIME} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS BIGINT) s FROM pairs) GROUP BY 1, 2", "pairs")
 def rolling20_max(spark: SparkSession, d: str) -> DataFrame:
-    rolled = F.sum(F.col("lines_1") + F.col("lines_2")).over(BY_PAIR_TIME.rowsBetween(-19, 0))
+    rolled = F.sum(F.col("lines_1") + F.col("lines_2")).over(by_pair_time().rowsBetween(-19, 0))
     return T.pair_hands(spark, d).select("p1", "p2", rolled.alias("s")).groupBy("p1", "p2").agg(F.max("s").alias("most"))
 
 
 @query(f"SELECT p1, p2, hand_id, CAST(sum(contribution_1) {_PAIR_TIME} ROWS UNBOUNDED PRECEDING) AS BIGINT) / CAST(sum(contribution_1) OVER (PARTITION BY p1, p2) AS BIGINT) share FROM pairs", "pairs")
 def cum_share(spark: SparkSession, d: str) -> DataFrame:
-    so_far = F.sum("contribution_1").over(BY_PAIR_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum("contribution_1").over(by_pair_time().rowsBetween(Window.unboundedPreceding, 0))
     return T.pair_hands(spark, d).select("p1", "p2", "hand_id", (so_far / F.sum("contribution_1").over(Window.partitionBy("p1", "p2"))).alias("share"))
 
 
@@ -125,13 +131,13 @@ def zscore_in_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT table_id, player_id, n, percent_rank() OVER (PARTITION BY table_id ORDER BY n) share FROM (SELECT table_id, player_id, count(*) n FROM seated GROUP BY 1, 2)", "seated")
 def percent_rank_pool(spark: SparkSession, d: str) -> DataFrame:
     own = T.seated(spark, d).groupBy("table_id", "player_id").agg(F.count("*").alias("n"))
-    return own.withColumn("share", F.percent_rank().over(Window.partitionBy("table_id").orderBy("n")))
+    return R.percent_rank(own, ["table_id"], "n", "share")
 
 
 @query(f"SELECT p1, p2, hand_id, row_number() {_PAIR_TIME}) / count(*) OVER (PARTITION BY p1, p2) progress FROM pairs", "pairs")
 def progress_share(spark: SparkSession, d: str) -> DataFrame:
     """Chronological position of each hand in its pair, as a share."""
-    return T.pair_hands(spark, d).select("p1", "p2", "hand_id", (F.row_number().over(BY_PAIR_TIME) / F.count("*").over(Window.partitionBy("p1", "p2"))).alias("progress"))
+    return T.pair_hands(spark, d).select("p1", "p2", "hand_id", (F.row_number().over(by_pair_time()) / F.count("*").over(Window.partitionBy("p1", "p2"))).alias("progress"))
 
 
 @query("SELECT p1, p2, hand_id, pot FROM (SELECT p1, p2, hand_id, contribution_1 + contribution_2 pot, row_number() OVER (PARTITION BY p1, p2 ORDER BY contribution_1 + contribution_2 DESC, hand_id) k FROM pairs) WHERE k <= 5", "pairs")
