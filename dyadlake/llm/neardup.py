@@ -11,7 +11,7 @@ with probability (1 - 0.8^5)^36, under one in a million. What follows loses no c
    is kept, whose components are the result.
 
 Large buckets and clusters are split into blocks of bounded size, every two blocks being a group of their own. Sets are remade for the
-documents in clusters, found by a bitmap of fixed size over their ids. Components are found by alternating large and small
+documents in clusters, found by a bitmap over hashes of their ids, of at most ``MOST_BITS``; the same keeps texts that stay out of a shuffle. Components are found by alternating large and small
 stars. Results between steps are written to the shared folder.
 
 Defined results: a null text, and one without words, has an empty set (n_shingles 0) and is linked with nothing; a text
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from . import shared as S
 
 PERMUTATIONS = 90
 ROWS = 5
-BITS = 1 << 25
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 GROUP, ITEMS = 2048, 1_500_000
 NEAR = 0.65
 
@@ -176,27 +177,41 @@ def forest(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return rows.select("key", "x", "y", "rep", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
+def slots(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def bitmap(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap of the ids' slots and its number of bits: 16 for each id, within bounds. Slot 0 counts as taken."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+    placed = ids.select(slots(column, bits).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in placed.collect():  # at most bits / 2^15 rows of 4 KB
+        if r.k:
+            out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out, bits
+
+
+def taken(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether slots may hold a wanted id."""
+    k = np.maximum(s - 1, 0)
+    return ((bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool) | (s == 0)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(rep, items) of the wanted (rep, digest); the others' sets aren't made, but for a few that share a bit. ``docs``: doc_id, text."""
-    slot = F.pmod(F.xxhash64("rep"), F.lit(BITS))
-    maps = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    bits = np.zeros(BITS // 8, np.uint8)  # places from 1 on; place 0 counts as wanted
-    for r in maps:
-        if r.k:
-            bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    made, bits = bitmap(wanted, "rep")
+    sent = docs.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = b.column(2).to_numpy(zero_copy_only=False)
-            k = np.maximum(s - 1, 0)
-            b = b.filter(pa.array(((sent.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1).astype(bool) | (s == 0)))
+            b = b.filter(pa.array(taken(sent.value, b.column(2).to_numpy(zero_copy_only=False))))
             texts, ids = S.text_of(b, "text"), b.column(0).to_pylist()
             for i, j in S.chunks(texts):
                 found = list(shingles(texts[i:j], size))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([hashlib.md5(u.tobytes()).digest() for u in found], pa.binary()), pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))], names=["rep", "digest", "items"])
 
-    made = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("s")).mapInArrow(run, "rep long, digest binary, items array<bigint>")
+    made = docs.where("doc_id is not null").select("doc_id", "text", slots("doc_id", bits).alias("s")).mapInArrow(run, "rep long, digest binary, items array<bigint>")
     return made.join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).drop("digest")
 
 
@@ -249,11 +264,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of the smallest id of each component, each once; the same columns."""
-    found = S.materialize(classes(docs, doc_id, text, size, percent))
-    gone = found.where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    out = docs.join(gone, doc_id, "left_anti").select(docs.columns)
-    repeated = S.materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id)))
-    if repeated.isEmpty():
-        return out
-    return out.join(repeated, doc_id, "left_anti").select(docs.columns).unionByName(out.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns))
+    """The documents of the smallest id of each component, each once; the same columns. Only rows whose id may be concerned are shuffled."""
+    found = S.materialize(classes(docs, doc_id, text, size, percent).where("doc_id is not null").select(F.col("doc_id").alias(doc_id), "kept"))
+    gone = found.where("not kept").select(doc_id).distinct()
+    repeated = found.groupBy(doc_id).count().where("count > 1").select(doc_id)
+    concerned = S.materialize(gone.withColumn("__gone", F.lit(True)).unionByName(repeated.join(gone, doc_id, "left_anti").withColumn("__gone", F.lit(False))))
+    made, bits = bitmap(concerned, doc_id)
+    sent = docs.sparkSession.sparkContext.broadcast(made)
+
+    @F.pandas_udf("boolean")
+    def may_be(s: pd.Series) -> pd.Series:
+        return pd.Series(taken(sent.value, s.to_numpy()))
+
+    flag = may_be(slots(doc_id, bits))
+    maybe = docs.where(flag).join(concerned, doc_id, "left")
+    stay = maybe.where("__gone is null").select(docs.columns)
+    once = maybe.where("not __gone").select(docs.columns).dropDuplicates([doc_id])
+    return docs.where(~flag).unionByName(stay).unionByName(once)
