@@ -111,13 +111,11 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", sample: i
     """From labelled URLs (label 1.0: block), at most ``sample`` distinct ones."""
     known = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).dropna()
     rows = S.sample_by_hash(known, "url", sample).groupBy("url").agg(F.max("label").alias("label"))
-    spark = labelled.sparkSession
-    bounded = spark.createDataFrame(rows.toArrow(), rows.schema)  # at most `sample` rows
-    seen = lexical(bounded)
+    seen = lexical(S.materialize(rows))  # at most `sample` rows
     total = seen.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     prior = (total[1] + 1) / (total[0] + 2)
     stats = {k: seen.groupBy(f"key_{k}").agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias(k)) for k in ("suffix1", "suffix2", "start3")}
-    stats = {k: spark.createDataFrame(s.toArrow(), s.schema) for k, s in stats.items()}
+    stats = {k: S.materialize(s) for k, s in stats.items()}
     if not 0 < total[1] < total[0]:
         return Model(stats, None, prior)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_stats(seen, stats, prior)).select("features", "label")
