@@ -61,14 +61,14 @@ def threshold_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT p1, p2, max(m) most, max(m) - avg(m) burst, count(*) bins FROM (SELECT p1, p2, b, avg(lines_1 + lines_2) m FROM (SELECT *, least(7, CAST(floor((row_number() OVER (PARTITION BY p1, p2 ORDER BY started_at, hand_id) - 1) / count(*) OVER (PARTITION BY p1, p2) * 8) AS INT)) b FROM pairs) GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    "SELECT p1, p2, max(m) most, round(max(m) - avg(m), 6) burst, count(*) bins FROM (SELECT p1, p2, b, avg(lines_1 + lines_2) m FROM (SELECT *, least(7, CAST(floor((row_number() OVER (PARTITION BY p1, p2 ORDER BY started_at, hand_id) - 1) / count(*) OVER (PARTITION BY p1, p2) * 8) AS INT)) b FROM pairs) GROUP BY 1, 2, 3) GROUP BY 1, 2",
     "pairs",
 )
 def burst_bins(spark: SparkSession, d: str) -> DataFrame:
     """Equal-width chronological bins of each pair: the strongest bin and how far it stands out."""
     position = (F.row_number().over(by_pair_time()) - 1) / F.count("*").over(Window.partitionBy("p1", "p2"))
     rows = T.pair_hands(spark, d).select("p1", "p2", (F.col("lines_1") + F.col("lines_2")).alias("x"), X.equal_width_bin(position, 8).alias("b"))
-    return rows.groupBy("p1", "p2", "b").agg(F.avg("x").alias("m")).groupBy("p1", "p2").agg(F.max("m").alias("most"), (F.max("m") - F.avg("m")).alias("burst"), F.count("*").alias("bins"))
+    return rows.groupBy("p1", "p2", "b").agg(F.avg("x").alias("m")).groupBy("p1", "p2").agg(F.max("m").alias("most"), F.round(F.max("m") - F.avg("m"), 6).alias("burst"), F.count("*").alias("bins"))
 
 
 @query("SELECT p1, p2, CAST(sum(pot) FILTER (k <= 3) AS BIGINT) / CAST(sum(pot) AS BIGINT) share FROM (SELECT p1, p2, contribution_1 + contribution_2 pot, row_number() OVER (PARTITION BY p1, p2 ORDER BY contribution_1 + contribution_2 DESC, hand_id) k FROM pairs) GROUP BY 1, 2", "pairs")
