@@ -29,12 +29,16 @@ _P_INV = pow(_P, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
 
 
+#: The local folder of each application without a shared one.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="dyadlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="dyadlake-")
+        _local[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/dyadlake-{uuid.uuid4().hex}"
 
 
