@@ -68,9 +68,9 @@ def unscale(at: np.ndarray) -> np.ndarray:
     inverse = S._powers("i")
     out = inverse[at % S.CHUNK]
     if len(at) and at[-1] >= S.CHUNK:
-        far = np.ones(int(at[-1]) // S.CHUNK + 1, np.uint64)
-        for k in range(1, len(far)):
-            far[k] = far[k - 1] * inverse[S.CHUNK]
+        steps = np.full(int(at[-1]) // S.CHUNK + 1, inverse[S.CHUNK])
+        steps[0] = 1
+        far = np.multiply.accumulate(steps)
         out = out * far[at // S.CHUNK]
     return out
 
@@ -141,7 +141,7 @@ def compared_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     S.bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(n)], 20 * n), F.min("doc_id")).first()
     bounds = np.unique(np.array([*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])], np.int64))
     nulls = rows.where("doc_id is null").limit(1).count() > 0

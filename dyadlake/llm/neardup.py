@@ -10,7 +10,8 @@ with probability (1 - 0.8^5)^36, under one in a million. What follows loses no c
 3. A cluster's full sets are brought together, each once, and compared exactly; a spanning forest of the true links
    is kept, whose components are the result.
 
-Large buckets and clusters are split into blocks of bounded size, every two blocks being a group of their own. Sets are remade for the
+Large buckets and clusters are split into blocks of bounded size; the largest component within them is left as it is and
+only the others are compared with every block. Sets are remade for the
 documents in clusters, found by a bitmap over hashes of their ids, of at most ``MOST_BITS``; the same keeps texts that stay out of a shuffle. Components are found by alternating large and small
 stars. Results between steps are written to the shared folder.
 
@@ -27,7 +28,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared as S
@@ -117,11 +118,35 @@ def components(edges: DataFrame) -> DataFrame:
     return S.materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
 
 
-def blocked(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
-    """The rows dealt into groups (key, x, y) for every two blocks of a key, sorted by group. ``blocks``: the key's number of blocks."""
-    rows = rows.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    return rows.drop("other", "g", "block").repartition(key, "x", "y").sortWithinPartitions(key, "x", "y")
+def joined_up(rows: DataFrame, key: str, payload: list[str], run, large: bool) -> DataFrame:
+    """Edges that join up the like members of every key, by ``run`` over groups of bounded size. ``rows``: key, rep, n, blocks (the key's number of blocks) and the payload.
+
+    First each block by itself. Only where a key has several (``large``): its main component so far is left as it is, and every other member is
+    compared with all blocks and with the others; so a large group of copies is never compared with itself.
+    """
+
+    def deal(df: DataFrame) -> DataFrame:
+        cols = df.select(key, "x", "y", "rep", "component", *payload)
+        return cols.repartition(key, "x", "y").sortWithinPartitions(key, "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    first = deal(rows.withColumns({"y": F.lit(-1), "component": F.col("rep")}))
+    if not large:
+        return first
+    first = S.materialize(first)
+    found = components(first).withColumnRenamed("node", "rep")
+    named = rows.where("blocks > 1").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = named.groupBy(key, "component").agg(F.count("*").alias("m")).groupBy(key).agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("main"))
+    named = named.join(sizes, key)
+    rest = named.where("component <> main")
+    parts = S.materialize(rest.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / ITEMS)).cast("int").alias("parts")))
+    rest = rest.join(parts, key).withColumn("y", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    main = named.where("component = main").join(parts, key)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = [key, "x", "y", "rep", "component", *payload]
+    second = main.withColumn("y", every("parts")).select(cols).unionByName(rest.withColumn("x", every("blocks")).select(cols))
+    among = rest.withColumn("o", every("parts")).withColumns({"x": -1 - F.least("y", "o"), "y": F.greatest("y", "o")}).select(cols)
+    return first.unionByName(deal(second.unionByName(among)))
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -141,11 +166,13 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield list(zip(*group, strict=True))[3:]
 
 
-def spanning(n: int, near) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs for which ``near(i, others)`` holds; pairs already joined up aren't asked for."""
-    root = np.arange(n)
+def spanning(component: list[int], near) -> list[tuple[int, int]]:
+    """A spanning forest, beyond the given components, of the pairs for which ``near(i, others)`` holds; pairs already joined up aren't asked for."""
+    root = np.unique(np.array(component, np.int64), return_inverse=True)[1]
+    names, counts = np.unique(root, return_counts=True)
+    main = names[counts.argmax()] if counts.max() > 1 else -1  # its members' pairs with the others are asked for by the others
     out = []
-    for i in range(n):
+    for i in np.flatnonzero(root != main).tolist():
         others = np.flatnonzero(root != root[i])
         if not len(others):
             break
@@ -165,16 +192,16 @@ def forest(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Edges that join up each bucket's members wherever sizes and sketches allow the similarity. ``buckets``: key, rep, m (the bucket's size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, n, sketch in groups(batches):
+        for rep, component, n, sketch in groups(batches):
             rep, n = np.array(rep, np.int64), np.array(n, np.int64)
             s = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rep), -1)
             near = lambda i, o, n=n, s=s: (100 * np.minimum(n[o], n[i]) >= percent * np.maximum(n[o], n[i])) & ((s[o] == s[i]).mean(1) >= NEAR)
-            edges = spanning(len(rep), near)
+            edges = spanning(component, near)
             if edges:
                 yield edge_batch(rep, edges)
 
-    rows = blocked(buckets.join(reps.select("rep", "n", "sketch"), "rep"), "key", F.ceil(F.col("m") / GROUP).cast("int"))
-    return rows.select("key", "x", "y", "rep", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    rows = buckets.join(reps.select("rep", "n", "sketch"), "rep").withColumn("blocks", F.ceil(F.col("m") / GROUP).cast("int"))
+    return joined_up(rows, "key", ["n", "sketch"], run, not buckets.where(F.col("m") > GROUP).isEmpty())
 
 
 def slots(column: str, bits: int) -> Column:
@@ -222,7 +249,7 @@ def links_within(clusters: DataFrame, docs: DataFrame, leads: DataFrame, size: i
     wanted = S.materialize(inside.join(counts, "cluster").select("rep", "digest", "cluster", "blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, items in groups(batches):
+        for rep, component, items in groups(batches):
             rep = np.array(rep, np.int64)
             n = np.array([len(x) for x in items], np.int64)
             values, ids = np.unique(np.concatenate(items), return_inverse=True)
@@ -239,12 +266,13 @@ def links_within(clusters: DataFrame, docs: DataFrame, leads: DataFrame, size: i
                 mine[own] = False
                 return 100 * common >= percent * (n[i] + n[o] - common)
 
-            edges = spanning(len(rep), near)
+            edges = spanning(component, near)
             if edges:
                 yield edge_batch(rep, edges)
 
-    rows = blocked(sets_of(docs, wanted, size), "cluster", F.col("blocks"))
-    return rows.select("cluster", "x", "y", "rep", "items").mapInArrow(run, "a long, b long").distinct()
+    large = not wanted.where("blocks > 1").isEmpty()
+    rows = sets_of(docs, wanted, size).withColumn("n", F.size("items"))
+    return joined_up(S.materialize(rows) if large else rows, "cluster", ["items"], run, large)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -254,7 +282,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     signed = S.materialize(S.add_columns(docs, "text", {"n": "long", "digest": "binary", "sketch": "binary", "keys": "array<bigint>"}, lambda: lambda texts: _signed(texts, size), ["doc_id"]))
     leads = S.materialize(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "sketch", "keys"), "doc_id").alias("s")).where("rep is not null").select("rep", "digest", "s.*"))
     keyed = leads.select("rep", F.explode("keys").alias("key"))
-    buckets = S.materialize(keyed.select("key", "rep", F.count("*").over(Window.partitionBy("key")).alias("m")).where("m > 1"))
+    shared = S.materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    buckets = S.materialize(keyed.join(shared, "key"))
     clusters = components(forest(buckets, leads, percent))
     found = components(links_within(clusters, docs, leads, size, percent))
     named = leads.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
