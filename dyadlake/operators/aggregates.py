@@ -13,6 +13,13 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
 
 
+def z_scores(df: DataFrame, keys: Sequence[str], value: str, name: str, least: float = 1e-6) -> DataFrame:
+    """``df`` with ``name``: ``value`` standardised within its keys, 0 where nothing varies; by an aggregate and a join, so no key is sorted into one task."""
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("__sd"))
+    z = F.when(F.col("__sd") < least, 0.0).otherwise((F.col(value) - F.col("__mean")) / F.nullif(F.col("__sd"), F.lit(0.0)))
+    return df.join(stats, list(keys)).withColumn(name, z).drop("__mean", "__sd")
+
+
 def ordered_tokens(token: Column, order: Sequence[str]) -> Column:
     """An aggregate: the group's tokens as an array in order. Meant for groups of bounded size, an episode or a street."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, token.alias("t")))), lambda x: x["t"])

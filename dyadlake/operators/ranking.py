@@ -46,6 +46,36 @@ def percent_rank(df: DataFrame, groups: Sequence[str], value: str, name: str, bu
     return df.join(r.join(total, list(groups)).select(*groups, value, share.alias(name)), [*groups, value])
 
 
+def average_rank_share(df: DataFrame, groups: Sequence[str], value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``name``: average rank over the rows of its group, from counts of distinct values; for groups of any size, without nulls."""
+    r = _counted(df, groups, value, buckets)
+    share = (F.col("cum___ties") - (F.col("__ties") - 1) / 2) / F.col("__all")
+    return df.join(r.select(*groups, value, share.alias(name)), [*groups, value])
+
+
+def _counted(df: DataFrame, groups: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Distinct values of each group with their rows (__ties), rows up to them (cum___ties) and all rows (__all)."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__ties"))
+    r = ranked(n.withColumn("__neg", -F.col(value)), groups, "__neg", value, ["__ties"], buckets)
+    total = n.groupBy(*groups).agg(F.sum("__ties").alias("__all"))
+    return r.join(total, list(groups)) if groups else r.join(F.broadcast(total))
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, disc: dict[str, float] | None = None, cont: dict[str, float] | None = None) -> DataFrame:
+    """Exact quantiles by name: ``disc`` are values that occur, ``cont`` are interpolated. No group's values meet in one task or one buffer."""
+    r = _counted(df, groups, value)
+    at = lambda place: F.min(F.when(F.col("cum___ties") >= place, F.col(value)))
+    n = F.col("__all")
+    found = {k: at(F.ceil(n * p - 1e-9)) for k, p in (disc or {}).items()}
+    spread = {}
+    for k, p in (cont or {}).items():
+        low = F.floor((n - 1) * p)
+        spread[k] = (at(low + 1), at(F.ceil((n - 1) * p) + 1), F.max((n - 1) * p - low))
+    out = r.groupBy(*groups).agg(*[c.alias(k) for k, c in found.items()], *[c.alias(f"__{k}_{i}") for k, cs in spread.items() for i, c in enumerate(cs)])
+    mixed = {k: (F.col(f"__{k}_0") + (F.col(f"__{k}_1") - F.col(f"__{k}_0")) * F.col(f"__{k}_2")).cast("double") for k in spread}
+    return out.select(*groups, *found, *[c.alias(k) for k, c in mixed.items()])
+
+
 def average_precision(df: DataFrame, groups: Sequence[str], score: str, label: str, tie: str) -> DataFrame:
     """ap per group: the mean over positives of the precision at their place; null without a positive."""
     r = ranked(df, groups, score, tie, [label])

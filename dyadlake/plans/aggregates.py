@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyadlake.functions import expr as X
 from dyadlake.operators import aggregates as A
+from dyadlake.operators import ranking as R
 from dyadlake.plans.registry import query
 from dyadlake.plans.windows import by_pair_time
 from dyadlake.sources import tables as T
@@ -34,8 +35,10 @@ def filtered_aggs(spark: SparkSession, d: str) -> DataFrame:
     "SELECT table_id, phase, quantile_disc(contribution, 0.9) q90, quantile_disc(contribution, 0.99) q99, quantile_cont(contribution, 0.5) middle, round(stddev_samp(contribution), 3) sd FROM seated GROUP BY 1, 2", "seated"
 )
 def quantile_nearest(spark: SparkSession, d: str) -> DataFrame:
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY contribution)").cast("long")
-    return T.seated(spark, d).groupBy("table_id", "phase").agg(q(0.9).alias("q90"), q(0.99).alias("q99"), F.percentile("contribution", 0.5).alias("middle"), F.round(F.stddev_samp("contribution"), 3).alias("sd"))
+    """Quantiles among and between values, and spread."""
+    rows = T.seated(spark, d).select("table_id", "phase", "contribution")
+    q = R.quantiles(rows, ["table_id", "phase"], "contribution", {"q90": 0.9, "q99": 0.99}, {"middle": 0.5})
+    return q.join(rows.groupBy("table_id", "phase").agg(F.round(F.stddev_samp("contribution"), 3).alias("sd")), ["table_id", "phase"])
 
 
 @query(
@@ -55,7 +58,7 @@ def topk_mean(spark: SparkSession, d: str) -> DataFrame:
 def threshold_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often a player is beyond the overall 95 % quantile; that one row is broadcast."""
     own = T.seats(spark, d).select("player_id", "contribution")
-    q = own.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY contribution)").alias("q"))
+    q = R.quantiles(own, [], "contribution", {"q": 0.95})
     beyond = F.col("contribution") >= F.col("q")
     return own.join(F.broadcast(q)).groupBy("player_id").agg(X.rate(beyond).alias("rate"), X.count_if(beyond).alias("n"))
 
@@ -132,8 +135,9 @@ def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, street, count(*) n, median(amount) middle, min(amount) least, max(amount) most, quantile_cont(amount, 0.25) q25, quantile_cont(amount, 0.75) q75 FROM (SELECT *, \"action\" event_type FROM actions) GROUP BY 1, 2", "actions")
 def profile_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts and quantiles of a column by two dimensions."""
-    q = lambda p: F.percentile("amount", p)
-    return T.actions(spark, d).groupBy(F.col("action").alias("event_type"), "street").agg(F.count("*").alias("n"), q(0.5).alias("middle"), F.min("amount").alias("least"), F.max("amount").alias("most"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    rows = T.actions(spark, d).select(F.col("action").alias("event_type"), "street", "amount")
+    q = R.quantiles(rows, ["event_type", "street"], "amount", cont={"middle": 0.5, "q25": 0.25, "q75": 0.75})
+    return q.join(rows.groupBy("event_type", "street").agg(F.count("*").alias("n"), F.min("amount").alias("least"), F.max("amount").alias("most")), ["event_type", "street"])
 
 
 @query(

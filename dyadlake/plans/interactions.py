@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyadlake.functions import expr as X
 from dyadlake.operators import aggregates as A
 from dyadlake.operators import interactions as I
+from dyadlake.operators import ranking as R
 from dyadlake.plans.registry import query
 from dyadlake.sources import tables as T
 
@@ -156,4 +157,4 @@ def bag_aggregates(spark: SparkSession, d: str) -> DataFrame:
 def fold_local_rank(spark: SparkSession, d: str) -> DataFrame:
     """Ranks normalised within each fold."""
     rows = T.table(spark, d, "labels").select("doc_id", X.fold_of("doc_id", 4, 5).alias("fold"), F.pmod(F.col("doc_id") * 7919 + 17, F.lit(1009)).alias("score"))
-    return rows.select("doc_id", "fold", X.average_rank_share(["fold"], "score").alias("share"))
+    return R.average_rank_share(rows, ["fold"], "score", "share").select("doc_id", "fold", "share")

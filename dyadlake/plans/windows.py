@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dyadlake.functions import expr as X
+from dyadlake.operators import aggregates as A
 from dyadlake.operators import ranking as R
 from dyadlake.plans.registry import query
 from dyadlake.sources import tables as T
@@ -125,7 +126,8 @@ def cum_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_suppkey, l_partkey, l_quantity, CASE WHEN coalesce(stddev_samp(l_quantity) OVER w, 0) < 1e-6 THEN 0.0 ELSE round((l_quantity - avg(l_quantity) OVER w) / stddev_samp(l_quantity) OVER w, 6) + 0.0 END z FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)")
 def zscore_in_group(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", X.rounded(X.z_score("l_quantity", ["l_suppkey"])).alias("z"))
+    rows = T.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
+    return A.z_scores(rows, ["l_suppkey"], "l_quantity", "z").withColumn("z", X.rounded("z")).select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "z")
 
 
 @query("SELECT table_id, player_id, n, percent_rank() OVER (PARTITION BY table_id ORDER BY n) share FROM (SELECT table_id, player_id, count(*) n FROM seated GROUP BY 1, 2)", "seated")

@@ -118,3 +118,20 @@ def test_stage_is_computed_once(spark, tmp_path):
     with pytest.raises(ValueError, match="columns differ"):
         files.same_columns(spark.range(1).toDF("a"), spark.range(1).toDF("b"))
     assert files.unique_key(spark.createDataFrame([(1,), (1,), (2,)], "k int"), "k").count() == 1
+
+
+def test_quantiles(spark):
+    df = spark.createDataFrame([("a", v) for v in range(1, 11)] + [("b", 5)] + [("c", 1), ("c", 1), ("c", 4), ("c", None)], "g string, v int")
+    got = {r.g: (r.d, r.c) for r in R.quantiles(df, ["g"], "v", {"d": 0.9}, {"c": 0.9}).collect()}
+    assert got["a"] == (9, pytest.approx(9.1)) and got["b"] == (5, 5.0) and got["c"] == (4, pytest.approx(3.4))
+    assert R.quantiles(df, [], "v", {"d": 0.5}).first().d == 4
+
+
+def test_shares_and_scores_by_counts(spark):
+    df = spark.createDataFrame([("k", v) for v in (1, 2, 2, 3)] + [("n", 5)], "k string, v int")
+    got = sorted((r.k, r.v, r.s) for r in R.average_rank_share(df, ["k"], "v", "s").collect())
+    assert got == [("k", 1, 0.25), ("k", 2, 0.625), ("k", 2, 0.625), ("k", 3, 1.0), ("n", 5, 1.0)]
+    got = sorted((r.k, r.v, r.s) for r in R.percent_rank(df, ["k"], "v", "s").collect())
+    assert got == [("k", 1, 0.0), ("k", 2, pytest.approx(1 / 3)), ("k", 2, pytest.approx(1 / 3)), ("k", 3, 1.0), ("n", 5, 0.0)]
+    z = {(r.k, r.v): r.z for r in A.z_scores(df, ["k"], "v", "z").collect()}
+    assert z["n", 5] == 0.0 and z["k", 2] == 0.0 and z["k", 1] == pytest.approx(-1.224745, abs=1e-6)
