@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
     return S.add_columns(docs, text, {"lang_pred": "string", "score": "double"}, lambda: lambda texts: list(score(texts, sent.value)), keep)
 
 
-def accepted(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: dict, least: float = 0.4, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in some learned language, that is not ``und`` and with a posterior of ``least``; the same columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
