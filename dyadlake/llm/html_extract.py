@@ -37,6 +37,7 @@ _NAME = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption".split())
 _VOID = frozenset(["hr"])
+_LINKABLE = frozenset("div h1 h2 h3 h4 h5 h6 figure".split())
 _AGAINST_TAGS = frozenset("nav footer aside form menu dialog dir head".split())
 _FOR_TAGS = frozenset("article main".split())
 _AGAINST = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond reply replies disqus consent contentinfo cookie cookies copyright disclaimer footer form header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related rss search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split())
@@ -90,6 +91,8 @@ def blocks(page: str) -> list[Block]:
             say(" ")
         elif tag in _BLOCK:
             flush()
+            if m["close"] or tag not in _LINKABLE:
+                linked = 0  # a link that was never closed
             if m["close"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
@@ -115,7 +118,9 @@ def blocks(page: str) -> list[Block]:
 def features(b: Block) -> list[float]:
     words = b.text.count(" ") + 1
     stops = b.text.count(".") + b.text.count("!") + b.text.count("?") + b.text.count(",") + b.text.count("。")
-    return [1.0, math.log1p(words) / 3, min(1.0, b.links / max(1, len(b.text))), min(1.0, 5 * stops / words), float(b.tag in ("h1", "h2", "h3")), float(b.tag == "li"), float(b.against), float(b.favour and not b.against)]
+    inside = b.favour and not b.against
+    links = min(1.0, b.links / max(1, len(b.text))) * (0.4 if inside else 1.0)  # an article's own lists may be links
+    return [1.0, math.log1p(words) / 3, links, min(1.0, 5 * stops / words), float(b.tag in ("h1", "h2", "h3")), float(b.tag == "li"), float(b.against), float(inside)]
 
 
 def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
