@@ -135,3 +135,12 @@ def test_shares_and_scores_by_counts(spark):
     assert got == [("k", 1, 0.0), ("k", 2, pytest.approx(1 / 3)), ("k", 2, pytest.approx(1 / 3)), ("k", 3, 1.0), ("n", 5, 0.0)]
     z = {(r.k, r.v): r.z for r in A.z_scores(df, ["k"], "v", "z").collect()}
     assert z["n", 5] == 0.0 and z["k", 2] == 0.0 and z["k", 1] == pytest.approx(-1.224745, abs=1e-6)
+
+
+def test_columns_by_schema(spark):
+    from dyadlake.functions import columns as K
+
+    df = spark.createDataFrame([(1, 2.0, "x", True), (2, float("nan"), "y", None)], "a_id int, b_mean double, c string, d_flag boolean")
+    assert K.numeric(df, but=["a_id"]) == ["b_mean", "d_flag"] and K.named(df, suffix="_mean") == ["b_mean"] and K.having(df, ["c", "z"]) == ["c"]
+    assert K.padded(df, {"z": "double", "c": "string"}).columns == ["a_id", "b_mean", "c", "d_flag", "z"]
+    assert [r.b_mean for r in K.finite(df, ["b_mean"]).orderBy("a_id").collect()] == [2.0, 0.0]
