@@ -63,7 +63,7 @@ def action_ratios(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("hand_id", "player_id", X.clip(F.col("contribution") / X.clip(F.col("total") - F.col("contribution"), 1), 0.0, 20.0).alias("pot_ratio"), (F.col("contribution") / F.col("total")).alias("share"), X.clip(F.col("contribution") / (F.col("quantity") * 100000.0), None, 100.0).alias("depth"))
 
 
-@query("SELECT p_partkey, greatest(a // 4, b // 4) + 2 + CASE WHEN a // 4 = b // 4 THEN 7.0 ELSE 0.0 END + CASE WHEN a % 4 = b % 4 THEN 1.5 ELSE 0.0 END AS strength FROM hole", also=deals._HOLE)
+@query("SELECT p_partkey, CAST(greatest(a // 4, b // 4) + 2 + CASE WHEN a // 4 = b // 4 THEN 7.0 ELSE 0.0 END + CASE WHEN a % 4 = b % 4 THEN 1.5 ELSE 0.0 END AS DOUBLE) AS strength FROM hole", also=deals._HOLE)
 def hole_strength(spark: SparkSession, d: str) -> DataFrame:
     """A plain strength of two cards: the higher rank, 7 for a pair, 1.5 for one suit."""
     a, b = F.col("a"), F.col("b")
