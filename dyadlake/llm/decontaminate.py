@@ -26,6 +26,7 @@ from . import shared as S
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
+SHARD = 1 << 17
 #: An id takes 21 bits, so that three fit into a 64-bit key; the largest id stands for nothing.
 _BITS, _TOP = 21, (1 << 21) - 1
 
@@ -83,6 +84,12 @@ def places(words: S.Words, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
     start = start[(seen[start + n] - seen[start] == n) & (end[start] >= start + n)]
     if not len(start):
         return none, none
+    found = [_search(ids, end, start[k : k + SHARD], test) for k in range(0, len(start), SHARD)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _search(ids: np.ndarray, end: np.ndarray, start: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows begin in one shard of suffixes, and their numbers: its suffix array, binary-searched for every test suffix."""
     offsets = start[:, None] + np.arange(test.window)[None, :]
     grid = np.where(offsets < end[start][:, None], ids[np.minimum(offsets, len(ids) - 1)], 0)
     suffix = keys(grid)
@@ -178,6 +185,7 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     merged = hits.groupBy("__key").agg(F.array_join(F.collect_list("ranges"), ",").alias("__ranges"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
     empty = TestSuffixes([], window)
 
+    @S.tidy
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ranges, items = (b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1))

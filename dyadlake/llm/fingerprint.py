@@ -146,6 +146,7 @@ def compared_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     bounds = np.unique(np.array([*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])], np.int64))
     nulls = rows.where("doc_id is null").limit(1).count() > 0
 
+    @S.tidy
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -166,6 +167,7 @@ def compared_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
 
+    @S.tidy
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         waiting = None  # the row that still lacks its successor

@@ -77,15 +77,37 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64), n_letters
 
 
+def segments(texts: list) -> tuple[list[str], list[int]]:
+    """The texts cut into segments of at most ``CHUNK`` characters, and the text each is of. Cuts follow a character that is no letter, where one of the last thousand is."""
+    out: list[str] = []
+    owner: list[int] = []
+    for i, t in enumerate(texts):
+        t, at = t or "", 0
+        while True:
+            end = at + S.CHUNK
+            if end < len(t):
+                end = next((k for k in range(end, end - 1000, -1) if not t[k - 1].isalpha()), end)
+            out.append(t[at:end])
+            owner.append(i)
+            at = end
+            if at >= len(t):
+                break
+    return out, owner
+
+
 def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """The model of the rows with a text and a label: languages, log priors and log-probabilities (languages x buckets)."""
     S.bound_batches(rows.sparkSession)
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
 
+    @S.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            whole = b.column(0).to_pylist()
+            texts, owner = segments(b.column(1).to_pylist())
+            langs = [whole[k] for k in owner]
+            first = np.array([not k or owner[k] != owner[k - 1] for k in range(len(owner))])
             for i, j in S.chunks(texts):
                 names = sorted(set(langs[i:j]))
                 if len(counts.keys() | set(names)) > MAX_LANGS:
@@ -97,7 +119,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict:
                     # the position after the last bucket counts documents
                     v = counts.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                     v[:BUCKETS] += table[k]
-                    v[BUCKETS] += int((no == k).sum())
+                    v[BUCKETS] += int(((no == k) & first[i:j]).sum())
         out = [r for name, v in counts.items() for r in S.sparse_rows(name, v, BLOCK)]
         if out:
             yield S.vector_batch(out)
@@ -118,21 +140,21 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict:
 def score(texts: list, model: dict) -> tuple[list[str], list[float]]:
     """Predicted languages and their posterior probabilities."""
     langs, prior, logp = model["langs"], model["prior"], model["logp"]
-    names: list[str] = []
-    scores: list[float] = []
-    texts = [t or "" for t in texts]
-    for i, j in S.chunks(texts):
-        bucket, whose, n_letters = grams(texts[i:j])
-        if not langs:
-            names += [UNKNOWN] * (j - i)
-            scores += [0.0] * (j - i)
-            continue
-        sums = np.stack([np.bincount(whose, row[bucket], minlength=j - i) for row in logp]) + prior[:, None]
-        best = sums.argmax(0)
-        post = 1 / np.exp(sums - sums.max(0)).sum(0)
-        names += [langs[k] if n else UNKNOWN for k, n in zip(best.tolist(), n_letters.tolist(), strict=True)]
-        scores += [p if n else 0.0 for p, n in zip(post.tolist(), n_letters.tolist(), strict=True)]
-    return names, scores
+    parts, owner = segments(texts)
+    sums = np.zeros((len(langs), len(texts)))
+    n_letters = np.zeros(len(texts), np.int64)
+    for i, j in S.chunks(parts):
+        bucket, whose, n = grams(parts[i:j])
+        np.add.at(n_letters, owner[i:j], n)
+        for row, out in zip(logp, sums, strict=True):
+            np.add.at(out, owner[i:j], np.bincount(whose, row[bucket], minlength=j - i))
+    if not langs:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    sums += prior[:, None]
+    best = sums.argmax(0)
+    post = 1 / np.exp(sums - sums.max(0, initial=-np.inf)).sum(0)
+    names = [langs[k] if n else UNKNOWN for k, n in zip(best.tolist(), n_letters.tolist(), strict=True)]
+    return names, [p if n else 0.0 for p, n in zip(post.tolist(), n_letters.tolist(), strict=True)]
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:

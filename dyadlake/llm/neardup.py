@@ -191,6 +191,7 @@ def edge_batch(rep: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
 def forest(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Edges that join up each bucket's members wherever sizes and sketches allow the similarity. ``buckets``: key, rep, m (the bucket's size)."""
 
+    @S.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rep, component, n, sketch in groups(batches):
             rep, n = np.array(rep, np.int64), np.array(n, np.int64)
@@ -230,6 +231,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     made, bits = bitmap(wanted, "rep")
     sent = docs.sparkSession.sparkContext.broadcast(made)
 
+    @S.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(taken(sent.value, b.column(2).to_numpy(zero_copy_only=False))))
@@ -248,6 +250,7 @@ def links_within(clusters: DataFrame, docs: DataFrame, leads: DataFrame, size: i
     counts = inside.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("items")).select("cluster", F.ceil(F.greatest(F.col("m") / GROUP, F.col("items") / ITEMS)).cast("int").alias("blocks"))
     wanted = S.materialize(inside.join(counts, "cluster").select("rep", "digest", "cluster", "blocks"))
 
+    @S.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rep, component, items in groups(batches):
             rep = np.array(rep, np.int64)

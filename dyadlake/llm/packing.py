@@ -212,6 +212,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
     held = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("__text").schema]
     schema = ", ".join([*held, *(f"{n} {'array<bigint>' if n == 'ids' else 'bigint'}" for n, _ in fields)])
 
+    @S.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         base = TaskContext.get().partitionId() << 33
@@ -243,7 +244,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
         for b in batches:
             texts = S.text_of(b, "__text")
             kept = pa.Table.from_batches([b]).drop_columns(["__text"])
-            for i, j in S.chunks(texts, 2 * S.CHUNK):
+            for i, j in S.chunks(texts, 4 * S.CHUNK):
                 stream, begins = encoder.encode(texts[i:j])
                 first = 0 if rows is None else rows.num_rows
                 rows = kept.slice(i, j - i) if rows is None else pa.concat_tables([rows, kept.slice(i, j - i)])

@@ -7,6 +7,9 @@ factor, and never a partition or a group.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Upper to lower case for A-Z only.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -51,7 +54,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Holds the Arrow batches that go to Python to a few megabytes, whatever the texts' lengths; smaller settings stay."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         if not 0 < _bytes(spark.conf.get(key)) <= most:
             spark.conf.set(key, str(most))
 
@@ -62,6 +65,21 @@ def _bytes(value: str) -> int:
     return int(digits) << {"k": 10, "m": 20, "g": 30}.get(value[len(digits) :].lower()[:1], 0)
 
 
+def tidy(run: Callable) -> Callable:
+    """Wraps a function on Arrow batches: at the end of its task, freed memory goes back to the system, since Python workers live on and wait."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def crc_fold(column: str, modulus: int):
     """crc32 of a column as text, modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -111,6 +129,7 @@ def add_columns(df: DataFrame, text: str, added: dict[str, str], work: Callable[
     kept = source.drop("__text").schema
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept)}{', ' if names else ''}{types}" if where is None else kept
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = work()
         for b in batches:
@@ -222,6 +241,7 @@ def sum_vectors(rows: DataFrame, kind: str = "int64") -> DataFrame:
     """
     dtype = np.dtype(kind)
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:

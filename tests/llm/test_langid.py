@@ -64,3 +64,12 @@ def test_held_out_accuracy(spark, small):
     out = queries.op9_language_id(spark, small).join(spark.read.parquet(f"{small}/documents.parquet"), "doc_id")
     row = out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert row[0] >= 0.97 and row[1] > 20
+
+
+def test_long_texts_are_cut_without_losing_grams(monkeypatch):
+    text = " ".join(["Straße", "été", "1st", "w" * 30, "..."] * 40)
+    whole = np.sort(L.grams([text])[0])
+    monkeypatch.setattr(L.S, "CHUNK", 70)
+    parts, owner = L.segments(["", text, None])
+    assert "".join(parts) == text and owner[0] == 0 and owner[-1] == 2 and max(map(len, parts)) <= 70
+    assert np.array_equal(np.sort(np.concatenate([L.grams([p])[0] for p in parts])), whole)
