@@ -50,33 +50,43 @@ def _number(ranks: Column, n: int) -> Column:
     return F.aggregate(F.slice(ranks, 1, n), F.lit(0), lambda s, r: s * BASE + r)
 
 
+def let(value_: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value_), body), F.lit(0))
+
+
 def value(cards: Column) -> Column:
     """The value of the best five of five to seven distinct cards: category * 15^5 + tie-break, higher is better."""
-    ranks = F.transform(cards, rank)
-    count: Callable[[Column], Column] = lambda r: F.size(F.filter(ranks, lambda x: x == r))
     every = F.sequence(F.lit(0), F.lit(12))
-    of = lambda n: _desc(F.filter(every, lambda r: count(r) == n))
+    counts = lambda ranks: F.transform(every, lambda r: F.size(F.filter(ranks, lambda x: x == r)))
+    flush_suit = F.get(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda s: F.size(F.filter(cards, lambda c: suit(c) == s)) >= 5), F.lit(0))
+    same = F.transform(F.filter(cards, lambda c: suit(c) == flush_suit), rank)  # empty without a flush
+    return let(F.transform(cards, rank), lambda ranks: let(counts(ranks), lambda n: let(same, lambda flush: _value(ranks, n, flush))))
+
+
+def _value(ranks: Column, n: Column, flush: Column) -> Column:
+    """From the ranks, how many cards each of the thirteen has, and the ranks of the flush."""
+    every = F.sequence(F.lit(0), F.lit(12))
+    of = lambda k: _desc(F.filter(every, lambda r: F.get(n, r) == k))
     singles = _desc(F.array_distinct(ranks))
-    but = lambda gone: _desc(F.filter(singles, lambda r: ~F.array_contains(gone, r)))
-    suits = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda s: F.size(F.filter(cards, lambda c: suit(c) == s)) >= 5)
-    same = F.transform(F.filter(cards, lambda c: suit(c) == F.get(suits, F.lit(0))), rank)
-    flush = F.size(suits) > 0
-    straight_flush = F.when(flush, _straight(same))
+    but = lambda gone: F.filter(singles, lambda r: ~F.array_contains(gone, r))
+    has_flush = F.size(F.coalesce(flush, F.array().cast("array<int>"))) > 0
+    straight_flush = F.when(has_flush, _straight(flush))
     four, three, two = of(4), of(3), of(2)
     straight = _straight(ranks)
-    first = lambda a: F.get(a, F.lit(0))
+    first = lambda x: F.get(x, F.lit(0))
     # a full house: the best three with the best other pair or three
     pair_of_full = F.array_max(F.concat(F.slice(three, 2, 1), F.slice(two, 1, 1)))
     unit = BASE**5
     return (
         F.when(straight_flush.isNotNull(), 8 * unit + straight_flush)
-        .when(F.size(four) > 0, 7 * unit + first(four) * BASE + first(but(F.slice(four, 1, 1))))
-        .when((F.size(three) > 0) & pair_of_full.isNotNull(), 6 * unit + first(three) * BASE + pair_of_full)
-        .when(flush, 5 * unit + _number(_desc(same), 5))
+        .when(F.array_contains(n, 4), 7 * unit + first(four) * BASE + first(but(F.slice(four, 1, 1))))
+        .when(F.array_contains(n, 3) & pair_of_full.isNotNull(), 6 * unit + first(three) * BASE + pair_of_full)
+        .when(has_flush, 5 * unit + _number(_desc(flush), 5))
         .when(straight.isNotNull(), 4 * unit + straight)
-        .when(F.size(three) > 0, 3 * unit + first(three) * BASE**2 + _number(but(F.slice(three, 1, 1)), 2))
+        .when(F.array_contains(n, 3), 3 * unit + first(three) * BASE**2 + _number(but(F.slice(three, 1, 1)), 2))
         .when(F.size(two) > 1, 2 * unit + _number(two, 2) * BASE + first(but(F.slice(two, 1, 2))))
-        .when(F.size(two) > 0, unit + first(two) * BASE**3 + _number(but(F.slice(two, 1, 1)), 3))
+        .when(F.array_contains(n, 2), unit + first(two) * BASE**3 + _number(but(F.slice(two, 1, 1)), 3))
         .otherwise(_number(singles, 5))
     ).cast("long")
 
