@@ -8,7 +8,7 @@ have their add-one relative frequency, an unknown word the share of one.
 
 1. Counts of all training tokens: each task counts its own words, then one aggregation by word.
 2. Training in ``ROUNDS`` rounds over disjoint folds of the training texts: one replica for each core takes AdaGrad steps from the broadcast
-   weights on every ``STRIDE``-th position of whole texts; the replicas' changes, weighted by how often each row was active, are summed by block of rows.
+   weights on every position of its texts; the replicas' changes, weighted by how often each row was active, are summed by block of rows.
 3. Scoring is a map in numpy. Words are looked up in a broadcast table of at most ``FREQUENT`` words, the most frequent; the other tokens are
    joined with the full counts by word, summed for each text first, so that no word is hot.
 
@@ -33,7 +33,7 @@ from . import shared as S
 SINGLES, SHAPES = 32, 32
 CLASSES = SINGLES + SHAPES
 FREQUENT = 1 << 20
-ROUNDS, STRIDE, STEP = 3, 4, 2048
+ROUNDS, STEP = 3, 2048
 RATE = 0.1
 END = np.uint64(0x5851F42D4C957F2D)
 _N = CLASSES + 1  # class values of a history: one more for before the text
@@ -194,16 +194,17 @@ def train_round(docs: DataFrame, vocabulary, weights, fold: int) -> np.ndarray:
             for i, j in S.chunks(texts):
                 h, shape, begins = tokens(texts[i:j])
                 kind = v.classes(h, shape)
-                at = np.flatnonzero(S.mix(h + np.arange(len(h), dtype=np.uint64)) % np.uint64(STRIDE) == 0)
-                wait_rows.append(features(h, kind, begins, at))
-                wait_kind.append(kind[at])
-                waiting += len(at)
-                if waiting >= STEP:
-                    rows, kinds = np.concatenate(wait_rows), np.concatenate(wait_kind)
-                    full = waiting - waiting % STEP
-                    for k in range(0, full, STEP):
-                        step(rows[k : k + STEP], kinds[k : k + STEP])
-                    wait_rows, wait_kind, waiting = [rows[full:]], [kinds[full:]], waiting - full
+                for first in range(0, len(h), 16 * STEP):  # a long text's histories a part at a time
+                    at = np.arange(first, min(first + 16 * STEP, len(h)))
+                    wait_rows.append(features(h, kind, begins, at))
+                    wait_kind.append(kind[at])
+                    waiting += len(at)
+                    if waiting >= STEP:
+                        rows, kinds = np.concatenate(wait_rows), np.concatenate(wait_kind)
+                        full = waiting - waiting % STEP
+                        for k in range(0, full, STEP):
+                            step(rows[k : k + STEP], kinds[k : k + STEP])
+                        wait_rows, wait_kind, waiting = [rows[full:]], [kinds[full:]], waiting - full
         if waiting:
             step(np.concatenate(wait_rows), np.concatenate(wait_kind))
         change = (w - weights.value) * seen[:, None]
@@ -295,8 +296,10 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text",
     first = S.materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<bigint>"))
     rare = counts.where(F.floor(F.log2(F.col("c").cast("double")) * 8) < v.least).select("h", "c")
     tail = first.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("tf")).join(rare, "h")
-    more = tail.groupBy("row").agg(F.sum("tf").alias("tf"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more"))
-    add = F.coalesce("more", F.lit(0.0))
+    own = F.col("tf") * F.log10(F.col("c") + 1.0)
+    alone = F.col("h").isin(v.tops.view(np.int64).tolist())  # a class of its own: nothing to add within it
+    more = tail.groupBy("row").agg(F.sum("tf").alias("tf"), F.sum(own).alias("more"), F.sum(F.when(~alone, own)).alias("within"))
+    add, within = F.coalesce("more", F.lit(0.0)), F.coalesce("within", F.lit(0.0))
     return first.drop("rest").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tf", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score")
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tf", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base_score") + add).alias("base_score"), (F.col("score") + within).alias("score")
     )

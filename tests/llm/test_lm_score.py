@@ -98,3 +98,21 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     S._tables.clear()
     same = whole.ends - whole.starts <= 100
     assert np.array_equal(whole.hashes[same], parts.hashes[same]) and np.array_equal(whole.first, parts.first)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_training_sees_every_position(spark, parts):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    docs = spark.createDataFrame([(t, 0) for t in texts], "text string, fold int").repartition(parts)
+    sc = spark.sparkContext
+    v = L.Vocabulary(L.count(docs, "text"), 1 << 20)
+    w = L.train_round(docs, sc.broadcast(v), sc.broadcast(np.zeros((L.ROWS_, L.CLASSES), np.float32)), 0)
+    h, shape, begins = L.tokens(texts)
+    active = np.unique(L.features(h, v.classes(h, shape), begins, np.arange(len(h))))
+    assert np.array_equal(np.flatnonzero(np.abs(w).sum(1)), active)
+
+
+def test_scores_do_not_depend_on_how_many_words_are_sent(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").coalesce(1)
+    many, none = ([(r.doc_id, r.score) for r in L.score(df, F.col("doc_id") % 2 == 1, frequent=n).orderBy("doc_id", "score").collect()] for n in (1 << 20, 0))
+    assert [d for d, _ in many] == [d for d, _ in none] and [s for _, s in many] == pytest.approx([s for _, s in none], rel=1e-4)
