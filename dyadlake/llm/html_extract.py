@@ -3,8 +3,9 @@
 A page becomes text blocks. A logistic classifier over each block (length, link density, punctuation, tag, and what the
 enclosing elements and their classes say) gives its cost as content or boilerplate: the capacities from the source
 and to the sink. Neighbouring blocks, and blocks near in the element tree, are joined by smoothness edges. The minimum cut
-labels all blocks at once; those on the source's side are the main text. Blocks that follow one another in one parent
-under the same tag are one node, so the graph grows with the page's structure rather than its length.
+labels all blocks at once; those on the source's side are the main text. Every block is a node of its own. Nodes of at most
+two edges, and those that outweigh all their edges, are solved exactly and taken out one by one, which leaves nothing of chains and
+nested siblings and takes linear time; maximum flow cuts what remains.
 
 The classifier is fitted to blocks whose enclosing elements name their part (article or main; nav, footer and the like), from at
 most ``SAMPLE`` pages, the first by a hash of their HTML, and at most ``PER_PAGE`` blocks of each, with a ridge towards fixed starting weights, so it is
@@ -56,8 +57,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    # an open element: tag, number, numbers of all open ones, whether any of them speaks against or for
-    stack: list[tuple[str, int, tuple, bool, bool]] = [("", 0, (0,), False, False)]
+    # an open element: tag, number, its place in the tree (depth, the place above), whether any of the open ones speaks against or for
+    stack: list[tuple[str, int, tuple, bool, bool]] = [("", 0, (0, None), False, False)]
     parts: list[str] = []
     number = links = linked = at = 0
 
@@ -108,7 +109,7 @@ def blocks(page: str) -> list[Block]:
             names = {w.lower() for a in _ATTR.findall(m["rest"]) for w in _NAME.findall("".join(a))} if m["rest"] else ()
             against = against or tag in _AGAINST_TAGS or (tag == "header" and not favour) or not _AGAINST.isdisjoint(names)
             favour = favour or tag in _FOR_TAGS or not _FOR.isdisjoint(names)
-            stack.append((tag, number, (*path, number) if len(path) < 64 else path, against, favour))
+            stack.append((tag, number, (path[0] + 1, path), against, favour))
     if at < len(page):
         say(page[at:])
     flush()
@@ -182,33 +183,76 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                 u = to[path.pop() ^ 1]
 
 
+def steps(p: tuple, q: tuple) -> int:
+    """How far apart two places in the tree are."""
+    n = 0
+    while p is not q:
+        if p[0] >= q[0]:
+            p = p[1]
+        else:
+            q = q[1]
+        n += 1
+    return n
+
+
+def reduced_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """``min_cut`` of the same graph. A node of at most two edges goes into what its best label costs for either label of its neighbours."""
+    s = list(score)
+    near: list[dict[int, float]] = [{} for _ in s]
+    for a, b, c in edges:
+        near[a][b] = near[b][a] = near[a].get(b, 0.0) + c
+    gone = [False] * len(s)
+    order: list[int] = []
+    queue = deque(range(len(s)))
+    while queue:
+        i = queue.popleft()
+        own = near[i]
+        if gone[i] or len(own) > 2 and abs(s[i]) <= sum(own.values()):
+            continue
+        gone[i] = True
+        order.append(i)
+        for a in own:
+            del near[a][i]
+            queue.append(a)
+        if len(own) == 1:
+            ((a, c),) = own.items()
+            s[a] += min(0.0, c - s[i]) - min(c, -s[i])
+        elif len(own) == 2:
+            (a, c), (b, d) = own.items()
+            none, only_a, only_b, both = min(0.0, c + d - s[i]), min(c, d - s[i]), min(d, c - s[i]), min(c + d, -s[i])
+            joint = max(0.0, (only_a + only_b - none - both) / 2)
+            s[a] -= only_a - none - joint
+            s[b] -= only_b - none - joint
+            if joint > 1e-12:
+                near[a][b] = near[b][a] = near[a].get(b, 0.0) + joint
+        else:  # it outweighs its edges
+            for a, c in own.items():
+                s[a] += c if s[i] > 0 else -c
+    content = [False] * len(s)
+    rest = [i for i in range(len(s)) if not gone[i]]
+    number = {i: k for k, i in enumerate(rest)}
+    if rest:
+        for i, keep in zip(rest, min_cut([s[i] for i in rest], [(number[i], number[a], c) for i in rest for a, c in near[i].items() if i < a]), strict=True):
+            content[i] = keep
+    for i in reversed(order):
+        content[i] = s[i] + sum(c if content[a] else -c for a, c in near[i].items()) > 1e-9
+    return content
+
+
 def label(found: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are main text."""
     if not found:
         return []
     logit = np.clip(np.array([features(b) for b in found]) @ weights, -4, 4).tolist()
-    node: list[int] = []
-    firsts: list[Block] = []
-    score: list[float] = []
-    for b, s in zip(found, logit, strict=True):
-        if firsts and b.parent == firsts[-1].parent and b.tag == firsts[-1].tag and b.against == firsts[-1].against:
-            score[-1] += s
-        else:
-            firsts.append(b)
-            score.append(s)
-        node.append(len(firsts) - 1)
     edges = []
     last: dict[int, int] = {}
-    for k, b in enumerate(firsts):
+    for k, b in enumerate(found):
         if k:
-            p, q = firsts[k - 1].path, b.path
-            shared = next((i for i, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
-            edges.append((k - 1, k, SMOOTH / (1 + len(p) + len(q) - 2 * shared)))
+            edges.append((k - 1, k, SMOOTH / (1 + steps(found[k - 1].path, b.path))))
         if b.parent in last and last[b.parent] < k - 1:
             edges.append((last[b.parent], k, SMOOTH))
         last[b.parent] = k
-    content = min_cut(score, edges)
-    return [content[k] for k in node]
+    return reduced_cut(logit, edges)
 
 
 def extract(page: str | None, weights: np.ndarray) -> str:

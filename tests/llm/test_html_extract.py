@@ -66,3 +66,33 @@ def test_query_keeps_exactly_the_articles(spark, small):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.DOTALL)[1]
         parts = [" ".join(html.unescape(re.sub(r"<(?!/?(?:p|h1))[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+GOOD = [f"Paragraph number {i} has a good many words in it, and it ends with a stop." for i in range(10)]
+
+
+def test_every_block_of_a_flat_page_has_its_own_label():
+    links = [f'<a href="/{i}">Link number {i}</a>' for i in range(20)]
+    page = lambda parts: "<body>" + "".join(f"<p>{x}</p>" for x in parts) + "</body>"
+    assert H.extract(page(links + GOOD), H.START).split("\n") == GOOD
+    assert H.extract(page(GOOD[:5] + links[:1] + GOOD[5:]), H.START).split("\n") == GOOD
+
+
+def test_blocks_deep_in_the_tree_are_as_far_apart_as_they_are():
+    a, b = H.blocks("<div>" * 100 + "<div><div>a</div></div><div><div>b</div></div>")
+    assert H.steps(a.path, b.path) == 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reduced_cut_is_the_minimum_cut(seed):
+    r = random.Random(seed)
+    for _ in range(200):
+        n = r.randint(1, 12)
+        score = [r.uniform(-3, 3) for _ in range(n)]
+        edges = [(a, b, r.uniform(0, 2)) for a, b in itertools.combinations(range(n), 2) if r.random() < r.choice([0.2, 0.5]) or b == a + 1]
+        assert H.reduced_cut(score, edges) == H.min_cut(score, edges)
+
+
+def test_long_weak_runs_are_cut_in_linear_time():
+    nested = "".join(f"<div>{i} some words</div><p>{i}</p>" for i in range(30_000))
+    assert isinstance(H.extract(f"<body>{nested}</body>", H.START), str)
