@@ -4,7 +4,8 @@ Base spans follow fixed rules (email, ip, card, phone). Looser patterns propose
 every candidate: the strict form, a gazetteer, context before it that speaks for or against it, neighbouring
 candidates, and clean edges. Only counts of distinct vote patterns (kind, votes, length class; a bounded number) leave the tasks, over all
 documents; on them expectation-maximisation estimates each labeler's reliability and the posteriors, and a logistic span
-classifier is fitted to those. Base spans stay whatever it says; other candidates need ``LEAST`` and overlap no kept span.
+classifier is fitted to those, each pattern weighing its share of all candidates, so the fit follows their distribution and not the size of the
+table. Base spans stay whatever it says; other candidates need ``LEAST`` and overlap no kept span.
 
 Documents are read once for the counts and the candidates, which are written to the shared folder without their texts;
 ``mask`` reads the texts twice instead. Nothing is shuffled but the pattern counts.
@@ -30,6 +31,8 @@ ADDED = ("mail_words", "number", "local_phone", "ssn", "iban")
 KINDS = BASE + ADDED
 LEAST = 0.8
 ROUNDS = 50
+#: What the candidates of a table weigh together against the classifier's ridge, however many they are.
+WEIGHT = 1e6
 
 _RIGHT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -164,12 +167,16 @@ def fit(counts: dict[str, int]) -> dict[str, float]:
         post = 1 / (1 + np.exp(-np.clip(logit, -20, 20)))
     # the classifier: votes, kind and length class
     x = np.stack([*(v.T), *[(v[:, j] == 0) for j in range(v.shape[1])], *[np.array([k == kind for k in kinds]) for kind in KINDS], *[full[:, -1] == c for c in range(8)], np.ones(len(names))], 1).astype(float)
-    w, weight = np.zeros(x.shape[1]), np.minimum(n, 1000)
+    w, weight = np.zeros(x.shape[1]), n / n.sum() * WEIGHT
+    loss = lambda w: (weight * (np.logaddexp(0, x @ w) - post * (x @ w))).sum() + 0.05 * w @ w
     for _ in range(30):  # Newton's method with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - post)) + 0.1 * w
         h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w -= np.linalg.solve(h, g)
+        step, now = np.linalg.solve(h, g), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        w -= step
     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
     return dict(zip(names, p.tolist(), strict=True))
 

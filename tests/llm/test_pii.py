@@ -93,3 +93,13 @@ def test_oracle_counts_by_regular_expression(spark, small):
         base = brute(r.text)
         assert [got[r.doc_id][f"n_{k}"] for k in P.BASE] == [sum(s[0] == k for s in base) for k in P.BASE]
     assert docs.where(F.col("text").isNotNull()).count() == len(got)
+
+
+def test_fit_follows_the_distribution_and_not_the_size():
+    r = random.Random(3)
+    shares = {}
+    for _ in range(60):
+        votes = (r.choice([-1, 1]), r.choice([-1, 0, 1]), r.choice([0, 1]), r.choice([-1, 0]), r.choice([0, 1]), r.choice([-1, 1]), r.randint(0, 7))
+        shares[P.pattern(r.choice(["number", "ssn", "local_phone"]), votes)] = round(10 ** r.uniform(0, 4))
+    small, large = (P.fit({p: n * k for p, n in shares.items()}) for k in (20, 20_000))
+    assert max(abs(small[p] - large[p]) for p in shares) < 1e-3
