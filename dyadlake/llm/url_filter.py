@@ -2,8 +2,8 @@
 
 Features come from the URL alone, as SQL expressions: lengths, depth, digit ratio, character entropy, parameter counts,
 hyphens and labels of the host, and statistics of its suffixes (how often a last or last-two-label suffix, and the
-first label's start, was blocked among the labelled URLs, smoothed). Trees are trained by MLlib on at most ``SAMPLE`` labelled URLs, the first by a
-hash of the URL; all rows are scored. The suffix tables, of at most ``SAMPLE`` rows each, are broadcast.
+first label's start, was blocked among all labelled rows, repeated ones counted each, smoothed). Trees are trained by MLlib on at most ``SAMPLE`` labelled URLs, the first by a
+hash of the URL; all rows are scored. Of every suffix table the ``FREQUENT`` commonest keys are broadcast; if there are more, the other keys are joined by key.
 
 Host: what stands between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to
 ``?``, ``#`` or the end. A rule fits its host and all subdomains, for paths that begin with its path; the longest wins.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 SAMPLE = 20_000
+FREQUENT = 20_000
 #: The rules of the registered query, (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words that mark a host as unwanted; they label the URLs that the registered query trains on.
@@ -94,28 +95,49 @@ def seed_label(host: Column) -> Column:
 
 
 class Model:
-    """Suffix statistics by name, and the trees over ``FEATURES`` (None if only one class was seen)."""
+    """Suffix statistics by name, the commonest keys and the others (None if there are none), and the trees over ``FEATURES`` (None if only one class was seen)."""
 
-    def __init__(self, stats: dict[str, DataFrame], trees: GBTClassificationModel | None, prior: float):
+    def __init__(self, stats: dict[str, tuple[DataFrame, DataFrame | None]], trees: GBTClassificationModel | None, prior: float):
         self.stats, self.trees, self.prior = stats, trees, prior
 
 
-def with_stats(df: DataFrame, stats: dict[str, DataFrame], prior: float) -> DataFrame:
-    """Suffix statistics joined to ``lexical``'s frame. Each table has at most ``SAMPLE`` rows."""
-    for k, s in stats.items():
-        df = df.join(F.broadcast(s), f"key_{k}", "left").withColumn(k, F.coalesce(k, F.lit(prior)))
+def with_stats(df: DataFrame, stats: dict[str, tuple[DataFrame, DataFrame | None]], prior: float) -> DataFrame:
+    """Suffix statistics joined to ``lexical``'s frame. Only rows whose key isn't among the commonest look for it by key; the others are spread."""
+    for k, (common, others) in stats.items():
+        df = df.join(F.broadcast(common), f"key_{k}", "left")
+        if others is not None:
+            seek = F.col(k).isNull()
+            df = df.withColumns({"seek": seek, "seek_key": F.when(seek, F.col(f"key_{k}")).otherwise(F.pmod(F.xxhash64("url"), F.lit(4096)).cast("string"))})
+            df = df.join(others.select(F.lit(True).alias("seek"), F.col(f"key_{k}").alias("seek_key"), F.col(k).alias("sought")), ["seek", "seek_key"], "left").withColumn(k, F.coalesce(k, "sought")).drop("seek", "seek_key", "sought")
+        df = df.withColumn(k, F.coalesce(k, F.lit(prior)))
     return df
 
 
+def suffix_stats(known: DataFrame) -> tuple[dict[str, tuple[DataFrame, DataFrame | None]], float]:
+    """The statistics of all labelled rows, and the share blocked of them."""
+    names = ("suffix1", "suffix2", "start3")
+    keys = lexical(known).select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"key_{k}").alias("key")) for k in names])).alias("k"))
+    counts = S.materialize(keys.groupBy("k.name", "k.key").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")))
+    sums = {r["name"]: r for r in counts.groupBy("name").agg(F.count("*").alias("keys"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).collect()}
+    prior = (sums["suffix1"].blocked + 1) / (sums["suffix1"].n + 2) if sums else 0.5
+    stats = {}
+    for k in names:
+        own = counts.where(F.col("name") == k).select(F.col("key").alias(f"key_{k}"), ((F.col("blocked") + 20 * prior) / (F.col("n") + 20)).alias(k), "n")
+        if not sums or sums[k]["keys"] <= FREQUENT:
+            stats[k] = (own.drop("n"), None)
+        else:
+            common = S.materialize(own.orderBy(F.desc("n"), f"key_{k}").limit(FREQUENT).drop("n"))
+            stats[k] = (common, own.drop("n").join(F.broadcast(common.select(f"key_{k}")), f"key_{k}", "left_anti"))
+    return stats, prior
+
+
 def train(labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE) -> Model:
-    """From labelled URLs (label 1.0: block), at most ``sample`` distinct ones."""
+    """From labelled URLs (label 1.0: block): statistics of all of them, trees from at most ``sample`` distinct ones."""
     known = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).dropna()
+    stats, prior = suffix_stats(known)
     rows = S.sample_by_hash(known, "url", sample).groupBy("url").agg(F.max("label").alias("label"))
     seen = lexical(S.materialize(rows))  # at most `sample` rows
     total = seen.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    prior = (total[1] + 1) / (total[0] + 2)
-    stats = {k: seen.groupBy(f"key_{k}").agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias(k)) for k in ("suffix1", "suffix2", "start3")}
-    stats = {k: S.materialize(s) for k, s in stats.items()}
     if not 0 < total[1] < total[0]:
         return Model(stats, None, prior)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_stats(seen, stats, prior)).select("features", "label")

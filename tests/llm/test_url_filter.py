@@ -70,3 +70,18 @@ def test_query(spark, small):
         host, path, rule = brute(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[0] + rule[1])
         assert r.verdict == rule[2] if rule else r.verdict in ("allow", "block")
+
+
+@pytest.mark.parametrize("frequent", [20_000, 50])
+def test_statistics_are_of_all_labelled_urls(spark, monkeypatch, frequent):
+    """Domains that only other labelled rows than the trees' sample tell of, broadcast and joined by key."""
+    monkeypatch.setattr(U, "FREQUENT", frequent)
+    i = F.col("id")
+    domain = (i % 300).cast("int")
+    url = lambda page: F.concat(F.lit("http://www.d"), F.lpad(F.pmod(domain * 7919, F.lit(1000)).cast("string"), 3, "0"), F.lit(".net/"), page)
+    df = spark.range(300 * 40).select(i.alias("page_id"), url((i % 977).cast("string")).alias("url"), (F.xxhash64(domain) % 2 == 0).cast("double").alias("label"))
+    model = U.train(df, sample=100)
+    common, others = model.stats["suffix2"]
+    assert common.count() + (others.count() if others is not None else 0) == 300
+    out = U.judge(df, model, rules=())
+    assert out.count() == 12_000 and out.agg(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int"))).first()[0] > 0.97
