@@ -62,8 +62,8 @@ def pair_hand_features(pair_hands: DataFrame) -> DataFrame:
     return pair_hands.select("p1", "p2", "hand_id", *[c.alias(k) for k, c in hand_columns().items()])
 
 
-def pair_features(features: DataFrame, mean: Sequence[str] = ("both_stayed", "one_folded"), most: Sequence[str] = ("net_gap",), summed: Sequence[str] = ("moved_12", "moved_21")) -> DataFrame:
+def pair_features(features: DataFrame, mean: Sequence[str] = ("both_stayed", "one_folded"), most: Sequence[str] = ("net_gap",), summed: Sequence[str] = ("moved_12", "moved_21"), by: Sequence[str] = ("p1", "p2")) -> DataFrame:
     """Pair features from pair-hand ones: means, maxima, sums, imbalance and direction."""
-    one = features.groupBy("p1", "p2").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in mean], *[F.max(c).alias(f"{c}_max") for c in most], *[F.sum(c).alias(f"{c}_sum") for c in summed], F.avg("loser_is_first").alias("direction"))
+    one = features.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in mean], *[F.max(c).alias(f"{c}_max") for c in most], *[F.sum(c).alias(f"{c}_sum") for c in summed], F.avg("loser_is_first").alias("direction"))
     a, b = F.col("moved_12_sum"), F.col("moved_21_sum")
     return one.withColumn("imbalance", X.ratio(F.abs(a - b), a + b))

@@ -12,7 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dyadlake.functions import expr as X
 from dyadlake.operators import ranking as R
+from dyadlake.sources import files
 
 
 def logistic(features: Sequence[str], weight: str | None = None, classes: str = "auto") -> Pipeline:
@@ -22,8 +24,9 @@ def logistic(features: Sequence[str], weight: str | None = None, classes: str =
     return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled"), model])
 
 
-def boosted(features: Sequence[str], weight: str | None = None, seed: int = 7) -> Pipeline:
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=10, maxDepth=3, seed=seed, **({"weightCol": weight} if weight else {}))
+def boosted(features: Sequence[str], weight: str | None = None, seed: int = 7, subset: str = "all") -> Pipeline:
+    """Boosted trees. ``subset``: which share of the features a node chooses from, by the seed."""
+    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=10, maxDepth=3, seed=seed, featureSubsetStrategy=subset, **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="vector"), model])
 
 
@@ -40,28 +43,32 @@ def out_of_fold(df: DataFrame, make: Callable[[], Pipeline], fold: str, folds: i
     return reduce(DataFrame.unionByName, parts)
 
 
-def pu_rounds(df: DataFrame, features: Sequence[str], stages: Sequence[float] = (0.5, 0.25)) -> DataFrame:
-    """Positive-unlabelled ranking. ``known``: 1, 0 or null. Unlabelled rows start with weight 0.1; each further round takes those scoring above
-    a quantile of the positives as positive with weight 1."""
-    base = df.withColumns({"label": F.coalesce(F.col("known"), F.lit(0)).cast("double"), "w": F.when(F.col("known") == 1, 5.0).when(F.col("known") == 0, 1.0).otherwise(0.1)})
-    scored = probability(logistic(features, "w").fit(base), base)
+def pu_rounds(df: DataFrame, features: Sequence[str], stages: Sequence[float] = (0.5, 0.25), fold: str = "fold", folds: int = 3) -> DataFrame:
+    """Positive-unlabelled ranking, scored out of fold. ``known``: 1, 0 or null. Unlabelled rows start with weight 0.1; each further round takes those
+    scoring above a quantile of the positives as positive with weight 1, and gives those below it but above the positives' 5 % one weight 0.2."""
+    known, none = F.coalesce(F.col("known"), F.lit(0)).cast("double"), F.col("known").isNull()
+    weight = F.when(F.col("known") == 1, 5.0).when(F.col("known") == 0, 1.0)
+    rows = df.withColumns({"label": known, "w": weight.otherwise(0.1)})
+    scored = files.stage(out_of_fold(rows, lambda: logistic(features, "w"), fold, folds))
     for q in stages:
-        cut = scored.where("known = 1").agg(F.percentile_approx("p", q).alias("cut"))
-        again = scored.join(F.broadcast(cut))
-        likely = F.col("known").isNull() & (F.col("p") >= F.col("cut"))
-        again = again.withColumns({"label": F.when(likely, 1.0).otherwise(F.coalesce(F.col("known"), F.lit(0)).cast("double")), "w": F.when(likely, 1.0).otherwise(F.col("w"))}).drop("cut", "p")
-        scored = probability(logistic(features, "w").fit(again), again)
+        cuts = scored.where("known = 1").agg(F.percentile_approx("p", q).alias("cut"), F.percentile_approx("p", 0.05).alias("unsure"))
+        again = scored.join(F.broadcast(cuts))
+        likely, unsure = none & (F.col("p") >= F.col("cut")), none & (F.col("p") >= F.col("unsure"))
+        again = again.withColumns({"label": F.when(likely, 1.0).otherwise(known), "w": weight.when(likely, 1.0).when(unsure, 0.2).otherwise(0.1)}).drop("cut", "unsure", "p")
+        scored = files.stage(out_of_fold(again, lambda: logistic(features, "w"), fold, folds))
     return scored.drop("label", "w")
 
 
-def mil_rounds(df: DataFrame, bag: str, features: Sequence[str], tie: str, rounds: int = 2, top: int = 8) -> DataFrame:
-    """Multiple-instance learning: a positive bag's best ``top`` rows are its positives, its others count little; repeated."""
-    rows = df.withColumns({"label": F.col("bag_label").cast("double"), "w": F.when(F.col("bag_label") == 1, 0.3).otherwise(1.0)})
+def mil_rounds(df: DataFrame, bag: str, features: Sequence[str], tie: str, rounds: int = 3, top: int = 8, folds: int = 3) -> DataFrame:
+    """Multiple-instance learning: a positive bag's best ``top`` rows are its positives, its others count little; repeated. All scores are of models
+    that saw no row of the bag."""
+    rows = df.withColumns({"mil_fold": X.fold_of(bag, folds), "label": F.col("bag_label").cast("double"), "w": F.when(F.col("bag_label") == 1, 0.3).otherwise(1.0)})
+    rows = files.stage(out_of_fold(rows, lambda: logistic(features, "w"), "mil_fold", folds))
     for _ in range(rounds):
-        rows = probability(logistic(features, "w").fit(rows), rows)
         place = F.row_number().over(Window.partitionBy(bag).orderBy(F.desc("p"), tie))
-        rows = rows.withColumn("place", place).withColumns({"label": ((F.col("bag_label") == 1) & (F.col("place") <= top)).cast("double"), "w": F.when(F.col("bag_label") == 1, F.when(F.col("place") <= top, 1.0).otherwise(0.2)).otherwise(1.0)}).drop("place")
-    return rows.drop("label", "w")
+        rows = rows.withColumn("place", place).withColumns({"label": ((F.col("bag_label") == 1) & (F.col("place") <= top)).cast("double"), "w": F.when(F.col("bag_label") == 1, F.when(F.col("place") <= top, 1.0).otherwise(0.2)).otherwise(1.0)}).drop("place", "p")
+        rows = files.stage(out_of_fold(files.stage(rows), lambda: logistic(features, "w"), "mil_fold", folds))
+    return rows.drop("label", "w", "mil_fold")
 
 
 def bagged(df: DataFrame, features: Sequence[str], seeds: Sequence[int]) -> DataFrame:

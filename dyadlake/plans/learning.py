@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadlake.functions import expr as X
+from dyadlake.operators import behaviour as B
 from dyadlake.operators import learning as L
 from dyadlake.plans import behaviour
 from dyadlake.plans.registry import query
@@ -24,6 +25,23 @@ def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     return files.stage(one.select("p1", "p2", key.alias("id"), *[F.col(c).cast("double").alias(c) for c in PAIR], known.alias("known"), X.fold_of(key, 3).alias("fold")))
 
 
+def labelled_pair_hands(spark: SparkSession, d: str) -> DataFrame:
+    """Hands of pairs with the label of their pair, and a fold for every table."""
+    hands = T.pair_hands(spark, d).select("table_id", "p1", "p2", "hand_id", *[c.alias(k) for k, c in B.hand_columns().items()])
+    return hands.join(labelled_pairs(spark, d).select("p1", "p2", "known"), ["p1", "p2"]).withColumn("fold", F.pmod("table_id", F.lit(TABLES)))
+
+
+def labelled_table_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The features of a pair at one table, with the table's fold; labels as those of ``labelled_pairs``, from the same table."""
+    hands = T.pair_hands(spark, d).select("table_id", "p1", "p2", "hand_id", *[c.alias(k) for k, c in B.hand_columns().items()])
+    one = B.pair_features(hands, by=("table_id", "p1", "p2")).fillna(0.0, ["imbalance"])
+    known = F.when((F.col("p1") * 1000003 + F.col("p2")) % 3 < 2, (F.col("imbalance") > 0.3).cast("int"))
+    return files.stage(one.select("table_id", "p1", "p2", *[F.col(c).cast("double").alias(c) for c in PAIR], known.alias("known"), F.pmod("table_id", F.lit(TABLES)).alias("fold")))
+
+
+#: Folds of tables: one for each of the five.
+TABLES = 5
+HAND = ("net_gap", "lines", "one_folded", "both_stayed", "both_shown", "loser_folded")
 SITUATION = ("street", "amount", "own_before", "street_before")
 
 
@@ -49,17 +67,20 @@ def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hand_ranker_oof(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees, every labelled pair scored without its fold."""
-    rows = labelled_pairs(spark, d).where("known is not null").withColumn("label", F.col("known").cast("double"))
-    return L.out_of_fold(rows, lambda: L.boosted(PAIR), "fold", 3).select("p1", "p2", "fold", "known", F.round("p", 6).alias("p"))
+    """Boosted trees over the hands of labelled pairs, those of positive ones weighing 8; every hand scored without its table, the mean of two seeds."""
+    rows = labelled_pair_hands(spark, d).where("known is not null")
+    rows = files.stage(rows.select("table_id", "p1", "p2", "hand_id", "fold", "known", *[F.col(c).cast("double").alias(c) for c in HAND], F.col("known").cast("double").alias("label"), F.when(F.col("known") == 1, 8.0).otherwise(1.0).alias("w")))
+    for seed in (7, 18):
+        rows = files.stage(L.out_of_fold(rows, lambda seed=seed: L.boosted(HAND, "w", seed, "0.6"), "fold", TABLES).withColumnRenamed("p", f"p_{seed}"))
+    return rows.select("table_id", "p1", "p2", "hand_id", "fold", "known", F.round((F.col("p_7") + F.col("p_18")) / 2, 6).alias("p"))
 
 
 @query()
 def leave_table_out(spark: SparkSession, d: str) -> DataFrame:
-    """Unlabelled pairs scored by the models fitted without their fold."""
-    rows = labelled_pairs(spark, d)
+    """Unlabelled pairs of every table scored by the model fitted without the table."""
+    rows = labelled_table_pairs(spark, d)
     known = rows.where("known is not null").withColumn("label", F.col("known").cast("double"))
-    return L.out_of_fold(known, lambda: L.logistic(PAIR), "fold", 3, rows.where("known is null")).select("p1", "p2", "fold", F.round("p", 6).alias("p"))
+    return L.out_of_fold(known, lambda: L.logistic(PAIR), "fold", TABLES, rows.where("known is null")).select("table_id", "p1", "p2", "fold", F.round("p", 6).alias("p"))
 
 
 @query()

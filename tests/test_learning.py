@@ -44,3 +44,23 @@ def test_bag_and_rank_share(spark):
     out = L.rank_share(L.bagged(df, ["x", "z"], (1, 2)), "p", "id")
     assert out.agg(F.max("share"), F.count("*")).first() == (1.0, 600)
     assert R.auc(out, "p", "truth").first().auc > 0.98
+
+
+def test_tables_are_left_out_whole(spark, small):
+    from __spark_entry__ import queries
+
+    out = queries()["leave_table_out"](spark, small)
+    assert out.groupBy("table_id").agg(F.count_distinct("fold").alias("n")).where("n <> 1").count() == 0
+    assert out.select("fold").distinct().count() == out.select("table_id").distinct().count()
+    hands = queries()["hand_ranker_oof"](spark, small)
+    assert "hand_id" in hands.columns and hands.groupBy("fold").agg(F.count_distinct("table_id").alias("n")).where("n <> 1").count() == 0
+
+
+def test_rounds_score_out_of_fold(spark, monkeypatch):
+    calls = []
+    real = L.out_of_fold
+    monkeypatch.setattr(L, "out_of_fold", lambda df, *a: calls.append(df.columns) or real(df, *a))
+    seen = L.pu_rounds(rows(spark), ["x", "z"])
+    assert len(calls) == 3 and seen.count() == 600
+    df = rows(spark, 120).withColumns({"bag": (F.col("id") / 10).cast("int"), "bag_label": ((F.col("id") / 10).cast("int") % 2).cast("int")})
+    assert L.mil_rounds(df, "bag", ["x", "z"], "id", top=3).count() == 120 and len(calls) == 7
