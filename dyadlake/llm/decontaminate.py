@@ -9,7 +9,8 @@ no more memory; results of several blocks are joined by document.
 
 Windows are ``WINDOW`` words; an item of fewer words, but not none, is one window. Defined results: null and wordless
 texts have no words, hits or items; repeated rows get the same result each; an empty benchmark hits nothing; an item
-without words has no window; items of one id count once. Words are compared by 64-bit hashes.
+without words has no window; items of one id count once, and those
+without an id as one item, which items_sha256 leaves out. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _BITS, _TOP = 21, (1 << 21) - 1
 class TestSuffixes:
     """The distinct windows of some benchmark items as suffix keys: vocabulary, keys by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.window = window
         w = S.Words([t or "" for _, t in items], S.ALNUM)
         self.vocabulary = np.unique(w.hashes)
@@ -48,7 +49,7 @@ class TestSuffixes:
             for j in range(len(own) - n + 1 if n else 0):
                 where.setdefault(tuple(own[j : j + n].tolist()), []).append(k)
         self.windows = list(where)
-        self.names = [sorted({items[k][0] for k in v}) for v in where.values()]
+        self.names = [{items[k][0] for k in v} for v in where.values()]
         self.lengths = np.array([len(x) for x in self.windows], np.int64)
         self.shortest = int(self.lengths.min()) if len(self.windows) else 0
         grid = np.zeros((len(self.windows), window), np.int64)
@@ -132,13 +133,13 @@ def judge(texts: list, test: TestSuffixes) -> tuple[list[int], list[list[tuple[i
             for d, k in np.unique(np.stack([whose, window], 1), axis=0).tolist():
                 names[d].update(test.names[k])
         ranges += found
-        items += [sorted(x) for x in names]
+        items += [sorted(x, key=lambda i: (i is not None, i or "")) for x in names]
     return n_words, ranges, items
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, window: int, block_chars: int) -> Iterator[TestSuffixes]:
     """The benchmark's test suffixes, a block of items at a time."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars) or 1
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
@@ -147,7 +148,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, window: int, block_chars:
 
 
 def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return hashlib.sha256(",".join(i for i in items if i is not None).encode()).hexdigest()
 
 
 def _finish(n: list[int], ranges: list, items: list) -> list[list]:

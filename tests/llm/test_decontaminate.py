@@ -74,3 +74,13 @@ def test_empty_tables_repeats_and_long_texts(spark):
 
 def test_oracle(spark, small):
     assert same(queries.op6_decontamination(spark, small), oracles.OP6, small) == 200
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 20])
+def test_items_without_an_id_contaminate(spark, block_chars):
+    docs = spark.createDataFrame([(1, "x a b c d y"), (2, "x e f g h y"), (3, "other")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d"), (7, "e f g h")], "item_id long, text string")
+    rows = {r.doc_id: r for r in D.report(docs, bench, window=4, block_chars=block_chars).collect()}
+    assert [(rows[i].n_hit, rows[i].n_items, rows[i].contaminated) for i in (1, 2, 3)] == [(4, 1, True), (4, 1, True), (0, 0, False)]
+    assert rows[1].items_sha256 == D.digest([]) and rows[2].items_sha256 == D.digest(["7"])
+    assert [r.doc_id for r in D.remove(docs, bench, window=4, block_chars=block_chars).collect()] == [3]
