@@ -14,7 +14,7 @@ from dyadlake.llm import shared as S
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language learned from the labelled ones; the others (no letter, or no likely language) go."""
+    """Documents with a letter. The posterior of the learned languages is near 1 for any longer text, one in no learned language included, so in effect only ``und`` is rejected."""
     return langid.accepted(docs, langid.train(docs.where(F.col("lang").isNotNull())))
 
 

@@ -164,7 +164,11 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
 
 
 def accepted(docs: DataFrame, model: dict, least: float = 0.4, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in some learned language, that is not ``und`` and with a posterior of ``least``; the same columns."""
+    """The rows of ``docs`` in some learned language, that is not ``und`` and with a posterior of ``least``; the same columns.
+
+    The posterior compares the learned languages with one another and isn't divided by the text's length: beyond a few words it is near 1 in any
+    language, a learned one or not, so in effect only ``und`` is rejected.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
