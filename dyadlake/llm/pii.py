@@ -2,22 +2,28 @@
 
 Base spans follow fixed rules (email, ip, card, phone). Looser patterns propose further candidates. Six labelers vote on
 every candidate: the strict form, a gazetteer, context before it that speaks for or against it, neighbouring
-candidates, and clean edges. Only counts of distinct vote patterns (kind, votes, length class; a bounded number) leave the tasks, over all
-documents; on them expectation-maximisation estimates each labeler's reliability and the posteriors, and a logistic span
-classifier is fitted to those, each pattern weighing its share of all candidates, so the fit follows their distribution and not the size of the
-table. Base spans stay whatever it says; other candidates need ``LEAST`` and overlap no kept span.
+candidates, and clean edges. Over the counts of all vote patterns (kind and votes; a bounded number) expectation-maximisation estimates each
+labeler's reliability and the posteriors. The final span classifier, a logistic one, learns those posteriors from more than the
+votes: from the span's own shape (its characters by class and run, its separators, its length), the characters beside it and its place in the text. It is
+fitted to at most ``PATTERNS`` distinct patterns of votes and looks, the first by a hash, each weighing its share of all
+candidates, so the fit follows their distribution and not the size of the table. Base spans stay whatever it says; other candidates need
+``LEAST`` and overlap no kept span.
 
 Documents are read once for the counts and the candidates, which are written to the shared folder without their texts;
-``mask`` reads the texts twice instead. Nothing is shuffled but the pattern counts.
+``mask`` reads the texts twice instead. Nothing is shuffled but the pattern counts. Every rule takes time in proportion to the text's length,
+whatever it holds: runs of digits, zeros, dots, plus or at signs are read once.
 
-Defined results: a null text is empty; repeated rows get the same result each; with no candidates there is no model and
-no added span. Offsets are code points, the end exclusive.
+Defined results: a null text is empty; an empty text has no span; repeated rows get the same result each; with no candidates there is no model and
+no added span; an empty table gives an empty one; columns of the input named like an added one are replaced. Of overlapping added spans the
+likelier stays, of equally likely ones the first. Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -31,12 +37,17 @@ ADDED = ("mail_words", "number", "local_phone", "ssn", "iban")
 KINDS = BASE + ADDED
 LEAST = 0.8
 ROUNDS = 50
+#: Distinct patterns of votes and looks that the span classifier is fitted to, and the places of hashed shapes.
+PATTERNS, SHAPES = 20_000, 64
 #: What the candidates of a table weigh together against the classifier's ridge, however many they are.
 WEIGHT = 1e6
+#: What they weigh together against what is believed of a labeler before anything is seen.
+SEEN = 1e4
 
 _RIGHT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin where a run of digits does, and takes runs whole: no run is tried from its middle.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MORE = {
@@ -73,6 +84,12 @@ def digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def byte(part: str) -> bool:
+    """Whether a run of digits is at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of the email rule: found from their @, which the part before can't contain."""
     out, done, at = [], 0, text.find("@")
@@ -92,7 +109,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the fixed rules, by start and then kind."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(byte(p) for p in m.group().split("."))]
         for m in _CARD.finditer(text):
             d = digits(m.group())
             if 12 <= len(d) <= 19 and luhn(d):
@@ -105,7 +122,7 @@ _DIGIT = re.compile("[0-9]")
 
 
 def candidates(text: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """Base spans and looser ones, by start, each with the labelers' votes (1, -1, or 0 to abstain) and its length class."""
+    """Base spans and looser ones, by start, each with the labelers' votes (1, -1, or 0 to abstain) and its looks."""
     out = base_spans(text)
     has_digit = _DIGIT.search(text)
     if has_digit:
@@ -136,22 +153,43 @@ def votes(text: str, kind: str, a: int, b: int, near: bool) -> tuple[int, ...]:
         flat = span.replace(" ", "")
         strict, known = 1 if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else -1, 1 if flat[:2] in _IBAN else -1
     edge = not (a and (text[a - 1].isalnum() or text[a - 1] in "._-") or b < len(text) and (text[b].isalnum() or text[b] in "_-"))
-    return strict, known, 1 if words & _CONTEXT[kind] else 0, -1 if words & _AGAINST else 0, 1 if near else 0, 1 if edge else -1, min((b - a) // 8, 7)
+    return strict, known, 1 if words & _CONTEXT[kind] else 0, -1 if words & _AGAINST else 0, 1 if near else 0, 1 if edge else -1, *looks(text, a, b)
+
+
+#: How many values each of a span's looks has.
+LOOKS = (8, 6, 6, 6, 3, SHAPES)
+_RUN = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]")
+
+
+def beside(c: str) -> int:
+    """The class of a character beside a span: none, white, a mark that opens or closes, a joining mark, a letter or digit, other."""
+    return 0 if not c else 1 if c.isspace() else 2 if c in "()[]{}<>\"'`:;,=|" else 3 if c in ".-_/@+#" else 4 if c.isalnum() else 5
+
+
+def looks(text: str, a: int, b: int) -> tuple[int, ...]:
+    """What a span looks like: length, separators, the characters before and after, its place in the text, and its shape by a hash."""
+    span = text[a : min(b, a + 64)]
+    marks = {c for c in span if not c.isalnum()}
+    separators = 0 if not marks else 1 if marks == {" "} else 2 if marks == {"-"} else 3 if marks == {"."} else 4 if "@" in marks or "(" in marks or "[" in marks else 5
+    shape = "".join(("9" if r[0].isdigit() else "A" if r[0].isupper() else "a" if r[0].isalpha() else r) + str(min(len(r), 4)) for r in _RUN.findall(span)[:12])
+    place = 0 if a < 40 else 2 if b > len(text) - 40 else 1
+    return min((b - a) // 8, 7), separators, beside(text[a - 1 : a]), beside(text[b : b + 1]), place, zlib.crc32(shape.encode()) % SHAPES
 
 
 def pattern(kind: str, v: Iterable[int]) -> str:
     return f"{kind};" + ",".join(map(str, v))
 
 
-def fit(counts: dict[str, int]) -> dict[str, float]:
-    """The classifier's probability for each pattern. First expectation-maximisation over the labelers, then the logistic fit to its posteriors."""
-    if not counts:
-        return {}
+VOTES = 6
+
+
+def reliabilities(counts: dict[str, int]) -> dict[str, float]:
+    """The posterior of each pattern of kind and votes, by expectation-maximisation over the labelers."""
     names = sorted(counts)
     n = np.array([counts[p] for p in names], float)
+    n *= SEEN / n.sum()
     kinds = [p.split(";")[0] for p in names]
-    full = np.array([[int(x) for x in p.split(";")[1].split(",")] for p in names])
-    v = full[:, :-1]
+    v = np.array([[int(x) for x in p.split(";")[1].split(",")] for p in names])
     # start: the majority vote, the strict form counting twice
     post = 1 / (1 + np.exp(-(v.sum(1) + v[:, 0]).astype(float)))
     for _ in range(ROUNDS):
@@ -165,11 +203,42 @@ def fit(counts: dict[str, int]) -> dict[str, float]:
                 ratio = np.log(yes / ((n * post).sum() + 4)) - np.log(no / ((n * (1 - post)).sum() + 4))
                 logit = logit + np.clip(ratio, -3, 3) * is_
         post = 1 / (1 + np.exp(-np.clip(logit, -20, 20)))
-    # the classifier: votes, kind and length class
-    x = np.stack([*(v.T), *[(v[:, j] == 0) for j in range(v.shape[1])], *[np.array([k == kind for k in kinds]) for kind in KINDS], *[full[:, -1] == c for c in range(8)], np.ones(len(names))], 1).astype(float)
+    return dict(zip(names, post.tolist(), strict=True))
+
+
+def parts(p: str) -> tuple[str, list[int]]:
+    """A pattern's kind, and its votes and looks."""
+    kind, values = p.split(";")
+    return kind, [int(x) for x in values.split(",")]
+
+
+def voted(p: str) -> str:
+    """The kind and the votes of a pattern, without its looks."""
+    kind, values = parts(p)
+    return pattern(kind, values[:VOTES])
+
+
+#: Columns of the classifier: each vote for, against and withheld, the kinds, the looks, and one for all.
+_AT = np.cumsum([0, *[3] * VOTES, len(KINDS), *LOOKS, 1]).tolist()
+
+
+def active(p: str) -> list[int]:
+    """The classifier's columns that are 1 for a pattern."""
+    kind, values = parts(p)
+    return [_AT[j] + values[j] + 1 for j in range(VOTES)] + [_AT[VOTES] + KINDS.index(kind)] + [_AT[VOTES + 1 + j] + values[VOTES + j] for j in range(len(LOOKS))] + [_AT[-2]]
+
+
+def classifier(counts: dict[str, int], posterior: dict[str, float]) -> np.ndarray:
+    """Logistic weights by Newton's method with a ridge, fitted to the posteriors of the patterns' votes."""
+    names = sorted(counts)
+    n = np.array([counts[p] for p in names], float)
+    x = np.zeros((len(names), _AT[-1]))
+    for row, p in zip(x, names, strict=True):
+        row[active(p)] = 1
+    post = np.array([posterior[voted(p)] for p in names])
     w, weight = np.zeros(x.shape[1]), n / n.sum() * WEIGHT
     loss = lambda w: (weight * (np.logaddexp(0, x @ w) - post * (x @ w))).sum() + 0.05 * w @ w
-    for _ in range(30):  # Newton's method with a ridge
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - post)) + 0.1 * w
         h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(w))
@@ -177,18 +246,59 @@ def fit(counts: dict[str, int]) -> dict[str, float]:
         while loss(w - step) > now and np.abs(step).max() > 1e-9:
             step /= 2
         w -= step
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return dict(zip(names, p.tolist(), strict=True))
+        if np.abs(step).max() < 1e-7:
+            break
+    return w
+
+
+class Model:
+    """The span classifier: ``model[p]`` is its probability for a pattern; 0 for all where nothing was learned."""
+
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = weights
+        self.known: dict[str, float] = {}
+
+    def __getitem__(self, p: str) -> float:
+        if self.weights is None:
+            return 0.0
+        if p not in self.known:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            self.known[p] = float(1 / (1 + np.exp(-np.clip(self.weights[active(p)].sum(), -30, 30))))
+        return self.known[p]
+
+
+def fit(counts: dict[str, int], votes: dict[str, int] | None = None) -> Model:
+    """The classifier of patterns with their counts. ``votes``: the counts of kinds and votes, if ``counts`` doesn't have all patterns."""
+    if not counts:
+        return Model()
+    if votes is None:
+        votes = {}
+        for p, n in counts.items():
+            votes[voted(p)] = votes.get(voted(p), 0) + n
+    return Model(classifier(counts, reliabilities(votes)))
 
 
-def choose(found: Iterable[tuple[str, int, int, str]], model: dict[str, float], least: float) -> list[tuple[str, int, int]]:
+def choose(found: Iterable[tuple[str, int, int, str]], model: Model, least: float) -> list[tuple[str, int, int]]:
     """All base spans, and the classifier's others that overlap none before them."""
     found = list(found)
     kept = [(k, a, b) for k, a, b, _ in found if k in BASE]
-    more = sorted(((-model.get(p, 0.0), a, b, k) for k, a, b, p in found if k not in BASE and model.get(p, 0.0) >= least))
-    for _, a, b, k in more:
-        if not any(a < y and x < b for _, x, y in kept):
-            kept.append((k, a, b))
+    more = sorted((-p, a, b, k) for p, a, b, k in ((model[p], a, b, k) for k, a, b, p in found if k not in BASE) if p >= least)
+    if more:
+        starts: list[int] = []  # of disjoint stretches, with their ends
+        ends: list[int] = []
+        for _, a, b in sorted(kept, key=lambda s: s[1:]):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        for _, a, b, k in more:
+            i = bisect_left(starts, b)
+            if not i or ends[i - 1] <= a:
+                starts.insert(i, a)
+                ends.insert(i, b)
+                kept.append((k, a, b))
     return sorted(kept, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -206,10 +316,13 @@ def _encoded(texts: list) -> list[list[str]]:
 _WORTH = re.compile(r"[0-9@]|[\[(]at[\])]")
 
 
-def train(found: DataFrame, column: str = "candidates") -> dict[str, float]:
-    """The model of all candidates in an array column; the patterns, a bounded number, are counted where they are."""
-    one = found.select(F.explode(column).alias("c")).groupBy(F.substring_index("c", ":", -1).alias("p")).count()
-    return fit({r.p: r["count"] for r in one.collect()})
+def train(found: DataFrame, column: str = "candidates") -> Model:
+    """The model of all candidates in an array column. Patterns are counted where they are; the counts by kind and votes are complete and bounded by their number."""
+    one = found.select(F.explode(column).alias("c")).groupBy(F.substring_index("c", ":", -1).alias("p")).agg(F.count("*").alias("n"))
+    one = S.materialize(one)
+    votes = one.groupBy(F.substring_index("p", ",", VOTES).alias("p")).agg(F.sum("n").alias("n")).collect()
+    first = one.orderBy(F.xxhash64("p"), "p").limit(PATTERNS).collect()
+    return fit({r.p: r.n for r in first}, {r.p: r.n for r in votes})
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, least: float = LEAST) -> DataFrame:

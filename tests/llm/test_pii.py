@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from dyadlake.llm import pii as P
 from pyspark.sql import functions as F
@@ -77,13 +80,13 @@ def test_expectation_maximisation_finds_the_reliable_labeler():
     for _ in range(4000):
         y = r.random() < 0.4
         noisy = lambda p, y=y: (1 if y else -1) if r.random() < p else (-1 if y else 1)
-        p = P.pattern("number", (noisy(0.95), noisy(0.9), r.choice([0, 1]), 0, r.choice([0, 1]), 1, 2))
+        p = P.pattern("number", (noisy(0.95), noisy(0.9), r.choice([0, 1]), 0, r.choice([0, 1]), 1, 2, 1, 1, 1, 1, r.choice([3, 9])))
         counts[p] = counts.get(p, 0) + 1
     model = P.fit(counts)
-    good = [v for p, v in model.items() if p.startswith("number;1,1")]
-    bad = [v for p, v in model.items() if p.startswith("number;-1,-1")]
+    good = [model[p] for p in counts if p.startswith("number;1,1")]
+    bad = [model[p] for p in counts if p.startswith("number;-1,-1")]
     assert min(good) > 0.8 and max(bad) < 0.2
-    assert P.fit({}) == {}
+    assert P.fit({})["number;1,1,0,0,0,1,2,1,1,1,1,3"] == 0
 
 
 def test_oracle_counts_by_regular_expression(spark, small):
@@ -99,7 +102,51 @@ def test_fit_follows_the_distribution_and_not_the_size():
     r = random.Random(3)
     shares = {}
     for _ in range(60):
-        votes = (r.choice([-1, 1]), r.choice([-1, 0, 1]), r.choice([0, 1]), r.choice([-1, 0]), r.choice([0, 1]), r.choice([-1, 1]), r.randint(0, 7))
+        votes = (r.choice([-1, 1]), r.choice([-1, 0, 1]), r.choice([0, 1]), r.choice([-1, 0]), r.choice([0, 1]), r.choice([-1, 1]), *(r.randrange(k) for k in P.LOOKS))
         shares[P.pattern(r.choice(["number", "ssn", "local_phone"]), votes)] = round(10 ** r.uniform(0, 4))
     small, large = (P.fit({p: n * k for p, n in shares.items()}) for k in (20, 20_000))
     assert max(abs(small[p] - large[p]) for p in shares) < 1e-3
+
+
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1 y", "9" * 1_000_000, "0" * 1_000_000 + ".1", "1." * 500_000, "+" * 1_000_000, "+1" * 500_000, "a@" * 500_000, "@" * 1_000_000, "1.1.1.1 " * 125_000, "(at) a" * 160_000, "(1" * 500_000, "AB12 " * 200_000, "+1(" + "(" * 1_000_000, "4111 1111 1111 1111 " * 50_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    found = P.candidates(text)
+    assert all(0 <= a < b <= len(text) for _, a, b, _ in found)
+    P.choose([(k, a, b, P.pattern(k, v)) for k, a, b, v in found], P.Model(np.zeros(P._AT[-1])), 0.1)
+    assert time.process_time() - began < 12
+
+
+def test_base_of_long_digits_and_zeros():
+    assert P.base_spans("x " + "0" * 5000 + ".1.1.1 y") == [("ip", 2, 5008)]
+    assert P.base_spans("0" * 5000 + "256.1.1.1") == [] and P.base_spans("00.000.0.255") == [("ip", 0, 12)]
+
+
+def slow_choice(found, model, least):
+    kept = [s[:3] for s in found if s[0] in P.BASE]
+    for _, a, b, k in sorted((-model[p], a, b, k) for k, a, b, p in found if k not in P.BASE and model[p] >= least):
+        if all(b <= x or y <= a for _, x, y in kept):
+            kept.append((k, a, b))
+    return sorted(kept, key=lambda s: (s[1], P.KINDS.index(s[0]), s[2]))
+
+
+def test_spans_of_the_query_by_a_plain_loop(spark, small):
+    """All spans, added ones included: candidates, counts, fit and choice without Spark."""
+    more = [(10**9 + i, f"{w} ssn 123-4{i % 10}-678{i % 7} and call (030) 1234{i % 10}-5678, x{i} (at) mail (dot) org") for i, w in enumerate(["é", "social security", "order", "no."] * 9)]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {d: [(k, a, b, P.pattern(k, v)) for k, a, b, v in P.candidates(t)] for d, t in texts.items()}
+    model = P.fit(Counter(p for c in found.values() for *_, p in c))
+    got = {r.doc_id: r.spans for r in P.find(docs).collect()}
+    assert got == {d: P.joined(slow_choice(c, model, P.LEAST)) for d, c in found.items()}
+    assert any(s.split(":")[0] not in P.BASE for spans in got.values() for s in spans.split(",") if s)
+
+
+def test_looks_tell_spans_of_equal_votes_apart():
+    """Posteriors depend on votes; spans whose votes tie are weighed by their shape."""
+    votes = (1, 0, 0, 0, 0, 1)
+    counts = {}
+    for shape, strict, n in ((3, 1, 900), (3, -1, 100), (7, 1, 100), (7, -1, 900)):
+        counts[P.pattern("ssn", (strict, *votes[1:], 1, 2, 1, 1, 1, shape))] = n
+    model = P.fit(counts)
+    assert model[P.pattern("ssn", (*votes, 1, 2, 1, 1, 1, 3))] > model[P.pattern("ssn", (*votes, 1, 2, 1, 1, 1, 7))]
