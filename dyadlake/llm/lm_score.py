@@ -1,21 +1,24 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The ``SINGLES`` most frequent tokens are classes of their own, any other word's
-class follows from its spelling (last character, length, whether it's plain ASCII), so unknown words have one too. The class softmax sums one
+P(word | history) = P(class | history) * P(ending | class, history) * P(word | ending, class). The ``SINGLES`` most frequent tokens are
+classes of their own. Any other word's class follows from its spelling (last character, length, whether it's plain ASCII), and within
+the class its ending from a hash of its last three bytes, so unknown words have both. Either softmax sums one
 weight row for each active feature of the history: the last word, the last two, the word before the last (skip), the
-classes of the last three alone and of the last two together; words are hashed into fixed rows. Within a class, words
-have their add-one relative frequency, an unknown word the share of one.
+classes of the last two, and the last two frequent words, however far back (a skip of any length); the second softmax sees them together with the class.
+Features are hashed into fixed rows. Among the words of one class and ending, each has its add-one relative frequency, an unknown word the share of one.
 
 1. Counts of all training tokens: each task counts its own words, then one aggregation by word.
-2. Training in ``ROUNDS`` rounds over disjoint folds of the training texts: one replica for each core takes AdaGrad steps from the broadcast
-   weights on every position of its texts; the replicas' changes, weighted by how often each row was active, are summed by block of rows.
+2. Training in ``ROUNDS`` rounds over disjoint folds of the training texts. A fold is dealt by the texts' hash into shards of ``SHARD``
+   to ``MOST`` tokens each; for each shard one replica takes AdaGrad steps from the broadcast weights on every position of its texts, in the order of their hash.
+   The replicas' changes, weighted by how often each row was active, are summed by block of rows. Neither the partitioning of the input nor the
+   cluster's size changes the model.
 3. Scoring is a map in numpy. Words are looked up in a broadcast table of at most ``FREQUENT`` words, the most frequent; the other tokens are
    joined with the full counts by word, summed for each text first, so that no word is hot.
 
 Weights (fixed size) and the frequent words are all that's broadcast. Words are told apart by 64-bit hashes.
 
 Defined results: a null text is empty: one end token. Without any training token N and V are 0 and every token is
-unknown. Repeated rows are scored each.
+unknown. Repeated rows are scored (and learned from) each; an empty table gives an empty one; other columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,31 +33,42 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-SINGLES, SHAPES = 32, 32
+SINGLES, SHAPES, ENDINGS = 32, 16, 32
 CLASSES = SINGLES + SHAPES
 FREQUENT = 1 << 20
 ROUNDS, STEP = 3, 2048
-RATE = 0.1
+#: A shard has at least so many tokens, and where there would be more than ``SPREAD`` shards, up to so many.
+SHARD, MOST, SPREAD = 1 << 19, 1 << 24, 32
+RATE = 0.2
 END = np.uint64(0x5851F42D4C957F2D)
 _N = CLASSES + 1  # class values of a history: one more for before the text
-_WORD, _PAIR, _SKIP = 8192, 4096, 4096
-_AT = np.cumsum([0, _N, _N, _N, _N * _N, _WORD, _PAIR, _SKIP])
-ROWS_ = int(_AT[-1])
+_S = SINGLES + 1
+_WORD, _PAIR, _SKIP, _OWN = 13, 13, 12, 14  # bits of hashed rows
+#: Where the rows of each feature begin: of the first softmax, then of the second.
+_AT = np.cumsum([0, _N * _N, 1 << _WORD, 1 << _PAIR, 1 << _SKIP, _S * _S])
+_OF = np.cumsum([0, SHAPES * _S * _S, 1 << _OWN, 1 << _SKIP])
+WIDTHS = (CLASSES, ENDINGS)
+ROWS_ = (int(_AT[-1]), int(_OF[-1]))
 BLOCK = 256
-#: The kind of a word's last byte, 0 to 7.
-_LAST = np.array([0 if chr(b) in "aeiou" else 1 if chr(b) in "nrst" else 2 if chr(b).isalpha() and b < 128 else 3 if b >= 128 or chr(b).isdigit() else 4 if chr(b) in ".,;:" else 5 if chr(b) in "*%" else 6 if chr(b) in "&$#" else 7 for b in range(256)])
+#: The kind of a word's last byte: vowel, other letter, digit or beyond ASCII, other.
+_LAST = np.array([0 if chr(b) in "aeiou" else 1 if chr(b).isalpha() and b < 128 else 2 if b >= 128 or chr(b).isdigit() else 3 for b in range(256)])
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, an end after each text, their spelling classes (SINGLES and up), and where each text begins."""
+    """Hashes of all tokens, an end after each text; their spelling (class - SINGLES, times ENDINGS, plus ending); and where each text begins."""
     w = S.Words(texts, S.NOT_SPACE)
     view = np.frombuffer(w.data, np.uint8)
     wide = np.zeros(len(view) + 1, np.int32)
     np.cumsum(view >= 128, out=wide[1:])
-    shape = _LAST[view[w.ends - 1]] * 4 + (w.ends - w.starts > 6) * 2 + (wide[w.ends] > wide[w.starts])
+    n = w.ends - w.starts
+    shape = _LAST[view[w.ends - 1]] * 4 + (n > 6) * 2 + (wide[w.ends] > wide[w.starts])
+    last = view[w.ends - 1].astype(np.uint64)
+    for k in (2, 3):
+        last = last * np.uint64(257) + np.where(n >= k, view[np.maximum(w.ends - k, 0)], 0).astype(np.uint64)
+    ending = (S.mix(last) >> np.uint64(32)).astype(np.int64) % ENDINGS
     h = np.insert(w.hashes, w.first[1:], END)
-    kind = np.insert(shape + SINGLES, w.first[1:], CLASSES - 1)
-    return h, kind, w.first + np.arange(len(w.first))
+    spelling = np.insert(shape * ENDINGS + ending, w.first[1:], SHAPES * ENDINGS - 1)
+    return h, spelling, w.first + np.arange(len(w.first))
 
 
 def count(docs: DataFrame, text: str) -> DataFrame:
@@ -114,174 +128,257 @@ class Vocabulary:
         tops = counts.orderBy(F.desc("c"), "h").limit(SINGLES).collect()
         top = sorted(((r.h & 0xFFFFFFFFFFFFFFFF, r.c) for r in tops))
         self.tops = np.array([x for x, _ in top], np.uint64)
-        self.sizes = np.zeros(CLASSES)  # tokens of each class
-        self.words = np.zeros(CLASSES)
-        for k, (_, n) in enumerate(top):
-            self.sizes[k], self.words[k] = n, 1
+        self.single = np.array([n for _, n in top], float)
+        self.sizes = np.zeros(SHAPES * ENDINGS)  # tokens of each class and ending, and distinct words
+        self.words = np.zeros(SHAPES * ENDINGS)
         rest = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(r.h,) for r in tops], "h long")), "h", "left_anti")
         for r in rest.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("words")).collect():
             self.sizes[r["shape"]], self.words[r["shape"]] = r.c, r.words
 
-    def classes(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    def classes(self, h: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        by_spelling = SINGLES + spelling // ENDINGS
         if not len(self.tops):
-            return shape
+            return by_spelling
         at = np.minimum(np.searchsorted(self.tops, h), len(self.tops) - 1)
-        return np.where(self.tops[at] == h, at, shape)
-
-    def prior(self) -> np.ndarray:
-        return np.log((self.sizes + 1) / (self.sizes + 1).sum()).astype(np.float32)
-
-
-def features(h: np.ndarray, kind: np.ndarray, begins: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The active rows of the histories of the token places ``at``: (len(at), 7)."""
-    first = begins[np.searchsorted(begins, at, "right") - 1]
-    prev = []
-    for k in (1, 2, 3):
-        there = at - k >= first
-        i = np.maximum(at - k, 0)
-        prev.append((np.where(there, kind[i], CLASSES), np.where(there, h[i], np.uint64(k))))
-    (c1, w1), (c2, w2), (c3, _) = prev
-    out = np.empty((len(at), 7), np.int64)
-    out[:, 0], out[:, 1], out[:, 2] = c1, _AT[1] + c2, _AT[2] + c3
-    out[:, 3] = _AT[3] + c1 * _N + c2
-    out[:, 4] = _AT[4] + (w1 >> np.uint64(51)).astype(np.int64)
-    out[:, 5] = _AT[5] + (S.mix(w1 * np.uint64(3) + w2) >> np.uint64(52)).astype(np.int64)
-    out[:, 6] = _AT[6] + (w2 >> np.uint64(52)).astype(np.int64)
-    return out
+        return np.where(self.tops[at] == h, at, by_spelling)
+
+    def priors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log shares of the classes, and of the endings within each class by spelling."""
+        by_shape = self.sizes.reshape(SHAPES, ENDINGS)
+        n = np.concatenate([self.single, np.zeros(SINGLES - len(self.single)), by_shape.sum(1)]) + 1
+        return np.log(n / n.sum()).astype(np.float32), np.log((by_shape + 1) / (by_shape + 1).sum(1, keepdims=True)).astype(np.float32)
+
+
+class Histories:
+    """The active rows of both softmaxes for the tokens of some texts, computed for a range of places at a time."""
+
+    def __init__(self, h: np.ndarray, spelling: np.ndarray, kind: np.ndarray, begins: np.ndarray):
+        self.h, self.spelling, self.kind, self.begins = h, spelling, kind, begins
+        n = len(h)
+        self.single = np.maximum.accumulate(np.where(kind < SINGLES, np.arange(n), -1)) if n else np.zeros(0, np.int64)  # the last frequent word up to a place
+
+    def frequent(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of the last frequent word before the places ``at``, and where it is."""
+        i = np.where(at > first, self.single[np.maximum(at - 1, 0)], -1)
+        there = i >= first
+        return np.where(there, self.kind[np.maximum(i, 0)], SINGLES), np.where(there, i, first)
+
+    def __call__(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the places a to b: rows of the first softmax (5, n), the classes, rows of the second (3, m) and the spellings, these two of the words that are no class of their own."""
+        at = np.arange(a, b)
+        first = self.begins[np.searchsorted(self.begins, at, "right") - 1]
+        prev = []
+        for k in (1, 2):
+            there = at - k >= first
+            i = np.maximum(at - k, 0)
+            prev.append((np.where(there, self.kind[i], CLASSES), np.where(there, self.h[i], np.uint64(k))))
+        (c1, w1), (c2, w2) = prev
+        s1, i = self.frequent(at, first)
+        s2, _ = self.frequent(i, first)
+        top = lambda h, bits: (h >> np.uint64(64 - bits)).astype(np.int64)
+        both = s1 * _S + s2
+        rows = np.stack([c1 * _N + c2, _AT[1] + top(w1, _WORD), _AT[2] + top(S.mix(w1 * np.uint64(3) + w2), _PAIR), _AT[3] + top(w2, _SKIP), _AT[4] + both]).astype(np.uint16)
+        kind = self.kind[a:b]
+        rest = np.flatnonzero(kind >= SINGLES)
+        spelling = self.spelling[a:b][rest]
+        shape = spelling // ENDINGS
+        own = lambda w, k: w[rest] * np.uint64(5) + (shape * 4 + k).astype(np.uint64)
+        more = np.stack([shape * _S * _S + both[rest], _OF[1] + top(S.mix(own(w1, 1)), _OWN), _OF[2] + top(S.mix(own(w2, 2)), _SKIP)]).astype(np.uint16)
+        return rows, kind, more, spelling
 
 
 def logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[:, 0], 0)
-    for k in range(1, rows.shape[1]):
-        z += weights.take(rows[:, k], 0)
+    """Summed weight rows, with the log prior: one row for each column of ``rows``."""
+    z = weights.take(rows[0], 0)
+    for k in range(1, len(rows)):
+        z += weights.take(rows[k], 0)
     z += prior
     return z
 
 
-def train_round(docs: DataFrame, vocabulary, weights, fold: int) -> np.ndarray:
-    """The weights after one more round, on the texts of one fold. ``vocabulary`` and ``weights`` are broadcasts."""
+def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The natural log-probability of one column of each row."""
+    top = z.max(1)
+    own = z[np.arange(len(at)), at] - top
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
+
+
+class Learner:
+    """One softmax in training: weights and AdaGrad's sums of squares by row, and how often each row was active."""
+
+    def __init__(self, weights: np.ndarray):
+        self.start, self.w = weights, weights.copy()
+        self.squares = np.full(len(weights), 1e-6, np.float32)
+        self.seen = np.zeros(len(weights), np.int64)
+
+    def step(self, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> None:
+        z = logits(self.w, prior, rows)
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(len(target)), target] -= 1
+        for r in rows:
+            order = np.argsort(r, kind="stable")
+            own = r[order]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            n = np.diff(np.append(starts, len(own)))
+            row = own[starts]
+            g = np.add.reduceat(z.take(order, 0), starts, axis=0)
+            self.squares[row] += np.einsum("ij,ij->i", g, g) / z.shape[1] + 1e-3
+            self.w[row] -= (RATE / np.sqrt(self.squares[row]))[:, None] * g / len(rows) ** 0.5
+            self.seen[row] += n
+
+    def changes(self, table: int, shard: int) -> Iterator[tuple]:
+        """(table, block, shard, places, changes, counts) of the active rows."""
+        for k in range(0, len(self.w), BLOCK):
+            at = np.flatnonzero(self.seen[k : k + BLOCK]).astype(np.int32)
+            if len(at):
+                yield table, k // BLOCK, shard, at.tobytes(), (self.w[k : k + BLOCK][at] - self.start[k : k + BLOCK][at]).astype(np.float16).tobytes(), self.seen[k : k + BLOCK][at].tobytes()
+
+
+_CHANGES = "tab int, block int, shard int, at binary, val binary, seen binary"
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def train_round(docs: DataFrame, vocabulary, weights, fold: int, shards: int) -> list[np.ndarray]:
+    """Both softmaxes' weights after one more round, on the texts of one fold. ``docs``: text, fold, shard, place (the text's hash). ``vocabulary`` and ``weights`` are broadcasts."""
 
     @S.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        prior = v.prior()
-        w = weights.value.copy()
-        squares = np.full(ROWS_, 1e-6, np.float32)
-        seen = np.zeros(ROWS_, np.int64)
-        wait_rows: list[np.ndarray] = []
-        wait_kind: list[np.ndarray] = []
-        waiting = 0
-
-        def step(rows: np.ndarray, kind: np.ndarray) -> None:
-            z = logits(w, prior, rows)
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(kind)), kind] -= 1
-            for k in range(rows.shape[1]):
-                order = np.argsort(rows[:, k], kind="stable")
-                own = rows[order, k]
-                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                n = np.diff(np.append(starts, len(own)))
-                row = own[starts]
-                g = np.add.reduceat(z[order], starts, axis=0)
-                squares[row] += np.square(g).sum(1) / CLASSES + 1e-3
-                w[row] -= (RATE / np.sqrt(squares[row]))[:, None] * g / rows.shape[1] ** 0.5
-                seen[row] += n
+        prior, priors = v.priors()
+        shard, learners = -1, []
+        waiting: list[tuple] = []
+        places = 0
+
+        def steps(least: int) -> None:
+            nonlocal waiting, places
+            if places < max(least, 1):
+                return
+            rows, kind, more, spelling = (np.concatenate([x[i] for x in waiting], axis=-1) for i in range(4))
+            after = np.concatenate([[0], np.cumsum(kind >= SINGLES)])  # how many of the second softmax's come before a place
+            full = places - places % STEP if least > 1 else places
+            for k in range(0, full, STEP):
+                j = min(k + STEP, full)
+                learners[0].step(rows[:, k:j], prior, kind[k:j])
+                a, b = after[k], after[j]
+                if b > a:
+                    learners[1].step(more[:, a:b], priors[spelling[a:b] // ENDINGS], spelling[a:b] % ENDINGS)
+            a = after[full]
+            waiting, places = [(rows[:, full:], kind[full:], more[:, a:], spelling[a:])], places - full
+
+        def close() -> Iterator[pa.RecordBatch]:
+            steps(1)
+            for table, learner in enumerate(learners):
+                for r in learner.changes(table, shard):
+                    yield _batch([r], _CHANGES)
 
         for b in batches:
-            texts = S.text_of(b, "text")
-            for i, j in S.chunks(texts):
-                h, shape, begins = tokens(texts[i:j])
-                kind = v.classes(h, shape)
-                for first in range(0, len(h), 16 * STEP):  # a long text's histories a part at a time
-                    at = np.arange(first, min(first + 16 * STEP, len(h)))
-                    wait_rows.append(features(h, kind, begins, at))
-                    wait_kind.append(kind[at])
-                    waiting += len(at)
-                    if waiting >= STEP:
-                        rows, kinds = np.concatenate(wait_rows), np.concatenate(wait_kind)
-                        full = waiting - waiting % STEP
-                        for k in range(0, full, STEP):
-                            step(rows[k : k + STEP], kinds[k : k + STEP])
-                        wait_rows, wait_kind, waiting = [rows[full:]], [kinds[full:]], waiting - full
-        if waiting:
-            step(np.concatenate(wait_rows), np.concatenate(wait_kind))
-        change = (w - weights.value) * seen[:, None]
-        for k in range(0, ROWS_, BLOCK):
-            at = np.flatnonzero(seen[k : k + BLOCK]).astype(np.int32)
-            if len(at):
-                values = np.concatenate([change[k : k + BLOCK][at], seen[k : k + BLOCK][at][:, None]], 1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["block", "at", "val"])
+            texts, own = S.text_of(b, "text"), b.column(1).to_pylist()
+            cuts = [k for k in range(1, len(own)) if own[k] != own[k - 1]]
+            for x, y in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                if x < y and own[x] != shard:
+                    yield from close()
+                    shard, learners, waiting, places = own[x], [Learner(w) for w in weights.value], [], 0
+                for i, j in S.chunks(texts[x:y]):
+                    h, spelling, begins = tokens(texts[x + i : x + j])
+                    history = Histories(h, spelling, v.classes(h, spelling), begins)
+                    for first in range(0, len(h), 16 * STEP):  # a long text's histories a part at a time
+                        last = min(first + 16 * STEP, len(h))
+                        waiting.append(history(first, last))
+                        places += last - first
+                        steps(STEP)
+        yield from close()
 
     @S.tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        now, total, seen = None, np.zeros(0), np.zeros(0)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                i = np.flatnonzero(seen).astype(np.int32)
+                yield _batch([(*now, i.tobytes(), (total[i] / seen[i][:, None]).astype(np.float32).tobytes())], "tab int, block int, at binary, val binary")
+
         for b in batches:
-            for block, at, val in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                i = np.frombuffer(at, np.int32)
-                sums.setdefault(block, np.zeros((BLOCK, CLASSES + 1)))[i] += np.frombuffer(val, np.float32).reshape(len(i), -1)
-        for block, v in sums.items():
-            i = np.flatnonzero(v[:, -1]).astype(np.int32)
-            mean = (v[i, :-1] / v[i, -1:]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["block", "at", "val"])
-
-    schema = "block int, at binary, val binary"
-    own = docs.where(F.col("fold") == fold).select("text").coalesce(max(2, docs.sparkSession.sparkContext.defaultParallelism))
-    out = weights.value.copy()
-    for r in own.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).collect():  # a fixed number of blocks
+            for table, block, _, at, val, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (table, block) != now:
+                    yield from done()
+                    now, total, seen = (table, block), np.zeros((BLOCK, WIDTHS[table])), np.zeros(BLOCK)
+                i, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.int64)
+                total[i] += np.frombuffer(val, np.float16).reshape(len(i), -1).astype(float) * n[:, None]
+                seen[i] += n
+        yield from done()
+
+    own = docs.where(F.col("fold") == fold).select("text", "shard", "place").repartitionById(shards, "shard").sortWithinPartitions("shard", "place").select("text", "shard")
+    summed = own.mapInArrow(run, _CHANGES).repartition("tab", "block").sortWithinPartitions("tab", "block", "shard").mapInArrow(add, "tab int, block int, at binary, val binary")
+    out = [w.copy() for w in weights.value]
+    for r in summed.collect():  # a fixed number of blocks
         i = np.frombuffer(r.at, np.int32)
-        out[r.block * BLOCK + i] += np.frombuffer(r.val, np.float32).reshape(len(i), CLASSES)
+        out[r.tab][r.block * BLOCK + i] += np.frombuffer(r.val, np.float32).reshape(len(i), -1)
     return out
 
 
-def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. ``training``: a condition for the rows to learn from; null counts as no."""
-    S.bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(training, F.lit(False))).alias("held_out"))
-    learn = rows.where("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("fold"))
+def fit(learn: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, object, object]:
+    """The counts of all tokens of the texts (column text), and as broadcasts the vocabulary and the two softmaxes' weights."""
     counts = count(learn, "text")
-    sc = docs.sparkSession.sparkContext
+    sc = learn.sparkSession.sparkContext
     v = Vocabulary(counts, frequent)
     sent = sc.broadcast(v)
-    weights = sc.broadcast(np.zeros((ROWS_, CLASSES), np.float32))
+    shards = max(1, min(SPREAD, v.total // (ROUNDS * SHARD)), v.total // (ROUNDS * MOST))  # from the data alone
+    place = F.xxhash64(F.coalesce("text", F.lit("")))
+    dealt = learn.select("text", place.alias("place"), F.pmod(place, F.lit(ROUNDS)).alias("fold"), F.pmod(F.floor(place / ROUNDS), F.lit(shards)).cast("int").alias("shard"))
+    weights = sc.broadcast([np.zeros((n, k), np.float32) for n, k in zip(ROWS_, WIDTHS, strict=True)])
     for fold in range(ROUNDS):
-        new = train_round(learn, sent, weights, fold)
+        new = train_round(dealt, sent, weights, fold, shards)
         weights.unpersist()
         weights = sc.broadcast(new)
-    model = weights
+    return counts, sent, weights
+
+
+def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. ``training``: a condition for the rows to learn from; null counts as no."""
+    S.bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(training, F.lit(False))).alias("held_out"))
+    counts, sent, model = fit(rows.where("not held_out").select("text"), frequent)
+    v = sent.value
 
     @S.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = sent.value, model.value
-        prior = v.prior()
+        prior, priors = v.priors()
         floor = -np.log10(v.total + v.distinct + 1)
-        single = np.arange(CLASSES) < len(v.tops)
-        within = np.where(single, 0.0, -np.log10(v.sizes + v.words + 1))
+        within = -np.log10(v.sizes + v.words + 1)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = S.text_of(b, "text")
             keep = [b.column(0), b.column(2)]
             n, known, base, total, rest = [], [], [], [], []
             for i, j in S.chunks(texts):
-                h, shape, begins = tokens(texts[i:j])
-                kind = v.classes(h, shape)
+                h, spelling, begins = tokens(texts[i:j])
+                kind = v.classes(h, spelling)
+                history = Histories(h, spelling, kind, begins)
                 logp = np.empty(len(h))
                 for k in range(0, len(h), 4096):
-                    at = np.arange(k, min(k + 4096, len(h)))
-                    z = logits(w, prior, features(h, kind, begins, at))
-                    top = z.max(1)
-                    own = z[np.arange(len(at)), kind[at]] - top
-                    z -= top[:, None]
-                    np.exp(z, out=z)
-                    logp[at] = (own - np.log(z.sum(1))) * 0.4342944819032518
+                    last = min(k + 4096, len(h))
+                    rows_, kinds, more, own = history(k, last)
+                    part = log_softmax(logits(w[0], prior, rows_), kinds).astype(float)
+                    if len(own):
+                        part[kinds >= SINGLES] += log_softmax(logits(w[1], priors[own // ENDINGS], more), own % ENDINGS)
+                    logp[k:last] = part * 0.4342944819032518
                 if len(v.h):
                     at = np.minimum(np.searchsorted(v.h, h), len(v.h) - 1)
                     there = v.h[at] == h
                     log_c = np.where(there, np.log10(v.c[at] + 1.0), 0.0)
                 else:
                     there, log_c = np.zeros(len(h), bool), np.zeros(len(h))
-                logp += within[kind] + np.where(single[kind], 0.0, log_c)
+                logp += np.where(kind < SINGLES, 0.0, within[spelling] + log_c)
                 n += np.diff(begins).tolist()
                 known += np.add.reduceat(there.astype(np.int64), begins[:-1]).tolist()
                 base += (np.add.reduceat(log_c, begins[:-1]) + floor * np.diff(begins)).tolist()

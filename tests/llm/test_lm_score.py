@@ -47,34 +47,90 @@ def test_empty_tables(spark):
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over the classes after any history, and over known words and the unknown within a class."""
+    """Over the classes after any history, over the endings of a class, and over known words and the unknown of a class and ending."""
     r = np.random.default_rng(1)
-    w = r.normal(size=(L.ROWS_, L.CLASSES)).astype(np.float32)
-    h, kind, begins = L.tokens(["a b c a b", "", "x"])
-    z = L.logits(w, np.zeros(L.CLASSES, np.float32), L.features(h, kind, begins, np.arange(len(h))))
-    p = np.exp(z - z.max(1, keepdims=True))
-    assert np.allclose((p / p.sum(1, keepdims=True)).sum(1), 1, atol=1e-5)
+    w = [r.normal(size=(n, k)).astype(np.float32) for n, k in zip(L.ROWS_, L.WIDTHS, strict=True)]
     docs = spark.createDataFrame([("the cat sat on the mat " * 3 + " ".join(f"w{i}" for i in range(99)),)], "text string")
     v = L.Vocabulary(L.count(docs, "text"), 1 << 20)
+    h, spelling, begins = L.tokens(["a b the a b w1 w2", "", "x"])
+    kind = v.classes(h, spelling)
+    rows, kinds, more, own = L.Histories(h, spelling, kind, begins)(0, len(h))
+    assert rows.max() < L.ROWS_[0] and more.max() < L.ROWS_[1] and len(own) == (kinds >= L.SINGLES).sum() > 0
+    prior, priors = v.priors()
+    for weights, p0, x in ((w[0], prior, rows), (w[1], priors[own // L.ENDINGS], more)):
+        n = weights.shape[1]
+        p = [np.exp(L.log_softmax(L.logits(weights, p0, x), np.full(x.shape[1], k))) for k in range(n)]
+        assert np.allclose(sum(p), 1, atol=1e-4)
     words = {"the", "cat", "sat", "on", "mat", *(f"w{i}" for i in range(99))}
     mass = Counter()
     for t in words:
-        hash_, shape, _ = L.tokens([t])
-        k = int(v.classes(hash_, shape)[0])
+        hash_, spelling, _ = L.tokens([t])
         c = int(v.c[np.searchsorted(v.h, hash_[0])])
-        mass[k] += 1.0 if k < len(v.tops) else (c + 1) / (v.sizes[k] + v.words[k] + 1)
+        if v.classes(hash_, spelling)[0] >= L.SINGLES:
+            mass[int(spelling[0])] += (c + 1) / (v.sizes[spelling[0]] + v.words[spelling[0]] + 1)
+    end = L.SHAPES * L.ENDINGS - 1
+    if L.END not in v.tops:
+        mass[end] += 2 / (v.sizes[end] + v.words[end] + 1)
+    assert mass
     for k, m in mass.items():
-        unknown = 0 if k < len(v.tops) else 1 / (v.sizes[k] + v.words[k] + 1)
-        end = 2 / (v.sizes[k] + v.words[k] + 1) if k == L.CLASSES - 1 and L.END not in v.tops else 0
-        assert m + unknown + end == pytest.approx(1)
+        assert m + 1 / (v.sizes[k] + v.words[k] + 1) == pytest.approx(1)
 
 
 def test_histories_stay_within_a_text():
-    a = L.tokens(["x y", "z"])
-    b = L.tokens(["z"])
-    fa = L.features(*a, np.array([3, 4]))
-    fb = L.features(*b, np.array([0, 1]))
-    assert np.array_equal(fa, fb)
+    a, b = (L.tokens(t) for t in (["x the y", "z the z"], ["z the z"]))
+    kind = lambda x: np.where(np.arange(len(x[0])) % 4 == 1, 3, L.SINGLES + x[1] // L.ENDINGS)
+    fa = L.Histories(a[0], a[1], kind(a), a[2])(4, 8)
+    fb = L.Histories(b[0], b[1], kind(b), b[2])(0, 4)
+    assert all(np.array_equal(x, y) for x, y in zip(fa, fb, strict=True))
+
+
+def slow_score(text, v, weights):
+    """The score of one text, token by token, from the definitions."""
+    words = toks(text)
+    known = [L.tokens([w]) if w else L.tokens([""]) for w in words]
+    h = [int(k[0][0]) for k in known]
+    spelling = [int(k[1][0]) for k in known]
+    kind = [int(v.classes(k[0][:1], k[1][:1])[0]) for k in known]
+    prior, priors = v.priors()
+    top = lambda x, bits: int(x) >> (64 - bits)
+    mix = lambda x: int(S.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    out = 0.0
+    for i in range(len(words)):
+        c1, c2 = (kind[i - k] if i >= k else L.CLASSES for k in (1, 2))
+        w1, w2 = (h[i - k] if i >= k else k for k in (1, 2))
+        s1, s2 = ([k for k in reversed(kind[:i]) if k < L.SINGLES] + [L.SINGLES] * 2)[:2]
+        at = L._AT.tolist()
+        rows = [c1 * L._N + c2, at[1] + top(w1, L._WORD), at[2] + top(mix(w1 * 3 + w2), L._PAIR), at[3] + top(w2, L._SKIP), at[4] + s1 * L._S + s2]
+        z = prior.astype(float) + sum(weights[0][r].astype(float) for r in rows)
+        out += z[kind[i]] - np.log(np.exp(z - z.max()).sum()) - z.max()
+        if kind[i] >= L.SINGLES:
+            shape, ending = divmod(spelling[i], L.ENDINGS)
+            of = L._OF.tolist()
+            more = [shape * L._S**2 + s1 * L._S + s2, of[1] + top(mix(w1 * 5 + shape * 4 + 1), L._OWN), of[2] + top(mix(w2 * 5 + shape * 4 + 2), L._SKIP)]
+            z = priors[shape].astype(float) + sum(weights[1][r].astype(float) for r in more)
+            out += z[ending] - np.log(np.exp(z - z.max()).sum()) - z.max()
+            j = int(np.searchsorted(v.h, np.uint64(h[i])))
+            c = v.c[j] if j < len(v.h) and v.h[j] == h[i] else 0
+            out += math.log((c + 1) / (v.sizes[spelling[i]] + v.words[spelling[i]] + 1))
+    return out / math.log(10)
+
+
+def test_scores_by_a_plain_loop(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id % 5 = 0").unionByName(spark.createDataFrame(ROWS[:6], "doc_id long, text string"), allowMissingColumns=True)
+    learn = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    _, v, weights = L.fit(docs.where(learn).select("text"))
+    assert all(np.abs(w).max() > 0 for w in weights.value)
+    got = {(r.doc_id, r.n_tokens): r.score for r in L.score(docs, learn).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id, len(toks(r.text))] == pytest.approx(slow_score(r.text, v.value, weights.value), rel=1e-4, abs=1e-4)
+
+
+def test_the_model_does_not_depend_on_partitions(spark, small, monkeypatch):
+    monkeypatch.setattr(L, "SHARD", 8000)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    learn = F.col("doc_id") % 7 != 2
+    found = [dict(L.score(docs.repartition(n), learn).select("doc_id", "score").collect()) for n in (1, 7, 32)]
+    assert found[0] == pytest.approx(found[1], rel=1e-12) and found[0] == pytest.approx(found[2], rel=1e-12)
 
 
 def test_beats_the_base_on_held_out_texts(spark, small):
@@ -103,13 +159,14 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
 @pytest.mark.parametrize("parts", [1, 3])
 def test_training_sees_every_position(spark, parts):
     texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
-    docs = spark.createDataFrame([(t, 0) for t in texts], "text string, fold int").repartition(parts)
+    docs = spark.createDataFrame([(t, 0, k % 2, k) for k, t in enumerate(texts)], "text string, fold int, shard int, place long").repartition(parts)
     sc = spark.sparkContext
     v = L.Vocabulary(L.count(docs, "text"), 1 << 20)
-    w = L.train_round(docs, sc.broadcast(v), sc.broadcast(np.zeros((L.ROWS_, L.CLASSES), np.float32)), 0)
-    h, shape, begins = L.tokens(texts)
-    active = np.unique(L.features(h, v.classes(h, shape), begins, np.arange(len(h))))
-    assert np.array_equal(np.flatnonzero(np.abs(w).sum(1)), active)
+    w = L.train_round(docs, sc.broadcast(v), sc.broadcast([np.zeros((n, k), np.float32) for n, k in zip(L.ROWS_, L.WIDTHS, strict=True)]), 0, 2)
+    h, spelling, begins = L.tokens(texts)
+    rows, _, more, _ = L.Histories(h, spelling, v.classes(h, spelling), begins)(0, len(h))
+    for weights, active in zip(w, (rows, more), strict=True):
+        assert np.array_equal(np.flatnonzero(np.abs(weights).sum(1)), np.unique(active))
 
 
 def test_scores_do_not_depend_on_how_many_words_are_sent(spark):
