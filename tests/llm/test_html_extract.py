@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 from dyadlake.llm import html_extract as H
@@ -96,3 +97,37 @@ def test_reduced_cut_is_the_minimum_cut(seed):
 def test_long_weak_runs_are_cut_in_linear_time():
     nested = "".join(f"<div>{i} some words</div><p>{i}</p>" for i in range(30_000))
     assert isinstance(H.extract(f"<body>{nested}</body>", H.START), str)
+
+
+def test_a_word_of_a_longer_name_is_not_the_name():
+    page = '<body class="has-sidebar"><div class="post"><p>First, a paragraph with some words.</p><div class="tags-intro"><p>The body of it, which is about tags and has words.</p></div></div><div class="site-footer"><p>All of it is ours, and ours alone, they say.</p></div><ul class="comment-list"><li>I like it a lot, thank you for writing it.</li></ul></body>'
+    assert H.extract(page, H.START).split("\n") == ["First, a paragraph with some words.", "The body of it, which is about tags and has words."]
+    names = {"footer": True, "siteFooter": True, "comment-list": True, "tags-intro": False, "article-header": False, "page-header": True, "sidebar-left": True, "advice": False, "post-comments": True, "admin": False}
+    assert {n: H.evidence(f' class="{n}"')[0] for n in names} == names
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, '<a "' * 100_000 + ">", "<a \"'" * 80_000 + ">x", "<script>" * 60_000, "<button>" * 60_000 + "x", "<div>" * 40_000 + "</section>" * 40_000, "<!" * 100_000, "</" * 100_000, "<p class='" * 50_000, "<title>x" * 50_000, "<svg" * 90_000 + ">"])
+def test_long_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    assert isinstance(H.extract(page, H.START), str)
+    assert time.process_time() - began < 5
+
+
+def test_unclosed_quotes_and_elements_lose_no_text():
+    assert H.extract('<p>One thing, and more. <a href="x>link</a> then another thing.</p><p>Two things here, you see.</p>', H.START) == "One thing, and more. link then another thing.\nTwo things here, you see."
+    assert H.extract("<article><button><p>One thing, and more.</p></article>", H.START) == "One thing, and more."
+
+
+def test_the_classifier_sees_no_elements_and_holds_without_them(spark, small):
+    """Learned from pages that name their parts, tried on their blocks without what names them."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    w = H.train(pages)
+    right = total = 0
+    for r in pages.collect():
+        bare = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", r.html).replace(' class="ad"', "")
+        named, plain = H.blocks(r.html), H.blocks(bare)
+        assert [b.text for b in named] == [b.text for b in plain] and not any(b.against or b.favour for b in plain)
+        logit = H.features(plain) @ w
+        right += sum((v > 0) != b.against for v, b in zip(logit, named, strict=True))
+        total += len(named)
+    assert right / total > 0.85
