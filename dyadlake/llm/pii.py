@@ -366,8 +366,9 @@ def mask(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame
 
         return lambda texts: [[one(t) for t in texts]]
 
-    masked = S.add_columns(docs, text, {"__masked": "string"}, work)
-    out = masked.withColumn(text, F.col("__masked")).drop("__masked")
+    name = S.fresh(docs, "masked")
+    out = S.add_columns(docs, text, {name: "string"}, work)
+    out = out.withColumn(text, F.col(name)).drop(name)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind)))

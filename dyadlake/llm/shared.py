@@ -37,9 +37,11 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a local one for a local master, and an error for any other, whose executors couldn't read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _local.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="dyadlake-")
         _local[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/dyadlake-{uuid.uuid4().hex}"
@@ -49,13 +51,47 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again: a cut of the lineage that a lost executor can't undo."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+#: The folders that each application has written and not deleted.
+_written: dict[str, list[str]] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        delete(df.sparkSession, df.written_at)
+        _written[df.sparkSession.sparkContext.applicationId].remove(df.written_at)
+
+
+def empty(spark: SparkSession) -> None:
+    """Deletes all that this application's operators have written to the shared folder, once their results have been used, and restores the session's Arrow settings."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+    for key, value in _before.pop(spark.sparkContext.applicationId, {}).items():
+        spark.conf.set(key, value)
+
+
+#: The Arrow settings that each application had before they were lowered.
+_before: dict[str, dict[str, str]] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Holds the Arrow batches that go to Python to a few megabytes, whatever the texts' lengths; smaller settings stay."""
+    """Holds the Arrow batches that go to Python to a few megabytes, whatever the texts' lengths; smaller settings stay. Results are computed later, so the settings stay lowered until ``empty``."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        if not 0 < _bytes(spark.conf.get(key)) <= most:
+        now = spark.conf.get(key)
+        if not 0 < _bytes(now) <= most:
+            _before.setdefault(spark.sparkContext.applicationId, {}).setdefault(key, now)
             spark.conf.set(key, str(most))
 
 
@@ -115,6 +151,12 @@ def without(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name with this stem that no column of ``df`` has, whatever its case."""
+    low = {c.lower() for c in df.columns}
+    return next(n for n in (stem, *(f"{stem}_{k}" for k in range(len(low) + 1))) if n.lower() not in low)
+
+
 def add_columns(df: DataFrame, text: str, added: dict[str, str], work: Callable[[], Callable[[list], list[list]]], keep: list[str] | None = None, where: str | None = None) -> DataFrame:
     """``keep`` (default: all columns) of ``df`` and the ``added`` ones (name to SQL type), from the texts alone.
 
@@ -124,9 +166,9 @@ def add_columns(df: DataFrame, text: str, added: dict[str, str], work: Callable[
     """
     bound_batches(df.sparkSession)
     names = without(df.select(*keep) if keep is not None else df, added)
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(fresh(df, "whole_text")))
     types = ", ".join(f"`{k}` {v}" for k, v in added.items())
-    kept = source.drop("__text").schema
+    kept = source.schema[:-1]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept)}{', ' if names else ''}{types}" if where is None else kept
 
     @tidy
@@ -236,29 +278,34 @@ class Words:
 def sum_vectors(rows: DataFrame, kind: str = "int64") -> DataFrame:
     """Rows (key string, block int, at binary, val binary): sparse int32 positions and values; summed for each key and block.
 
-    A task keeps one dense block for each key it is dealt and adds the rows as they stream by, so its memory doesn't
-    depend on how many rows a key has.
+    A task keeps one dense block, of the key it is at, and adds the sorted rows as they stream by, so its memory depends neither on how many
+    rows a key has nor on how many keys there are.
     """
     dtype = np.dtype(kind)
 
     @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
+        now, have = None, np.zeros(0, dtype)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            i = np.flatnonzero(have).astype(np.int32)
+            if now is not None:
+                yield vector_batch([(*now, i.tobytes(), have[i].tobytes())])
+
         for b in batches:
             for key, block, at, val in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, block) != now:
+                    yield from done()
+                    now, have = (key, block), np.zeros(0, dtype)
                 i = np.frombuffer(at, np.int32)
-                have = sums.get((key, block))
                 need = int(i.max()) + 1 if len(i) else 0
-                if have is None or len(have) < need:
-                    have = np.concatenate([have if have is not None else np.zeros(0, dtype), np.zeros(need - (0 if have is None else len(have)), dtype)])
-                    sums[key, block] = have
+                if len(have) < need:
+                    have = np.concatenate([have, np.zeros(need - len(have), dtype)])
                 have[i] += np.frombuffer(val, dtype)
-        for (key, block), v in sums.items():
-            i = np.flatnonzero(v).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([block], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([v[i].tobytes()], pa.binary())], names=["key", "block", "at", "val"])
+        yield from done()
 
     schema = "key string, block int, at binary, val binary"
-    return rows.repartition("key", "block").mapInArrow(add, schema)
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(add, schema)
 
 
 def sparse_rows(key: str | None, v: np.ndarray, block: int) -> Iterator[tuple]:

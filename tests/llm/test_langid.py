@@ -72,4 +72,47 @@ def test_long_texts_are_cut_without_losing_grams(monkeypatch):
     monkeypatch.setattr(L.S, "CHUNK", 70)
     parts, owner = L.segments(["", text, None])
     assert "".join(parts) == text and owner[0] == 0 and owner[-1] == 2 and max(map(len, parts)) <= 70
+    long = "a" * 500 + " " + "b" * 90 + "c d" + "e" * 71
+    runs, _ = L.segments([long])
+    assert "".join(runs) == long and len(runs) > 1
+    assert np.array_equal(np.sort(np.concatenate([L.grams([p])[0] for p in runs])), np.sort(L.grams([long])[0]))
     assert np.array_equal(np.sort(np.concatenate([L.grams([p])[0] for p in parts])), whole)
+
+
+def slow_bayes(rows, texts):
+    """Predictions from counts in dictionaries."""
+    counts, docs = {}, Counter()
+    for t, g in rows:
+        if t is not None and g is not None:
+            docs[g] += 1
+            counts.setdefault(g, Counter()).update(L.grams([t])[0].tolist())
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append((L.UNKNOWN, 0.0))
+            continue
+        joint = {g: np.log(docs[g] / sum(docs.values())) + sum(np.log((c[k] + 0.1) / (sum(c.values()) + 0.1 * L.BUCKETS)) for k in L.grams([t])[0].tolist()) for g, c in counts.items()}
+        best = min(joint, key=lambda g: (-joint[g], g))
+        out.append((best, 1 / sum(np.exp(v - joint[best]) for v in joint.values())))
+    return out
+
+
+@pytest.mark.parametrize("group", [256, 1, 2])
+def test_predictions_by_a_plain_loop(spark, group):
+    """In one table, and in several groups of languages."""
+    rows = [(t, g) for _, t, g in ROWS] + [("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("il gatto e il cane", "it")] * 2
+    docs = spark.createDataFrame([(i, t, g, "x") for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, whole_text string")
+    got = {r.doc_id: r for r in L.predict(docs, L.train(docs, group=group)).collect()}
+    for i, (lang, p) in enumerate(slow_bayes(rows, [t for t, _ in rows])):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(p, abs=1e-3) and got[i].whole_text == "x"
+
+
+def test_more_languages_than_a_table_or_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD", 5)
+    n = 40
+    name = lambda i: chr(97 + i % 26) * 3 + chr(97 + i // 26) * 3
+    docs = spark.createDataFrame([(i, f"{name(i)} {name(i)}", f"l{i:03}") for i in range(n)], "doc_id long, text string, lang string")
+    model = L.train(docs, group=7)
+    assert model.langs == sorted(f"l{i:03}" for i in range(n))
+    assert all(r.lang_pred == f"l{r.doc_id:03}" for r in L.predict(docs, model).collect())
+    assert L.accepted(docs, model).columns == docs.columns and L.accepted(docs, model).count() == n
