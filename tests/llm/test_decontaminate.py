@@ -45,8 +45,6 @@ def random_case(seed):
 @pytest.mark.parametrize("seed", range(8))
 @pytest.mark.parametrize("blocks", [4_000_000, 12])
 def test_brute_force(spark, seed, blocks):
-    if blocks == 12 and seed > 1:
-        pytest.skip("several blocks are slow")
     texts, bench = random_case(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, N_WORDS string")
     b = spark.createDataFrame(bench, "item_id long, text string")
@@ -59,9 +57,57 @@ def test_brute_force(spark, seed, blocks):
 
 def test_longest_matches_do_not_cross_texts():
     test = D.TestSuffixes([("1", "a b c d")], 2)
-    n, ranges, items = D.judge(["x a b c y", "c", "d a", "b c d", None], test)
+    n, ranges, items, matches = D.judge(["x a b c y", "c", "d a", "b c d", None], test)
     assert n == [5, 1, 2, 3, 0]
     assert ranges == [[(1, 4)], [], [], [(0, 3)], []] and items == [["1"], [], [], ["1"], []]
+    assert matches == [[(1, 4, 0, "1")], [], [], [(0, 3, 1, "1")], []]
+
+
+def slow_matches(text, bench, window):
+    """Every common run of words of a text and one item, by trying all places."""
+    w = words(text)
+    found = []
+    for name, t in bench:
+        own = words(t)
+        n = min(window, len(own))
+        for i in range(len(w)):
+            for j in range(len(own)):
+                if i and j and w[i - 1] == own[j - 1]:
+                    continue  # not a run's first words
+                k = 0
+                while i + k < len(w) and j + k < len(own) and w[i + k] == own[j + k]:
+                    k += 1
+                if n and k >= n:
+                    found.append((i, i + k, j, str(name)))
+    return D.whole(found)
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("pairs", [1 << 21, 40, 1])
+def test_longest_matches_by_trying_all_places(seed, pairs, monkeypatch):
+    """Whole, some items at a time, and by the automaton; two items' matches never merge."""
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    texts, bench = random_case(seed)
+    texts += ["a b " * 40, "a " * 30 + "b a"]
+    bench += [(7, "a b a b a b"), (8, "a a a a a a a b"), (9, "b a b a")]
+    _, ranges, _, matches = D.judge(texts, D.TestSuffixes([(str(i), t) for i, t in bench], 3))
+    for t, r, m in zip(texts, ranges, matches, strict=True):
+        want = slow_matches(t, bench, 3)
+        if pairs > 1:
+            assert m == want
+        assert [x[:2] for x in m] == [x[:2] for x in want]
+        for a, b, q, name in m:
+            assert words(t)[a:b] in [words(x)[q : q + b - a] for i, x in bench if str(i) == name]
+        assert D.union([x[:2] for x in m]) == D.union(r)
+
+
+def test_long_items_are_cut_and_joined_again(spark):
+    item = " ".join(f"w{i % 700}" for i in range(3000))
+    docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(30, 600)) + " y"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (6, "of it all")], "item_id long, text string")
+    rows = {r.doc_id: r for r in D.report(docs, bench, block_chars=400).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[2].n_hit) == (570, 1, 0) and rows[1].matches == ["1:571:30:5"]
+    assert [r.doc_id for r in D.remove(docs, bench, block_chars=400).collect()] == [2]
 
 
 def test_empty_tables_repeats_and_long_texts(spark):
