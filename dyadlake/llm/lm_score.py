@@ -205,6 +205,21 @@ def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(z.sum(1))
 
 
+def group_sums(z: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``starts`` and have n rows. Many short runs are added a row of each at a time."""
+    if len(starts) * 3 < len(z):
+        return np.add.reduceat(z, starts, axis=0)
+    g = z.take(starts, 0)
+    for i in np.flatnonzero(n > 8).tolist():
+        g[i] = z[starts[i] : starts[i] + n[i]].sum(0)
+    more, k = np.flatnonzero((n > 1) & (n <= 8)), 1
+    while len(more):
+        g[more] += z.take(starts[more] + k, 0)
+        k += 1
+        more = more[n[more] > k]
+    return g
+
+
 class Learner:
     """One softmax in training: weights and AdaGrad's sums of squares by row, and how often each row was active."""
 
@@ -225,9 +240,11 @@ class Learner:
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             n = np.diff(np.append(starts, len(own)))
             row = own[starts]
-            g = np.add.reduceat(z.take(order, 0), starts, axis=0)
-            self.squares[row] += np.einsum("ij,ij->i", g, g) / z.shape[1] + 1e-3
-            self.w[row] -= (RATE / np.sqrt(self.squares[row]))[:, None] * g / len(rows) ** 0.5
+            g = group_sums(z.take(order, 0), starts, n)
+            squares = self.squares[row] + np.einsum("ij,ij->i", g, g) / z.shape[1] + np.float32(1e-3)
+            self.squares[row] = squares
+            g *= (np.float32(RATE / len(rows) ** 0.5) / np.sqrt(squares))[:, None]
+            self.w[row] = self.w.take(row, 0) - g
             self.seen[row] += n
 
     def changes(self, table: int, shard: int) -> Iterator[tuple]:
@@ -333,7 +350,7 @@ def fit(learn: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, object,
     sent = sc.broadcast(v)
     shards = max(1, min(SPREAD, v.total // (ROUNDS * SHARD)), v.total // (ROUNDS * MOST))  # from the data alone
     place = F.xxhash64(F.coalesce("text", F.lit("")))
-    dealt = learn.select("text", place.alias("place"), F.pmod(place, F.lit(ROUNDS)).alias("fold"), F.pmod(F.floor(place / ROUNDS), F.lit(shards)).cast("int").alias("shard"))
+    dealt = learn.select("text", place.alias("place"), F.pmod(place, F.lit(ROUNDS)).alias("fold"), F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard"))
     weights = sc.broadcast([np.zeros((n, k), np.float32) for n, k in zip(ROWS_, WIDTHS, strict=True)])
     for fold in range(ROUNDS):
         new = train_round(dealt, sent, weights, fold, shards)

@@ -126,10 +126,15 @@ def test_scores_by_a_plain_loop(spark, small):
 
 
 def test_the_model_does_not_depend_on_partitions(spark, small, monkeypatch):
-    monkeypatch.setattr(L, "SHARD", 8000)
+    monkeypatch.setattr(L, "SHARD", 4000)
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     learn = F.col("doc_id") % 7 != 2
+    dealt = []
+    inner = L.train_round
+    monkeypatch.setattr(L, "train_round", lambda d, *a: dealt.append(d) or inner(d, *a))
     found = [dict(L.score(docs.repartition(n), learn).select("doc_id", "score").collect()) for n in (1, 7, 32)]
+    sizes = [r["count"] for r in dealt[0].groupBy("fold", "shard").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 4 * sum(sizes) / len(sizes)  # no shard has much more than its part
     assert found[0] == pytest.approx(found[1], rel=1e-12) and found[0] == pytest.approx(found[2], rel=1e-12)
 
 
