@@ -3,8 +3,8 @@
 P(word | history) = P(class | history) * P(ending | class, history) * P(word | ending, class). The ``SINGLES`` most frequent tokens are
 classes of their own. Any other word's class follows from its spelling (last character, length, whether it's plain ASCII), and within
 the class its ending from a hash of its last three bytes, so unknown words have both. Either softmax sums one
-weight row for each active feature of the history: the last word, the last two, the word before the last (skip), the
-classes of the last two, and the last two frequent words, however far back (a skip of any length); the second softmax sees them together with the class.
+weight row for each active feature of the history: the last word, the last two, the classes of the last two, and the last two frequent words, however far
+back (a skip of any length); the second the last word, the word before it (skip) and the last two frequent words, each together with the class.
 Features are hashed into fixed rows. Among the words of one class and ending, each has its add-one relative frequency, an unknown word the share of one.
 
 1. Counts of all training tokens: each task counts its own words, then one aggregation by word.
@@ -38,14 +38,14 @@ CLASSES = SINGLES + SHAPES
 FREQUENT = 1 << 20
 ROUNDS, STEP = 3, 2048
 #: A shard has at least so many tokens, and where there would be more than ``SPREAD`` shards, up to so many.
-SHARD, MOST, SPREAD = 1 << 19, 1 << 24, 32
+SHARD, MOST, SPREAD = 1 << 19, 1 << 24, 16
 RATE = 0.2
 END = np.uint64(0x5851F42D4C957F2D)
 _N = CLASSES + 1  # class values of a history: one more for before the text
 _S = SINGLES + 1
 _WORD, _PAIR, _SKIP, _OWN = 13, 13, 12, 14  # bits of hashed rows
 #: Where the rows of each feature begin: of the first softmax, then of the second.
-_AT = np.cumsum([0, _N * _N, 1 << _WORD, 1 << _PAIR, 1 << _SKIP, _S * _S])
+_AT = np.cumsum([0, _N * _N, 1 << _WORD, 1 << _PAIR, _S * _S])
 _OF = np.cumsum([0, SHAPES * _S * _S, 1 << _OWN, 1 << _SKIP])
 WIDTHS = (CLASSES, ENDINGS)
 ROWS_ = (int(_AT[-1]), int(_OF[-1]))
@@ -164,7 +164,7 @@ class Histories:
         return np.where(there, self.kind[np.maximum(i, 0)], SINGLES), np.where(there, i, first)
 
     def __call__(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the places a to b: rows of the first softmax (5, n), the classes, rows of the second (3, m) and the spellings, these two of the words that are no class of their own."""
+        """For the places a to b: rows of the first softmax (4, n), the classes, rows of the second (3, m) and the spellings, these two of the words that are no class of their own."""
         at = np.arange(a, b)
         first = self.begins[np.searchsorted(self.begins, at, "right") - 1]
         prev = []
@@ -177,7 +177,7 @@ class Histories:
         s2, _ = self.frequent(i, first)
         top = lambda h, bits: (h >> np.uint64(64 - bits)).astype(np.int64)
         both = s1 * _S + s2
-        rows = np.stack([c1 * _N + c2, _AT[1] + top(w1, _WORD), _AT[2] + top(S.mix(w1 * np.uint64(3) + w2), _PAIR), _AT[3] + top(w2, _SKIP), _AT[4] + both]).astype(np.uint16)
+        rows = np.stack([c1 * _N + c2, _AT[1] + top(w1, _WORD), _AT[2] + top(S.mix(w1 * np.uint64(3) + w2), _PAIR), _AT[3] + both]).astype(np.uint16)
         kind = self.kind[a:b]
         rest = np.flatnonzero(kind >= SINGLES)
         spelling = self.spelling[a:b][rest]
@@ -382,17 +382,19 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text",
                 kind = v.classes(h, spelling)
                 history = Histories(h, spelling, kind, begins)
                 logp = np.empty(len(h))
-                for k in range(0, len(h), 4096):
-                    last = min(k + 4096, len(h))
+                for k in range(0, len(h), STEP):
+                    last = min(k + STEP, len(h))
                     rows_, kinds, more, own = history(k, last)
                     part = log_softmax(logits(w[0], prior, rows_), kinds).astype(float)
                     if len(own):
                         part[kinds >= SINGLES] += log_softmax(logits(w[1], priors[own // ENDINGS], more), own % ENDINGS)
                     logp[k:last] = part * 0.4342944819032518
                 if len(v.h):
-                    at = np.minimum(np.searchsorted(v.h, h), len(v.h) - 1)
-                    there = v.h[at] == h
-                    log_c = np.where(there, np.log10(v.c[at] + 1.0), 0.0)
+                    each, whose = np.unique(h, return_inverse=True)  # in order, so that the large table is read in order
+                    at = np.minimum(np.searchsorted(v.h, each), len(v.h) - 1)
+                    known_ = v.h[at] == each
+                    there = known_[whose]
+                    log_c = np.where(known_, np.log10(v.c[at] + 1.0), 0.0)[whose]
                 else:
                     there, log_c = np.zeros(len(h), bool), np.zeros(len(h))
                 logp += np.where(kind < SINGLES, 0.0, within[spelling] + log_c)

@@ -100,7 +100,7 @@ def slow_score(text, v, weights):
         w1, w2 = (h[i - k] if i >= k else k for k in (1, 2))
         s1, s2 = ([k for k in reversed(kind[:i]) if k < L.SINGLES] + [L.SINGLES] * 2)[:2]
         at = L._AT.tolist()
-        rows = [c1 * L._N + c2, at[1] + top(w1, L._WORD), at[2] + top(mix(w1 * 3 + w2), L._PAIR), at[3] + top(w2, L._SKIP), at[4] + s1 * L._S + s2]
+        rows = [c1 * L._N + c2, at[1] + top(w1, L._WORD), at[2] + top(mix(w1 * 3 + w2), L._PAIR), at[3] + s1 * L._S + s2]
         z = prior.astype(float) + sum(weights[0][r].astype(float) for r in rows)
         out += z[kind[i]] - np.log(np.exp(z - z.max()).sum()) - z.max()
         if kind[i] >= L.SINGLES:
