@@ -22,8 +22,8 @@ def pool_features(pair_hands: DataFrame) -> DataFrame:
     one = pair_hands.groupBy("table_id", "p1", "p2").agg(F.count("*").alias("n"), F.sum(there).alias("moved_12"), F.sum(back).alias("moved_21"), F.avg(F.col("folded_1") * F.col("folded_2")).alias("both_folded"))
     moved = F.col("moved_12") + F.col("moved_21")
     one = one.withColumns({"moved": moved, "one_way": X.ratio(F.abs(F.col("moved_12") - F.col("moved_21")), moved)})
-    one = files.stage(one)  # ranking reads it several times
-    return R.percent_rank(R.percent_rank(one, ["table_id"], "moved", "moved_rank"), ["table_id"], "n", "n_rank")
+    one = files.stage(one.withColumn("pair", F.struct("p1", "p2")))  # ranking reads it several times
+    return R.percent_rank(R.percent_rank(one, ["table_id"], "moved", "moved_rank", "pair"), ["table_id"], "n", "n_rank", "pair").drop("pair")
 
 
 def policy(rows: DataFrame, group: Sequence[str], situation: Sequence[str], event: str, k: float) -> DataFrame:

@@ -1,34 +1,69 @@
-"""Ranking over whole tables and hot groups without a single-task window, and metrics on top of it."""
+"""Ranking over whole tables and hot groups without a single-task window, and metrics on top of it.
+
+Rows are dealt by ranges of (groups, score, tie), as many as ``spark.sql.shuffle.partitions`` says, and staged: the ranges follow the table's size, and
+rows that tie on the score are cut apart by the tie. A few numbers for each group and range give every range its offset.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from dyadlake.sources import files
 
 
-def ranked(df: DataFrame, groups: Sequence[str], score: str, tie: str, sums: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``place`` (1 is the highest score, ties by the smallest ``tie``) and running sums ``cum_<c>``, within each group.
+def _ranged(df: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` staged in ranges, with __p (the range) and __m (the row's number, rising within a range)."""
+    keys = [*map(F.col, groups), *order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    return files.stage(rows.withColumn("__p", F.shiftright("__m", 33)))
 
-    Rows are dealt by ranges of the score, so neither the whole table nor a hot group meets in one task; the ranges' totals, a few rows for each
-    group, give every range its offset.
-    """
-    cuts = df.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x > F.col(score))) if cuts else F.lit(0)
-    rows = df.withColumn("__b", bucket)
-    parts = rows.groupBy(*groups, "__b").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
-    earlier = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select(*groups, "__b", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__o_{c}") for c in ("n", *sums)])
-    w = Window.partitionBy(*groups, "__b").orderBy(F.desc(score), tie)
-    inside = rows.withColumn("place", F.row_number().over(w))
+
+def ranked(df: DataFrame, groups: Sequence[str], score: str, tie: str, sums: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``place`` (1 is the highest score, ties by the smallest ``tie``) and running sums ``cum_<c>``, within each group."""
+    rows = _ranged(df, groups, [F.desc(score), F.col(tie)])
+    parts = rows.groupBy(*groups, "__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    earlier = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*groups, "__p", "__first", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__o_{c}") for c in ("n", *sums)])
+    w = Window.partitionBy(*groups, "__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
     for c in sums:
-        inside = inside.withColumn(f"cum_{c}", F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = inside.join(before, [*groups, "__b"])
-    out = out.withColumns({"place": (F.col("place") + F.col("__o_n")).cast("long"), **{f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__o_{c}") for c in sums}})
-    return out.drop("__b", "__o_n", *[f"__o_{c}" for c in sums])
+        rows = rows.withColumn(f"cum_{c}", F.sum(c).over(w))
+    out = rows.join(before, [*groups, "__p"])
+    out = out.withColumns({"place": (F.col("__m") - F.col("__first") + 1 + F.col("__o_n")).cast("long"), **{f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__o_{c}") for c in sums}})
+    return out.drop("__p", "__m", "__first", "__o_n", *[f"__o_{c}" for c in sums])
+
+
+def tied(df: DataFrame, groups: Sequence[str], value: str, tie: str) -> DataFrame:
+    """``df`` with, in its group, ``__low``: rows of smaller values; ``__ties``: rows of its value; ``__before``: rows of smaller values, or of its own and an earlier tie; ``__all``: rows. Null values come first.
+
+    A value with many rows may fill several ranges: what it has in each comes from the ranges' first and last values, so no value meets in one task.
+    """
+    rows = _ranged(df, groups, [F.col(value).asc_nulls_first(), F.col(tie)])
+    within = Window.partitionBy(*groups, "__p")
+    rows = rows.withColumns({"__in": F.rank().over(within.orderBy(F.col(value).asc_nulls_first())) - 1, "__own": F.count("*").over(Window.partitionBy(*groups, "__p", value))})
+    edge = F.struct(F.col(value).alias("v"), F.col("__own").alias("c"))
+    parts = rows.groupBy(*groups, "__p").agg(F.count("*").alias("n"), F.min("__m").alias("first"), F.min_by(edge, "__m").alias("a"), F.max_by(edge, "__m").alias("z"))
+    by = Window.partitionBy(*groups).orderBy("__p")
+    one = F.col("a.v").eqNullSafe(F.col("z.v"))
+    parts = parts.withColumns({"o": F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "go": F.coalesce(F.lag("z").over(by)["v"].eqNullSafe(F.col("a.v")) & F.lag("n").over(by).isNotNull(), F.lit(False)), "all": F.sum("n").over(Window.partitionBy(*groups))})
+    # where the last value of a range begins: here, or where it began in an earlier range
+    begins = F.when(~one, F.col("o") + F.col("n") - F.col("z.c")).when(~F.col("go"), F.col("o"))
+    parts = parts.withColumn("z0", F.last(begins, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("a0", F.when(F.col("go"), F.lag("z0").over(by)).otherwise(F.col("o")))
+    # all rows of a value that lies on an edge
+    edges = parts.select(*groups, F.explode(F.array_distinct(F.array(F.struct("a0", F.col("__p").alias("p"), F.col("a.c").alias("c")), F.struct(F.col("z0").alias("a0"), F.col("__p").alias("p"), F.col("z.c").alias("c"))))).alias("e"))
+    whole = edges.groupBy(*groups, F.col("e.a0").alias("__at")).agg(F.sum("e.c").alias("__whole"))
+    found = parts.select(*groups, "__p", F.col("o").alias("__o"), F.col("first").alias("__first"), F.col("all").alias("__all"), F.col("a.v").alias("__v"), F.col("a0").alias("__a0"), F.col("z0").alias("__z0"))
+    for k in ("a", "z"):
+        found = found.join(whole.withColumnsRenamed({"__at": f"__{k}0", "__whole": f"__{k}n"}), [*groups, f"__{k}0"])
+    out = rows.join(found, [*groups, "__p"])
+    low = F.when(F.col(value).eqNullSafe(F.col("__v")), F.col("__a0")).otherwise(F.col("__o") + F.col("__in"))
+    out = out.withColumn("__low", low)
+    ties = F.when(F.col("__low") == F.col("__a0"), F.col("__an")).when(F.col("__low") == F.col("__z0"), F.col("__zn")).otherwise(F.col("__own"))
+    out = out.withColumns({"__ties": ties, "__before": F.col("__o") + F.col("__m") - F.col("__first")})
+    return out.drop("__p", "__m", "__first", "__in", "__own", "__o", "__v", "__a0", "__z0", "__an", "__zn")
 
 
 def positions(df: DataFrame, groups: Sequence[str], time: str, tie: str, name: str) -> DataFrame:
@@ -37,26 +72,25 @@ def positions(df: DataFrame, groups: Sequence[str], time: str, tie: str, name: s
     return ranked(df.withColumn("__t", -micros), groups, "__t", tie).withColumn(name, F.col("place") - 1).drop("place", "__t")
 
 
-def percent_rank(df: DataFrame, groups: Sequence[str], value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``name``: (rank - 1) / (rows - 1) in its group, from counts of distinct values; 0 in a group of one."""
-    n = df.groupBy(*groups, value).agg(F.count("*").alias("__ties"))
-    r = ranked(n.withColumn("__neg", -F.col(value)), groups, "__neg", value, ["__ties"], buckets)
-    total = n.groupBy(*groups).agg(F.sum("__ties").alias("__all"))
-    share = F.coalesce((F.col("cum___ties") - F.col("__ties")) / F.nullif(F.col("__all") - 1, F.lit(0)), F.lit(0.0))
-    return df.join(r.join(total, list(groups)).select(*groups, value, share.alias(name)), [*groups, value])
+TIED = ("__low", "__ties", "__before", "__all")
+
+
+def percent_rank(df: DataFrame, groups: Sequence[str], value: str, name: str, tie: str) -> DataFrame:
+    """``df`` with ``name``: (rank - 1) / (rows - 1) in its group; 0 in a group of one. ``tie`` only deals equal values out."""
+    share = F.coalesce(F.col("__low") / F.nullif(F.col("__all") - 1, F.lit(0)), F.lit(0.0))
+    return tied(df, groups, value, tie).withColumn(name, share).drop(*TIED)
 
 
-def average_rank_share(df: DataFrame, groups: Sequence[str], value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``name``: average rank over the rows of its group, from counts of distinct values; for groups of any size, without nulls."""
-    r = _counted(df, groups, value, buckets)
-    share = (F.col("cum___ties") - (F.col("__ties") - 1) / 2) / F.col("__all")
-    return df.join(r.select(*groups, value, share.alias(name)), [*groups, value])
+def average_rank_share(df: DataFrame, groups: Sequence[str], value: str, name: str, tie: str) -> DataFrame:
+    """``df`` with ``name``: average rank over the rows of its group, for groups of any size, without nulls."""
+    share = (F.col("__low") + (F.col("__ties") + 1) / 2) / F.col("__all")
+    return tied(df, groups, value, tie).withColumn(name, share).drop(*TIED)
 
 
-def _counted(df: DataFrame, groups: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def _counted(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Distinct values of each group with their rows (__ties), rows up to them (cum___ties) and all rows (__all)."""
     n = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__ties"))
-    r = ranked(n.withColumn("__neg", -F.col(value)), groups, "__neg", value, ["__ties"], buckets)
+    r = ranked(n.withColumn("__neg", -F.col(value)), groups, "__neg", value, ["__ties"])
     total = n.groupBy(*groups).agg(F.sum("__ties").alias("__all"))
     return r.join(total, list(groups)) if groups else r.join(F.broadcast(total))
 
@@ -101,15 +135,13 @@ def map_at(df: DataFrame, group: str, score: str, label: str, tie: str, k: int =
     return n.join(gains, group).select(group, (F.col("gain") / F.least("relevant", F.lit(k))).alias("ap"))
 
 
-def average_ranks(df: DataFrame, value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``name``: the ascending average rank of ``value`` over the whole table, from counts of distinct values."""
-    n = df.groupBy(value).agg(F.count("*").alias("__ties"))
-    r = ranked(n.withColumn("__neg", -F.col(value)), [], "__neg", value, ["__ties"], buckets)
-    return df.join(r.select(value, (F.col("cum___ties") - (F.col("__ties") - 1) / 2).alias(name)), value)
+def average_ranks(df: DataFrame, value: str, name: str, tie: str) -> DataFrame:
+    """``df`` with ``name``: the ascending average rank of ``value`` over the whole table."""
+    return tied(df, [], value, tie).withColumn(name, F.col("__low") + (F.col("__ties") + 1) / 2).drop(*TIED)
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """One row: the area under the ROC curve by the rank sum."""
-    r = average_ranks(df, score, "__r")
+    r = average_ranks(df, score, "__r", tie)
     p, n = F.sum(label), F.count("*") - F.sum(label)
     return r.agg(((F.sum(F.col("__r") * F.col(label)) - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0))).alias("auc"))

@@ -157,4 +157,4 @@ def bag_aggregates(spark: SparkSession, d: str) -> DataFrame:
 def fold_local_rank(spark: SparkSession, d: str) -> DataFrame:
     """Ranks normalised within each fold."""
     rows = T.table(spark, d, "labels").select("doc_id", X.fold_of("doc_id", 4, 5).alias("fold"), F.pmod(F.col("doc_id") * 7919 + 17, F.lit(1009)).alias("score"))
-    return R.average_rank_share(rows, ["fold"], "score", "share").select("doc_id", "fold", "share")
+    return R.average_rank_share(rows, ["fold"], "score", "share", "doc_id").select("doc_id", "fold", "share")

@@ -69,13 +69,13 @@ def composite_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT round((sum(r * toxic) - sum(toxic) * (sum(toxic) + 1) / 2) / (sum(toxic) * (count(*) - sum(toxic))), 9) auc FROM (SELECT toxic, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 r FROM scored)", also=_SCORED)
 def auc_rank(spark: SparkSession, d: str) -> DataFrame:
-    return R.auc(scored(spark, d), "score", "toxic").select(F.round("auc", 9).alias("auc"))
+    return R.auc(scored(spark, d), "score", "toxic", "doc_id").select(F.round("auc", 9).alias("auc"))
 
 
 @query("SELECT round(corr(a, b), 9) rho FROM (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 a, rank() OVER (ORDER BY other) + (count(*) OVER (PARTITION BY other) - 1) / 2 b FROM scored)", also=_SCORED)
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of two scores."""
-    r = R.average_ranks(R.average_ranks(scored(spark, d), "score", "a"), "other", "b")
+    r = R.average_ranks(R.average_ranks(scored(spark, d), "score", "a", "doc_id"), "other", "b", "doc_id")
     return r.agg(F.round(F.corr("a", "b"), 9).alias("rho"))
 
 
@@ -125,8 +125,8 @@ def rank_average_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, round(score / 1009.0, 9) + 1e-13 * (row_number() OVER (PARTITION BY score ORDER BY doc_id) - 1) AS value FROM scored", also=_SCORED)
 def separate_ties(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("score").orderBy("doc_id")) - 1
-    return scored(spark, d).select("doc_id", (F.round(F.col("score") / 1009.0, 9) + F.lit(1e-13) * k).alias("value"))
+    k = F.col("__before") - F.col("__low")
+    return R.tied(scored(spark, d), [], "score", "doc_id").select("doc_id", (F.round(F.col("score") / 1009.0, 9) + F.lit(1e-13) * k).alias("value"))
 
 
 @query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY score DESC, doc_id) <= round(count(*) OVER () * 0.2) THEN lang ELSE 'none' END AS decision FROM scored", also=_SCORED)

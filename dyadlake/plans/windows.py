@@ -133,7 +133,7 @@ def zscore_in_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT table_id, player_id, n, percent_rank() OVER (PARTITION BY table_id ORDER BY n) share FROM (SELECT table_id, player_id, count(*) n FROM seated GROUP BY 1, 2)", "seated")
 def percent_rank_pool(spark: SparkSession, d: str) -> DataFrame:
     own = T.seated(spark, d).groupBy("table_id", "player_id").agg(F.count("*").alias("n"))
-    return R.percent_rank(own, ["table_id"], "n", "share")
+    return R.percent_rank(own, ["table_id"], "n", "share", "player_id")
 
 
 @query(f"SELECT p1, p2, hand_id, row_number() {_PAIR_TIME}) / count(*) OVER (PARTITION BY p1, p2) progress FROM pairs", "pairs")

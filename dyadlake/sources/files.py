@@ -14,9 +14,11 @@ _local: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession) -> str:
-    """A path in the folder that driver and executors share, a local one only where none is set."""
+    """A path in the folder that driver and executors share. Where none is set, a local one for a local master, and an error for any other."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _local.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="dyadlake-")
         _local[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/dyadlake-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from dyadlake.operators import pairs
 
 SPLIT = "1998-12-01"
+#: Users that share a table in the event log.
+SEATED_USERS = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +48,10 @@ def pair_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log in hands of an hour: event_id, hand_id, ts, player_id, street (quarter of the hour), action, amount in cents, aggressive."""
+    """The event log in hands, a day of six neighbouring users each: event_id, hand_id, ts, player_id, street (quarter of the day), action, amount in cents, aggressive."""
+    seat = F.floor(F.col("user_id") / SEATED_USERS)
     return table(spark, sf_dir, "events").select(
-        "event_id", F.date_format(F.col("ts"), "yyyyMMddHH").cast("long").alias("hand_id"), "ts", F.col("user_id").alias("player_id"), F.floor(F.minute("ts") / 15).cast("int").alias("street"),
+        "event_id", (F.date_format(F.col("ts"), "yyyyMMdd").cast("long") * 1000000 + seat).alias("hand_id"), "ts", F.col("user_id").alias("player_id"), F.floor(F.hour("ts") / 6).cast("int").alias("street"),
         F.col("event_type").alias("action"), F.round(F.col("value") * 100).cast("long").alias("amount"), (F.col("event_type") == "purchase").cast("int").alias("aggressive"),
     )
 
@@ -61,4 +64,4 @@ SEATS = """seats AS (SELECT *, CAST(count(*) OVER (PARTITION BY hand_id) AS BIGI
 SEATED = "seated AS (SELECT * FROM seats JOIN hands USING (hand_id))"
 PAIRS = """pairs AS (SELECT a.hand_id, a.player_id p1, b.player_id p2, a.contribution contribution_1, b.contribution contribution_2, a.quantity quantity_1, b.quantity quantity_2, a.lines lines_1, b.lines lines_2, a.folded folded_1, b.folded folded_2,
  a.showdown showdown_1, b.showdown showdown_2, a.net net_1, b.net net_2, table_id, started_at, phase FROM seats a JOIN seats b ON a.hand_id = b.hand_id AND a.player_id < b.player_id JOIN hands h ON h.hand_id = a.hand_id)"""
-ACTIONS = "actions AS (SELECT event_id, CAST(strftime(ts, '%Y%m%d%H') AS BIGINT) hand_id, ts, user_id player_id, CAST(floor(minute(ts) / 15) AS INT) street, event_type \"action\", CAST(round(value * 100) AS BIGINT) amount, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END aggressive FROM events)"
+ACTIONS = "actions AS (SELECT event_id, CAST(strftime(ts, '%Y%m%d') AS BIGINT) * 1000000 + user_id // 6 AS hand_id, ts, user_id player_id, CAST(hour(ts) // 6 AS INT) street, event_type \"action\", CAST(round(value * 100) AS BIGINT) amount, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END aggressive FROM events)"

@@ -16,18 +16,18 @@ def test_out_of_fold_scores_every_row_once_and_well(spark):
     df = rows(spark).withColumn("label", F.col("truth").cast("double"))
     out = L.out_of_fold(df, lambda: L.logistic(["x", "z"]), "fold", 3)
     assert out.count() == 600 and out.select("id").distinct().count() == 600
-    assert R.auc(out, "p", "truth").first().auc > 0.98
+    assert R.auc(out, "p", "truth", "id").first().auc > 0.98
 
 
 def test_boosted_learns(spark):
     df = rows(spark).withColumn("label", F.col("truth").cast("double"))
     out = L.probability(L.boosted(["x", "z"]).fit(df.where("fold < 2")), df.where("fold = 2"))
-    assert R.auc(out, "p", "truth").first().auc > 0.98
+    assert R.auc(out, "p", "truth", "id").first().auc > 0.98
 
 
 def test_pu_rounds_rank_hidden_positives(spark):
     out = L.pu_rounds(rows(spark), ["x", "z"])
-    assert R.auc(out.where("known is null"), "p", "truth").first().auc > 0.95
+    assert R.auc(out.where("known is null"), "p", "truth", "id").first().auc > 0.95
 
 
 def test_mil_rounds_find_the_rows_that_make_a_bag_positive(spark):
@@ -43,7 +43,7 @@ def test_bag_and_rank_share(spark):
     df = rows(spark).withColumn("label", F.col("truth").cast("double"))
     out = L.rank_share(L.bagged(df, ["x", "z"], (1, 2)), "p", "id")
     assert out.agg(F.max("share"), F.count("*")).first() == (1.0, 600)
-    assert R.auc(out, "p", "truth").first().auc > 0.98
+    assert R.auc(out, "p", "truth", "id").first().auc > 0.98
 
 
 def test_tables_are_left_out_whole(spark, small):

@@ -90,7 +90,7 @@ def test_out_of_fold_rate_never_sees_its_fold(spark):
 def test_ranked_over_ties_and_groups(spark):
     rows = [(g, i, i * 7 % 5) for g in "xy" for i in range(200)]
     df = spark.createDataFrame(rows, "g string, i int, s int")
-    got = {(r.g, r.i): (r.place, r.cum_s) for r in R.ranked(df, ["g"], "s", "i", ["s"], buckets=8).collect()}
+    got = {(r.g, r.i): (r.place, r.cum_s) for r in R.ranked(df, ["g"], "s", "i", ["s"]).collect()}
     for g in "xy":
         order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
         total = 0
@@ -103,7 +103,7 @@ def test_metrics(spark):
     df = spark.createDataFrame([("g", 1, 3.0, 1), ("g", 2, 2.0, 0), ("g", 3, 1.0, 1)], "g string, id int, s double, y int")
     assert R.average_precision(df, ["g"], "s", "y", "id").first().ap == pytest.approx(0.833333, abs=1e-6)
     assert R.map_at(df, "g", "s", "y", "id").first().ap == pytest.approx(0.833333, abs=1e-6)
-    assert R.auc(df, "s", "y").first().auc == 0.5
+    assert R.auc(df, "s", "y", "y").first().auc == 0.5
     six = spark.createDataFrame([("g", i, float(-i), 1) for i in range(6)], "g string, id int, s double, y int")
     assert R.map_at(six, "g", "s", "y", "id").first().ap == 1
     assert R.ranked(df.limit(0), ["g"], "s", "id").count() == 0
@@ -129,9 +129,9 @@ def test_quantiles(spark):
 
 def test_shares_and_scores_by_counts(spark):
     df = spark.createDataFrame([("k", v) for v in (1, 2, 2, 3)] + [("n", 5)], "k string, v int")
-    got = sorted((r.k, r.v, r.s) for r in R.average_rank_share(df, ["k"], "v", "s").collect())
+    got = sorted((r.k, r.v, r.s) for r in R.average_rank_share(df, ["k"], "v", "s", "v").collect())
     assert got == [("k", 1, 0.25), ("k", 2, 0.625), ("k", 2, 0.625), ("k", 3, 1.0), ("n", 5, 1.0)]
-    got = sorted((r.k, r.v, r.s) for r in R.percent_rank(df, ["k"], "v", "s").collect())
+    got = sorted((r.k, r.v, r.s) for r in R.percent_rank(df, ["k"], "v", "s", "v").collect())
     assert got == [("k", 1, 0.0), ("k", 2, pytest.approx(1 / 3)), ("k", 2, pytest.approx(1 / 3)), ("k", 3, 1.0), ("n", 5, 0.0)]
     z = {(r.k, r.v): r.z for r in A.z_scores(df, ["k"], "v", "z").collect()}
     assert z["n", 5] == 0.0 and z["k", 2] == 0.0 and z["k", 1] == pytest.approx(-1.224745, abs=1e-6)
@@ -144,3 +144,25 @@ def test_columns_by_schema(spark):
     assert K.numeric(df, but=["a_id"]) == ["b_mean", "d_flag"] and K.named(df, suffix="_mean") == ["b_mean"] and K.having(df, ["c", "z"]) == ["c"]
     assert K.padded(df, {"z": "double", "c": "string"}).columns == ["a_id", "b_mean", "c", "d_flag", "z"]
     assert [r.b_mean for r in K.finite(df, ["b_mean"]).orderBy("a_id").collect()] == [2.0, 0.0]
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_ties_that_fill_several_ranges(spark, ranges):
+    """One value with most of the rows, groups of one row, nulls, and more ranges than values."""
+    rows = [(g, i, v) for g, values in (("a", [0] * 120 + list(range(1, 30)) + [50] * 60 + [99]), ("b", [5]), ("c", [None, None, 1, 1, 2]), ("d", [7] * 90)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.i): (r["__low"], r["__ties"], r["__before"], r["__all"]) for r in R.tied(df, ["g"], "v", "i").collect()}
+        places = {(r.g, r.i): (r.place, r.cum_i) for r in R.ranked(df, ["g"], "v", "i", ["i"]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    key = lambda v: -1 if v is None else v
+    for g, i, v in rows:
+        own = [(key(w), j) for h, j, w in rows if h == g]
+        assert got[g, i] == (sum(w < key(v) for w, _ in own), sum(w == key(v) for w, _ in own), sum(x < (key(v), i) for x in own), len(own))
+        down = [j for w, j in own if (-w, j) <= (-key(v), i)]
+        assert places[g, i] == (len(down), sum(down))
