@@ -29,4 +29,4 @@ def query(sql: str | None = None, *relations: str, also: str = "") -> Callable:
     return register
 
 
-from dyadlake.plans import aggregates, anatomy, basics, behaviour, cards, interactions, learning, ranking, selection, streams, windows  # noqa: E402, F401  (they register themselves)
+from dyadlake.plans import aggregates, anatomy, basics, behaviour, cards, interactions, learning, ranking, selection, streams, wide, windows  # noqa: E402, F401  (they register themselves)
