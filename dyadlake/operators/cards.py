@@ -94,3 +94,16 @@ def _value(ranks: Column, n: Column, flush: Column) -> Column:
 def category(v: Column) -> Column:
     """0 high card, 1 pair, 2 two pairs, 3 three, 4 straight, 5 flush, 6 full house, 7 four, 8 straight flush."""
     return F.floor(v / BASE**5).cast("long")
+
+
+def few(ranks: Column) -> Column:
+    """The value of two to four cards by their ranks 0 to 12: the category of their equal ranks, then the ranks, most frequent first, counted from 2 to 14."""
+    keys = F.sort_array(F.array_distinct(F.transform(ranks, lambda x: F.size(F.filter(ranks, lambda y: y == x)) * 100 + x)), asc=False)
+
+    def body(o: Column) -> Column:
+        n = lambda i: F.floor(F.get(o, F.lit(i)) / 100)
+        kind = F.when(n(0) == 4, 7).when(n(0) == 3, 3).when((n(0) == 2) & (F.coalesce(n(1), F.lit(0)) == 2), 2).when(n(0) == 2, 1).otherwise(0)
+        number = F.aggregate(o, F.lit(0), lambda s, x: s * BASE + x % 100 + 2)
+        return (kind * BASE**5 + number * F.pow(F.lit(BASE), 5 - F.size(o))).cast("long")
+
+    return let(keys, body)

@@ -64,3 +64,24 @@ def same_columns(a: DataFrame, b: DataFrame) -> None:
 def unique_key(df: DataFrame, *keys: str) -> DataFrame:
     """The keys that stand more than once: empty if the contract holds."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def json_roundtrip(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as JSON lines and re-read with its schema."""
+    path = path or new_path(df.sparkSession)
+    df.write.mode("overwrite").json(path)
+    return df.sparkSession.read.json(path, schema=df.schema)
+
+
+def discover(spark: SparkSession, candidates: list[str], required: list[str]) -> str:
+    """The first folder, in any store, that holds all required files; FileNotFoundError if none does."""
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(settings).exists(at)
+
+    for folder in candidates:
+        if all(there(f"{folder.rstrip('/')}/{name}") for name in required):
+            return folder
+    raise FileNotFoundError(f"none of {candidates} holds {required}")
