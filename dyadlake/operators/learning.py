@@ -6,10 +6,10 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadlake.functions import expr as X
@@ -17,10 +17,14 @@ from dyadlake.operators import ranking as R
 from dyadlake.sources import files
 
 
-def logistic(features: Sequence[str], weight: str | None = None, classes: str = "auto") -> Pipeline:
+#: Ridge penalties that are tried.
+PENALTIES = (0.01, 0.05, 0.2)
+
+
+def logistic(features: Sequence[str], weight: str | None = None, classes: str = "auto", penalty: float = 0.01) -> Pipeline:
     """Median imputation, standardisation, logistic regression."""
     filled = [f"{c}__filled" for c in features]
-    model = LogisticRegression(featuresCol="scaled", labelCol="label", family=classes, regParam=0.01, maxIter=20, **({"weightCol": weight} if weight else {}))
+    model = LogisticRegression(featuresCol="scaled", labelCol="label", family=classes, regParam=penalty, maxIter=20, **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled"), model])
 
 
@@ -30,6 +34,11 @@ def boosted(features: Sequence[str], weight: str | None = None, seed: int = 7, s
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="vector"), model])
 
 
+def forest(features: Sequence[str], seed: int = 7) -> Pipeline:
+    """A random forest."""
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="vector"), RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=30, maxDepth=4, seed=seed)])
+
+
 def probability(model: PipelineModel, df: DataFrame, name: str = "p", index: int = 1) -> DataFrame:
     """``df`` and the class probability as ``name``."""
     kept = [c for c in df.columns if c != name]
@@ -37,9 +46,17 @@ def probability(model: PipelineModel, df: DataFrame, name: str = "p", index: int
 
 
 def out_of_fold(df: DataFrame, make: Callable[[], Pipeline], fold: str, folds: int, apply_to: DataFrame | None = None) -> DataFrame:
-    """Every row scored by the model fitted without its fold. ``apply_to``: other rows with a fold, scored by the same models."""
+    """Every row scored by the model fitted without its fold. ``apply_to``: other rows with a fold, scored by the same models. Without two classes to learn from, the score is the share of positives."""
     target = df if apply_to is None else apply_to
-    parts = [probability(make().fit(df.where(F.col(fold) != k)), target.where(F.col(fold) == k)) for k in range(folds)]
+    sizes = {r[fold]: (r.n, r.y) for r in df.groupBy(fold).agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()}  # one row a fold
+    parts = []
+    for k in range(folds):
+        n, y = (sum(v[i] for f, v in sizes.items() if f != k) for i in (0, 1))
+        own = target.where(F.col(fold) == k)
+        if 0 < y < n:
+            parts.append(probability(make().fit(df.where(F.col(fold) != k)), own))
+        else:  # nothing to learn from: the share of positives, if any row is there
+            parts.append(own.drop("p").withColumn("p", F.lit(float(y / n) if n else 0.5)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -59,10 +76,10 @@ def pu_rounds(df: DataFrame, features: Sequence[str], stages: Sequence[float] =
     return scored.drop("label", "w")
 
 
-def mil_rounds(df: DataFrame, bag: str, features: Sequence[str], tie: str, rounds: int = 3, top: int = 8, folds: int = 3) -> DataFrame:
+def mil_rounds(df: DataFrame, bag: str, features: Sequence[str], tie: str, rounds: int = 3, top: int = 8, folds: int = 3, fold: str | None = None) -> DataFrame:
     """Multiple-instance learning: a positive bag's best ``top`` rows are its positives, its others count little; repeated. All scores are of models
-    that saw no row of the bag."""
-    rows = df.withColumns({"mil_fold": X.fold_of(bag, folds), "label": F.col("bag_label").cast("double"), "w": F.when(F.col("bag_label") == 1, 0.3).otherwise(1.0)})
+    that saw no row of the bag. ``fold``: a column of folds that holds whole bags (default: by the bag)."""
+    rows = df.withColumns({"mil_fold": X.fold_of(bag, folds) if fold is None else F.col(fold), "label": F.col("bag_label").cast("double"), "w": F.when(F.col("bag_label") == 1, 0.3).otherwise(1.0)})
     rows = files.stage(out_of_fold(rows, lambda: logistic(features, "w"), "mil_fold", folds))
     for _ in range(rounds):
         place = F.row_number().over(Window.partitionBy(bag).orderBy(F.desc("p"), tie))
@@ -71,13 +88,20 @@ def mil_rounds(df: DataFrame, bag: str, features: Sequence[str], tie: str, round
     return rows.drop("label", "w", "mil_fold")
 
 
-def bagged(df: DataFrame, features: Sequence[str], seeds: Sequence[int]) -> DataFrame:
-    """The mean probability of models on seeded resamples; a row's weight in each is arithmetic on its ``id``."""
-    out = df
+def poisson(key: str, seed: int) -> Column:
+    """A row's number of times in a seeded resample: a Poisson draw of mean 1 by a hash of its key, the same for every partitioning."""
+    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    return F.when(u < 0.367879, 0.0).when(u < 0.735759, 1.0).when(u < 0.919699, 2.0).when(u < 0.981012, 3.0).when(u < 0.99634, 4.0).otherwise(5.0)
+
+
+def bagged(df: DataFrame, features: Sequence[str], seeds: Sequence[int], fold: str, folds: int, apply_to: DataFrame | None = None) -> DataFrame:
+    """The mean out-of-fold probability of models on seeded resamples of the rows (by ``id``). ``apply_to``: the rows scored (default: the same)."""
+    out = df if apply_to is None else apply_to
+    own = out.columns
     for k, seed in enumerate(seeds):
-        weighted = df.withColumn("w", (F.pmod(F.col("id") * 7919 + seed * 104729, F.lit(3)) + 0.01).cast("double"))
-        out = probability(logistic(features, "w").fit(weighted), out, f"__m{k}")
-    return out.withColumn("p", sum((F.col(f"__m{k}") for k in range(len(seeds))), F.lit(0.0)) / len(seeds)).drop(*[f"__m{k}" for k in range(len(seeds))])
+        weighted = df.withColumn("w", poisson("id", seed)).where("w > 0")
+        out = files.stage(out_of_fold(weighted, lambda: logistic(features, "w"), fold, folds, out).withColumnRenamed("p", f"__m{k}"))
+    return out.select(*own, (sum((F.col(f"__m{k}") for k in range(len(seeds))), F.lit(0.0)) / len(seeds)).alias("p"))
 
 
 def rank_share(df: DataFrame, score: str, tie: str) -> DataFrame:

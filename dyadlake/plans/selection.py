@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dyadlake.functions import columns as C
 from dyadlake.functions import expr as X
 from dyadlake.operators import cards as K
-from dyadlake.operators import learning as L
 from dyadlake.operators import ranking as R
 from dyadlake.plans import cards as deals
-from dyadlake.plans import learning
 from dyadlake.plans.ranking import _SCORED, scored
 from dyadlake.plans.registry import query
 from dyadlake.sources import tables as T
@@ -127,15 +124,3 @@ def evidence_validator(spark: SparkSession, d: str) -> DataFrame:
     many = evidence.groupBy("p1", "p2").count().where("count > 5")
     stray = evidence.join(T.pair_hands(spark, d).select("p1", "p2", "hand_id"), ["p1", "p2", "hand_id"], "left_anti")
     return fault("repeated", repeated).union(fault("too_many", many)).union(fault("not_shared", stray))
-
-
-@query()
-def transductive_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Unlabelled pairs join the fit with the labels that the model is sure of, and all are scored again."""
-    rows = learning.labelled_pairs(spark, d)
-    features = C.having(rows, learning.PAIR)
-    first = L.probability(L.logistic(features).fit(rows.where("known is not null").withColumn("label", F.col("known").cast("double"))), rows)
-    sure = F.coalesce(F.col("known"), F.when(F.col("p") >= 0.95, 1).when(F.col("p") <= 0.05, 0))
-    again = first.withColumn("label", sure.cast("double")).drop("p")
-    model = L.logistic(features).fit(again.where("label is not null"))
-    return L.probability(model, again).select("p1", "p2", "known", F.round("p", 6).alias("p"))

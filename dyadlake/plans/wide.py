@@ -23,7 +23,7 @@ from dyadlake.sources import tables as T
 BASES = ("fold", "call", "raise", "check")
 #: Parts whose cards are dealt to seats.
 DEALT = 199
-_JUDGED = [*W.SEAT, "net", "points", "flop", "turn", "final", *(f"base_{a}" for a in BASES), *W.JUDGED]
+COLUMNS = [*W.SEAT, "net", "points", "flop", "turn", "final", *(f"base_{a}" for a in BASES), *W.JUDGED]
 _PAIR = ["hand_id", "p1", "p2"]
 
 
@@ -36,7 +36,11 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def acts(spark: SparkSession, d: str) -> DataFrame:
-    """Actions with their context and their surprise under the population's policy (u) and the player's own smoothed one (own_u); staged, since several layers read it."""
+    """Actions with their context and their surprise under the population's policy (u) and the player's own smoothed one (own_u); a stage, since several layers read it."""
+    return files.once(spark, "acts", d, lambda: _acts(spark, d))
+
+
+def _acts(spark: SparkSession, d: str) -> DataFrame:
     facing = F.when(F.col("last_aggressor").isNull() | (F.col("last_aggressor") == F.col("player_id")), 0).otherwise(1)
     order = Window.partitionBy("hand_id").orderBy("action_no")
     rows = I.context(plays.log(spark, d)).withColumnRenamed("action", "act").withColumns({"facing": facing, "prev_act": F.lag("act").over(order), "prev_player": F.lag("player_id").over(order)})
@@ -46,11 +50,15 @@ def acts(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("pc") / F.sum("pc").over(Window.partitionBy(*situation)).cast("double")
     table = own.withColumn("n", F.sum("c").over(Window.partitionBy("player_id", *situation))).join(F.broadcast(population.withColumn("q", q)), [*situation, "act"])  # at most streets x 2 x actions rows
     table = table.select("player_id", *situation, "act", F.expr(W.nats("q")).alias("u"), F.expr(W.nats("(c + 5 * q) / (n + 5)")).alias("own_u"))
-    return files.stage(rows.join(table, ["player_id", *situation, "act"]))
+    return rows.join(table, ["player_id", *situation, "act"])
 
 
 def judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
-    """One row for each hand and player, with base rates and cards."""
+    """One row for each hand and player, with base rates and cards; a stage."""
+    return files.once(spark, "judged", d, lambda: _judged(spark, d, log))
+
+
+def _judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
     named = lambda columns: [F.expr(e).alias(c) for c, e in columns.items()]
     f = log.groupBy("hand_id", "table_id", "player_id").agg(*named(W.SEAT))
     rates = f.groupBy("faced_pf").agg(F.avg("vpip").alias("rv"), F.avg((F.col("pf_raise") > 0).cast("int")).alias("rr"))
@@ -58,7 +66,7 @@ def judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
     hand = Window.partitionBy("hand_id")
     rows = f.join(F.broadcast(rates), "faced_pf").join(base, "player_id").withColumn("part", 1 + (F.col("hand_id") * 31 + F.col("player_id") * 17) % DEALT).join(F.broadcast(cards(spark, d)), "part")
     rows = rows.withColumns({"seats": F.count("*").over(hand), "net": F.col("paid") * F.count("*").over(hand) - F.sum("paid").over(hand)})
-    return files.stage(rows.select("hand_id", "table_id", "player_id", "seats", "rv", "rr", *[c for c in _JUDGED if c not in W.JUDGED], *named(W.JUDGED)))
+    return rows.select("hand_id", "table_id", "player_id", "seats", "rv", "rr", *[c for c in COLUMNS if c not in W.JUDGED], *named(W.JUDGED))
 
 
 def pair_hands(spark: SparkSession, d: str, family: str | None = None) -> DataFrame:
@@ -66,7 +74,7 @@ def pair_hands(spark: SparkSession, d: str, family: str | None = None) -> DataFr
     named = lambda columns: [F.expr(e).alias(c) for c, e in columns.items()]
     log = acts(spark, d)
     seats = judged(spark, d, log)
-    both = P.side(seats, ["hand_id", "table_id", "seats"], "1", _JUDGED, "player_id").join(P.side(seats, ["hand_id"], "2", _JUDGED, "player_id"), "hand_id").where("p1 < p2")
+    both = P.side(seats, ["hand_id", "table_id", "seats"], "1", COLUMNS, "player_id").join(P.side(seats, ["hand_id"], "2", COLUMNS, "player_id"), "hand_id").where("p1 < p2")
     pairs = P.self_join(seats, "hand_id", "player_id", [])
     members = P.members(pairs, ["hand_id"])
     own = members.join(log.withColumnRenamed("player_id", "member"), ["hand_id", "member"]).withColumns({"fp": F.expr("facing = 1 AND last_aggressor = partner"), "fo": F.expr("facing = 1 AND last_aggressor <> partner")})
@@ -78,7 +86,7 @@ def pair_hands(spark: SparkSession, d: str, family: str | None = None) -> DataFr
     return rows.select("hand_id", "table_id", "p1", "p2", *named(W.FAMILIES[family] if family else W.HAND))
 
 
-_ACTS = f"""{plays._CTX}, faced AS (SELECT hand_id, table_id, player_id, street, act, amount, action_no, last_aggressor, active, CASE WHEN last_aggressor IS NULL OR last_aggressor = player_id THEN 0 ELSE 1 END AS facing, lag(act) OVER w AS prev_act, lag(player_id) OVER w AS prev_player FROM ctx WINDOW w AS (PARTITION BY hand_id ORDER BY action_no)),
+_ACTS_SQL = f"""{plays._CTX}, faced AS (SELECT hand_id, table_id, player_id, street, act, amount, action_no, last_aggressor, active, CASE WHEN last_aggressor IS NULL OR last_aggressor = player_id THEN 0 ELSE 1 END AS facing, lag(act) OVER w AS prev_act, lag(player_id) OVER w AS prev_player FROM ctx WINDOW w AS (PARTITION BY hand_id ORDER BY action_no)),
 pop AS (SELECT street, facing, act, count(*) / CAST(sum(count(*)) OVER (PARTITION BY street, facing) AS DOUBLE) AS q FROM faced GROUP BY 1, 2, 3),
 mine AS (SELECT player_id, street, facing, act, count(*) AS c, sum(count(*)) OVER (PARTITION BY player_id, street, facing) AS n FROM faced GROUP BY 1, 2, 3, 4),
 acts AS MATERIALIZED (SELECT f.*, {W.nats('q')} AS u, {W.nats('(c + 5 * q) / (n + 5)')} AS own_u FROM faced f JOIN pop USING (street, facing, act) JOIN mine USING (player_id, street, facing, act))"""
@@ -88,14 +96,14 @@ base AS (SELECT player_id, {', '.join(f'sum(n_{a}) / CAST(sum(n_acts) AS DOUBLE)
 held AS MATERIALIZED (SELECT part, points, a.v AS flop, b.v AS turn, c.v AS final FROM chen JOIN ({deals._FLOP[0]}) a ON a.p_partkey = part JOIN ({deals._TURN[0]}) b ON b.p_partkey = part JOIN ({deals._RIVER[0]}) c ON c.p_partkey = part WHERE part BETWEEN 1 AND {DEALT}),
 seat AS (SELECT f.*, rv, rr, {', '.join(f'base_{a}' for a in BASES)}, points, flop, turn, final, count(*) OVER (PARTITION BY hand_id) AS seats, CAST(paid * count(*) OVER (PARTITION BY hand_id) - sum(paid) OVER (PARTITION BY hand_id) AS BIGINT) AS net FROM f JOIN rates USING (faced_pf) JOIN base USING (player_id) JOIN held ON part = 1 + (hand_id * 31 + player_id * 17) % {DEALT}),
 judged AS MATERIALIZED (SELECT *, {W.selected(W.JUDGED)} FROM seat)"""
-_WIDE = f"""both_ AS (SELECT a.hand_id, a.table_id, a.seats, a.player_id AS p1, b.player_id AS p2, {W.sided(_JUDGED)} FROM judged a JOIN judged b ON a.hand_id = b.hand_id AND a.player_id < b.player_id),
+_WIDE = f"""both_ AS (SELECT a.hand_id, a.table_id, a.seats, a.player_id AS p1, b.player_id AS p2, {W.sided(COLUMNS)} FROM judged a JOIN judged b ON a.hand_id = b.hand_id AND a.player_id < b.player_id),
 dirs AS (SELECT hand_id, p1, p2, p1 AS member, p2 AS partner, 1 AS is_first FROM both_ UNION ALL SELECT hand_id, p1, p2, p2, p1, 0 FROM both_),
 own AS (SELECT d.*, street, act, amount, active, u, prev_act, prev_player, facing = 1 AND last_aggressor = partner AS fp, facing = 1 AND last_aggressor <> partner AS fo FROM dirs d JOIN acts x ON x.hand_id = d.hand_id AND x.player_id = d.member),
 inside AS (SELECT hand_id, p1, p2, {W.selected(W.INSIDE)} FROM own GROUP BY 1, 2, 3),
 outside AS (SELECT d.hand_id, p1, p2, {W.selected(W.OUTSIDE)} FROM dirs d JOIN acts x ON x.hand_id = d.hand_id AND x.facing = 1 AND x.last_aggressor = d.member AND x.player_id <> d.partner GROUP BY 1, 2, 3),
 others AS (SELECT b.hand_id, p1, p2, max(category) AS outsider_best, max(final) AS outsider_final FROM both_ b JOIN judged j ON j.hand_id = b.hand_id AND j.player_id <> p1 AND j.player_id <> p2 GROUP BY 1, 2, 3),
 wide AS (SELECT b.*, {', '.join(f'i.{c}' for c in W.INSIDE)}, {', '.join(f'coalesce(o.{c}, 0) AS {c}' for c in W.OUTSIDE)}, coalesce(outsider_best, -1) AS outsider_best, coalesce(outsider_final, -1) AS outsider_final FROM both_ b JOIN inside i USING (hand_id, p1, p2) LEFT JOIN outside o USING (hand_id, p1, p2) LEFT JOIN others t USING (hand_id, p1, p2))"""
-_ALL = f"{_ACTS}, {deals._HOLE}, {_CHEN}, {deals._FLOP[1]}, {deals._TURN[1]}, {deals._RIVER[1]}, {_SEATS}, {_WIDE}"
+_ALL = f"{_ACTS_SQL}, {deals._HOLE}, {_CHEN}, {deals._FLOP[1]}, {deals._TURN[1]}, {deals._RIVER[1]}, {_SEATS}, {_WIDE}"
 _HANDS = f"hands_ AS MATERIALIZED (SELECT hand_id, table_id, p1, p2, {W.selected(W.HAND)} FROM wide)"
 
 

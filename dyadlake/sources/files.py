@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,15 @@ def stage(df: DataFrame, path: str | None = None, rebuild: bool = False, partiti
     return out
 
 
+def once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage that all queries of an application over the same tables share: made by the first, read by the others. Tables are taken not to change meanwhile."""
+    key = hashlib.md5(f"{name} {sf_dir}".encode()).hexdigest()
+    path = f"{new_path(spark).rsplit('/', 1)[0]}/dyadlake-{spark.sparkContext.applicationId}-{key}"
+    if not exists(spark, path):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def csv_roundtrip(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as CSV with a header and re-read with its schema."""
     path = path or new_path(df.sparkSession)

@@ -1,9 +1,19 @@
 """Models: held-out quality and protocol, on synthetic rows."""
 
+import os
+
+import pytest
 from dyadlake.operators import learning as L
 from dyadlake.operators import ranking as R
+from dyadlake.operators import wide
+from dyadlake.plans import registry
+from dyadlake.plans import learning as plans
 from pyspark.sql import functions as F
 
+from conftest import TESTDATA
+
+MIDDLE = f"{TESTDATA}/sf0.01"
+
 
 def rows(spark, n=600):
     i = F.col("id")
@@ -41,19 +51,51 @@ def test_mil_rounds_find_the_rows_that_make_a_bag_positive(spark):
 
 def test_bag_and_rank_share(spark):
     df = rows(spark).withColumn("label", F.col("truth").cast("double"))
-    out = L.rank_share(L.bagged(df, ["x", "z"], (1, 2)), "p", "id")
+    out = L.rank_share(L.bagged(df, ["x", "z"], (1, 2), "fold", 3), "p", "id")
     assert out.agg(F.max("share"), F.count("*")).first() == (1.0, 600)
     assert R.auc(out, "p", "truth", "id").first().auc > 0.98
 
 
-def test_tables_are_left_out_whole(spark, small):
-    from __spark_entry__ import queries
+MODELS = sorted(n for n, f in registry.QUERIES.items() if f.__module__ == "dyadlake.plans.learning")
 
-    out = queries()["leave_table_out"](spark, small)
+
+@pytest.mark.parametrize("name", MODELS)
+def test_model_queries_score_every_row_once(spark, small, name):
+    out = registry.QUERIES[name](spark, small).cache()
+    keys = [c for c in ("p1", "p2", "bag", "hand_id", "event_id", "feature") if c in out.columns]
+    assert 0 < out.count() == out.select(keys).distinct().count()
+    for f in out.schema:
+        if f.dataType.simpleString() == "double" and f.name != "spread":
+            assert out.where(F.col(f.name).isNull() | F.isnan(f.name)).count() == 0
+    out.unpersist()
+
+
+def test_tables_are_left_out_whole(spark, small):
+    out = registry.QUERIES["leave_table_out"](spark, small)
     assert out.groupBy("table_id").agg(F.count_distinct("fold").alias("n")).where("n <> 1").count() == 0
-    assert out.select("fold").distinct().count() == out.select("table_id").distinct().count()
-    hands = queries()["hand_ranker_oof"](spark, small)
-    assert "hand_id" in hands.columns and hands.groupBy("fold").agg(F.count_distinct("table_id").alias("n")).where("n <> 1").count() == 0
+    hands = registry.QUERIES["hand_ranker_oof"](spark, small)
+    assert hands.where(F.col("fold") != F.col("table_id") % plans.FOLDS).count() == 0
+
+
+def test_no_feature_is_a_label_or_made_of_one(spark, small):
+    assert not set(plans.FAMILIES.values()) & {*plans.HAND, *plans.MORE}
+    made = {c for f in ("interaction", "outsiders", "anatomy", "notebook", "residuals", "heuristics", "strength", "made") for c in wide.FAMILIES[f]} - {"opposite_net"}
+    assert not made & {*plans.HAND, *plans.MORE} - {"opposite_net"}
+    hands = plans.labelled_hands(spark, small)
+    for c in (*plans.HAND, *plans.MORE):  # no cut of a single feature gives the label
+        low, high = (hands.where(F.col("evidence") == k).agg(F.min(c), F.max(c)).first() for k in (0, 1))
+        assert low[0] is None or high[0] is None or not (low[1] < high[0] or high[1] < low[0])
+
+
+@pytest.mark.skipif(not os.path.exists(MIDDLE), reason="needs the middle tables")
+def test_held_out_quality(spark):
+    """On whole tables that the models haven't seen."""
+    auc = lambda df, p, y: R.auc(df.withColumn("k", F.monotonically_increasing_id()), p, y, "k").first().auc
+    hands = plans.labelled_hands(spark, MIDDLE)
+    assert auc(hands, "hand_p", "evidence") > 0.8
+    assert auc(registry.QUERIES["evidence_stage_two"](spark, MIDDLE), "score", "evidence") > 0.85
+    assert auc(registry.QUERIES["mil_rounds"](spark, MIDDLE), "p", "evidence") > 0.65
+    assert auc(registry.QUERIES["logistic_baseline"](spark, MIDDLE), "p", "truth") > 0.6
 
 
 def test_rounds_score_out_of_fold(spark, monkeypatch):
