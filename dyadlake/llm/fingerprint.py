@@ -12,7 +12,8 @@ texts, whose boundaries are ids of documents: the first document of a range also
 range finds its successors itself, a row at a time, and no window runs over the whole table.
 
 Defined results: null counts as empty; the empty text's fingerprint has empty signatures; two empty ones are alike (1); rows
-with equal ids follow one another by text, a null id comes first; the last document is followed by the first, a single one by itself.
+with equal ids follow one another by text, a null id comes first; the last document is followed by the first, a single one by itself; repeated rows
+get the same fingerprint; an empty table gives an empty one; a column of the input named fingerprint is replaced.
 """
 
 from __future__ import annotations

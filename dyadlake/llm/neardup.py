@@ -16,7 +16,8 @@ documents in clusters, found by a bitmap over hashes of their ids, of at most ``
 stars. Results between steps are written to the shared folder.
 
 Defined results: a null text, and one without words, has an empty set (n_shingles 0) and is linked with nothing; a text
-of fewer words than a shingle has one. Equal ids are taken for one document; a null id only joins its exact copies, and is never removed.
+of fewer words than a shingle has one. Equal ids are taken for one document; a null id only joins its exact copies, and is never removed. Repeated rows
+are one document; ties in size go to the smallest id; an empty table gives an empty one; other columns of the input don't reach ``classes``, and ``one_of_each`` keeps them all.
 """
 
 from __future__ import annotations

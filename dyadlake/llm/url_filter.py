@@ -7,7 +7,8 @@ hash of the URL; all rows are scored. Of every suffix table the ``FREQUENT`` com
 
 Host: what stands between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to
 ``?``, ``#`` or the end. A rule fits its host and all subdomains, for paths that begin with its path; the longest wins.
-Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated rows get the same result each.
+Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; repeated rows get the same result each; an empty table gives an empty one, and trees learned
+from none or one class alone are no trees: the verdict is the share's; columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
