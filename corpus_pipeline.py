@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, near-duplicates, benchmark decontamination, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame, which is
-written as Parquet and read again as the next one's ``docs``; all but the last return the columns of ``documents``.
+written as Parquet and read again as the next one's ``docs``; all but the last return the columns of ``documents``, further ones included.
+
+Defined results, each from its operator: a null or empty text has no letter and goes in the first stage; a very long text is worked on whole; of
+exact and near copies, repeated rows too, the smallest id stays, once; rows without an id are never removed as copies; an empty table passes every stage as an empty one; helper columns take
+names that the table doesn't have.
 """
 
 from __future__ import annotations
