@@ -299,9 +299,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The documents of the smallest id of each component, each once; the same columns. Only rows whose id may be concerned are shuffled."""
     found = S.materialize(classes(docs, doc_id, text, size, percent).where("doc_id is not null").select(F.col("doc_id").alias(doc_id), "kept"))
+    name = S.fresh(docs, "is_gone")
     gone = found.where("not kept").select(doc_id).distinct()
     repeated = found.groupBy(doc_id).count().where("count > 1").select(doc_id)
-    concerned = S.materialize(gone.withColumn("__gone", F.lit(True)).unionByName(repeated.join(gone, doc_id, "left_anti").withColumn("__gone", F.lit(False))))
+    concerned = S.materialize(gone.withColumn(name, F.lit(True)).unionByName(repeated.join(gone, doc_id, "left_anti").withColumn(name, F.lit(False))))
     made, bits = bitmap(concerned, doc_id)
     sent = docs.sparkSession.sparkContext.broadcast(made)
 
@@ -311,6 +312,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     flag = may_be(slots(doc_id, bits))
     maybe = docs.where(flag).join(concerned, doc_id, "left")
-    stay = maybe.where("__gone is null").select(docs.columns)
-    once = maybe.where("not __gone").select(docs.columns).dropDuplicates([doc_id])
+    stay = maybe.where(F.col(name).isNull()).select(docs.columns)
+    once = maybe.where(~F.col(name)).select(docs.columns).dropDuplicates([doc_id])
     return docs.where(~flag).unionByName(stay).unionByName(once)

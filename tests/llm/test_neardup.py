@@ -125,3 +125,9 @@ def test_bitmap_holds_every_id(spark):
     slots = np.array([r.s for r in spark.range(200_000).select(N.slots("id", n).alias("s")).collect()])
     hit = N.taken(bits, slots)
     assert hit[np.arange(0, 5000) * 37].all() and hit.mean() < 0.15
+
+
+def test_no_helper_column_clashes(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", True), (2, "a b c d e f", False), (2, "x y", None), (2, "x y", None)], "doc_id long, text string, __gone boolean").withColumn("is_gone", F.lit(1)).withColumn("Whole_Text", F.lit("w"))
+    out = N.one_of_each(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r["is_gone"]) for r in out.collect())[0] == (1, 1)
