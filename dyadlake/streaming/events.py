@@ -55,3 +55,21 @@ def run(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFra
     q = transform(source(spark, path)).writeStream.outputMode(mode).option("checkpointLocation", state).queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+def arrivals(spark: SparkSession, parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an appending stream has produced after the parts came in one after the other, each taken up by a new run of the same query.
+
+    A run goes on from the state and the watermark that the last one left in the shared folder, as after a restart.
+    """
+    folder, out, state = files.new_path(spark), files.new_path(spark), files.new_path(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(part.schema).parquet(folder)
+        q = transform(stream).writeStream.outputMode("append").option("checkpointLocation", state).queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(out)
