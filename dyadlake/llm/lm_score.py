@@ -205,16 +205,20 @@ def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(z.sum(1))
 
 
-def group_sums(z: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at ``starts`` and have n rows. Many short runs are added a row of each at a time."""
-    if len(starts) * 3 < len(z):
-        return np.add.reduceat(z, starts, axis=0)
-    g = z.take(starts, 0)
-    for i in np.flatnonzero(n > 8).tolist():
-        g[i] = z[starts[i] : starts[i] + n[i]].sum(0)
+def group_sums(z: np.ndarray, order: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``order`` of z by runs, which begin at ``starts`` and have n rows. Many short runs are added a row of each at a time."""
+    if len(starts) * 3 < len(order):
+        return np.add.reduceat(z.take(order, 0), starts, axis=0)
+    g = z.take(order.take(starts), 0)
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        ends = np.cumsum(n[long])
+        first = ends - n[long]
+        at = np.repeat(starts[long] - first, n[long]) + np.arange(ends[-1])
+        g[long] = np.add.reduceat(z.take(order.take(at), 0), first, axis=0)
     more, k = np.flatnonzero((n > 1) & (n <= 8)), 1
     while len(more):
-        g[more] += z.take(starts[more] + k, 0)
+        g[more] += z.take(order.take(starts[more] + k), 0)
         k += 1
         more = more[n[more] > k]
     return g
@@ -234,18 +238,18 @@ class Learner:
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
         z[np.arange(len(target)), target] -= 1
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            own = r[order]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            n = np.diff(np.append(starts, len(own)))
-            row = own[starts]
-            g = group_sums(z.take(order, 0), starts, n)
-            squares = self.squares[row] + np.einsum("ij,ij->i", g, g) / z.shape[1] + np.float32(1e-3)
-            self.squares[row] = squares
-            g *= (np.float32(RATE / len(rows) ** 0.5) / np.sqrt(squares))[:, None]
-            self.w[row] = self.w.take(row, 0) - g
-            self.seen[row] += n
+        flat = rows.reshape(-1)  # the features' rows are disjoint
+        order = np.argsort(flat, kind="stable")
+        own = flat[order]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        n = np.diff(np.append(starts, len(own)))
+        row = own[starts]
+        g = group_sums(z, order % len(target), starts, n)
+        squares = self.squares[row] + np.einsum("ij,ij->i", g, g) / z.shape[1] + np.float32(1e-3)
+        self.squares[row] = squares
+        g *= (np.float32(RATE / len(rows) ** 0.5) / np.sqrt(squares))[:, None]
+        self.w[row] = self.w.take(row, 0) - g
+        self.seen[row] += n
 
     def changes(self, table: int, shard: int) -> Iterator[tuple]:
         """(table, block, shard, places, changes, counts) of the active rows."""
