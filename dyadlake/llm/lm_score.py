@@ -92,9 +92,11 @@ def count(docs: DataFrame, text: str) -> DataFrame:
             texts = S.text_of(b, "text")
             for i, j in S.chunks(texts):
                 h, kind, _ = tokens(texts[i:j])
-                u, at, c = np.unique(h, return_index=True, return_counts=True)
-                have.append((u, kind[at], c))
-                size += len(u)
+                order = np.argsort(h)  # equal tokens are spelt alike, so their order doesn't matter
+                own = h[order]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                have.append((own[starts], kind[order[starts]], np.diff(np.append(starts, len(own)))))
+                size += len(starts)
                 if size > 1 << 21:
                     have = [fold()]
                     size = len(have[0][0])
@@ -196,13 +198,18 @@ def logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarr
     return z
 
 
+def in_range(z: np.ndarray) -> None:
+    """Takes each row's maximum off where exponentials could leave the range of single precision, which is hardly ever."""
+    if z.size and (z.max() > 80 or z.min() < -80):
+        z -= z.max(1, keepdims=True)
+
+
 def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The natural log-probability of one column of each row."""
-    top = z.max(1)
-    own = z[np.arange(len(at)), at] - top
-    z -= top[:, None]
+    in_range(z)
+    own = z[np.arange(len(at)), at]
     np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    return own - np.log(np.einsum("ij->i", z))
 
 
 def group_sums(z: np.ndarray, order: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -234,9 +241,9 @@ class Learner:
 
     def step(self, rows: np.ndarray, prior: np.ndarray, target: np.ndarray) -> None:
         z = logits(self.w, prior, rows)
-        z -= z.max(1, keepdims=True)
+        in_range(z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= np.einsum("ij->i", z)[:, None]
         z[np.arange(len(target)), target] -= 1
         flat = rows.reshape(-1)  # the features' rows are disjoint
         order = np.argsort(flat, kind="stable")
@@ -244,11 +251,11 @@ class Learner:
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         n = np.diff(np.append(starts, len(own)))
         row = own[starts]
-        g = group_sums(z, order % len(target), starts, n)
+        g = group_sums(z, np.tile(np.arange(len(target)), len(rows))[order], starts, n)
         squares = self.squares[row] + np.einsum("ij,ij->i", g, g) / z.shape[1] + np.float32(1e-3)
         self.squares[row] = squares
         g *= (np.float32(RATE / len(rows) ** 0.5) / np.sqrt(squares))[:, None]
-        self.w[row] = self.w.take(row, 0) - g
+        self.w[row] = np.subtract(self.w.take(row, 0), g, out=g)
         self.seen[row] += n
 
     def changes(self, table: int, shard: int) -> Iterator[tuple]:
@@ -386,13 +393,16 @@ def score(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text",
                 kind = v.classes(h, spelling)
                 history = Histories(h, spelling, kind, begins)
                 logp = np.empty(len(h))
-                for k in range(0, len(h), STEP):
-                    last = min(k + STEP, len(h))
-                    rows_, kinds, more, own = history(k, last)
-                    part = log_softmax(logits(w[0], prior, rows_), kinds).astype(float)
-                    if len(own):
-                        part[kinds >= SINGLES] += log_softmax(logits(w[1], priors[own // ENDINGS], more), own % ENDINGS)
-                    logp[k:last] = part * 0.4342944819032518
+                for first in range(0, len(h), 16 * STEP):
+                    rows_, kinds, more, own = history(first, min(first + 16 * STEP, len(h)))
+                    after = np.concatenate([[0], np.cumsum(kinds >= SINGLES)])
+                    for k in range(0, len(kinds), STEP):
+                        last = min(k + STEP, len(kinds))
+                        part = log_softmax(logits(w[0], prior, rows_[:, k:last]), kinds[k:last]).astype(float)
+                        x, y = after[k], after[last]
+                        if y > x:
+                            part[kinds[k:last] >= SINGLES] += log_softmax(logits(w[1], priors[own[x:y] // ENDINGS], more[:, x:y]), own[x:y] % ENDINGS)
+                        logp[first + k : first + last] = part * 0.4342944819032518
                 if len(v.h):
                     each, whose = np.unique(h, return_inverse=True)  # in order, so that the large table is read in order
                     at = np.minimum(np.searchsorted(v.h, each), len(v.h) - 1)
