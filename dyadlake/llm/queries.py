@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, html_extract, langid, lm_score, neardup, oracles, packing, pii, url_filter
+from . import chat_format, decontaminate, fingerprint, html_extract, langid, lm_score, neardup, oracles, packing, periodic_runs, pii, url_filter
 from . import shared as S
 
 
@@ -74,8 +74,14 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), S.crc_fold("doc_id", 7) != 2)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, one in ten documents with a planted run."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.find(periodic_runs.with_planted_runs(docs), keep=["doc_id"]), ["doc_id"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_html_extraction, op3_document_fingerprints, op4_lm_scoring, op5_chat_formatting, op6_decontamination, op7_packing, op8_personal_data, op9_language_id, op10_near_duplicates)
+    for f in (op1_url_filter, op2_html_extraction, op3_document_fingerprints, op4_lm_scoring, op5_chat_formatting, op6_decontamination, op7_packing, op8_personal_data, op9_language_id, op10_near_duplicates, op11_periodic_runs)
 }
 ORACLE_SQL = oracles.ORACLE_SQL
