@@ -40,4 +40,21 @@ lowest AS (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
 FROM d LEFT JOIN size USING (doc_id) LEFT JOIN lowest USING (doc_id)"""
 
-ORACLE_SQL = {"op5_chat_formatting": OP5, "op6_decontamination": OP6, "op10_near_duplicates": OP10}
+OP12 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT source, cap AS source_size, 3 * cap AS cap, k, CAST((k - 1) % 3 + 1 AS HUGEINT) AS weight FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS place FROM w),
+levels AS (SELECT *, (SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM r),
+level AS (SELECT rest, weights FROM levels WHERE rest * weight < cap * weights ORDER BY place LIMIT 1),
+t AS (SELECT source, source_size, k, CASE WHEN (SELECT rest FROM level) IS NULL OR cap * (SELECT weights FROM level) <= weight * (SELECT rest FROM level) THEN CAST(cap AS DOUBLE)
+  ELSE CAST(weight * (SELECT rest FROM level) AS DOUBLE) / CAST((SELECT weights FROM level) AS DOUBLE) END AS target FROM r),
+q AS (SELECT row_number() OVER () AS rid, doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, k, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, least(size, greatest(CAST(floor(target) AS BIGINT) - copy * source_size - sent, 0)) AS words, CAST(copy * source_size + sent + size AS DOUBLE) / target AS finish FROM q, range(3) AS copies(copy) WHERE target > 0),
+m AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM c WHERE words > 0),
+n AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, min(finish) AS finish, CAST(min(position) AS BIGINT) AS position FROM m GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, finish, position FROM q LEFT JOIN n USING (rid)"""
+
+ORACLE_SQL = {"op5_chat_formatting": OP5, "op6_decontamination": OP6, "op10_near_duplicates": OP10, "op12_source_mix": OP12}
