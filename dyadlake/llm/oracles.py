@@ -57,4 +57,18 @@ m AS (SELECT *, coalesce(sum(words) OVER (ORDER BY finish, k ROWS BETWEEN UNBOUN
 n AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, min(finish) AS finish, CAST(min(position) AS BIGINT) AS position FROM m GROUP BY rid)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, finish, position FROM q LEFT JOIN n USING (rid)"""
 
-ORACLE_SQL = {"op5_chat_formatting": OP5, "op6_decontamination": OP6, "op10_near_duplicates": OP10, "op12_source_mix": OP12}
+OP13 = r"""
+WITH RECURSIVE rule AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda k: 0::BIGINT), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+runs AS (SELECT id, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2),
+hashed AS (SELECT run, k, xor(list_reduce([4294967295] || flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END)),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, rule),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM hashed) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+cuts AS (SELECT DISTINCT word, n, place, left(word, place) || substr(word, place + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(length(word))) AS INT) AS place FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM pairs GROUP BY 1),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT w.word, w.root FROM walk w JOIN formed f ON f.word = w.root WHERE f.form IS NULL) USING (word)"""
+
+ORACLE_SQL = {"op5_chat_formatting": OP5, "op6_decontamination": OP6, "op10_near_duplicates": OP10, "op12_source_mix": OP12, "op13_spelling_variants": OP13}

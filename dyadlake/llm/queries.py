@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, html_extract, langid, lm_score, neardup, oracles, packing, periodic_runs, pii, source_mix, url_filter
+from . import chat_format, decontaminate, fingerprint, html_extract, langid, lm_score, neardup, oracles, packing, periodic_runs, pii, source_mix, spelling, url_filter
 from . import shared as S
 
 
@@ -85,8 +85,13 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(source_mix.prepare(table(spark, sf_dir, "documents")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frequent words of the documents, their near words and the form that each is a variant of."""
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_html_extraction, op3_document_fingerprints, op4_lm_scoring, op5_chat_formatting, op6_decontamination, op7_packing, op8_personal_data, op9_language_id, op10_near_duplicates, op11_periodic_runs, op12_source_mix)
+    for f in (op1_url_filter, op2_html_extraction, op3_document_fingerprints, op4_lm_scoring, op5_chat_formatting, op6_decontamination, op7_packing, op8_personal_data, op9_language_id, op10_near_duplicates, op11_periodic_runs, op12_source_mix, op13_spelling_variants)
 }
 ORACLE_SQL = oracles.ORACLE_SQL
