@@ -27,6 +27,3 @@ def query(sql: str | None = None, *relations: str, also: str = "") -> Callable:
         return f
 
     return register
-
-
-from dyadlake.plans import aggregates, anatomy, basics, behaviour, cards, extras, interactions, learning, ranking, selection, streams, wide, windows  # noqa: E402, F401  (they register themselves)

@@ -6,7 +6,7 @@ import pytest
 from dyadlake.operators import learning as L
 from dyadlake.operators import ranking as R
 from dyadlake.operators import wide
-from dyadlake.plans import registry
+from dyadlake.plans import catalogue as registry
 from dyadlake.plans import learning as plans
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@
 
 import __spark_entry__
 import pytest
-from dyadlake.plans import registry
+from dyadlake.plans import catalogue as registry
 
 from oracle import same
 
