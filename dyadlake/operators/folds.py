@@ -31,6 +31,10 @@ def assign(counts: np.ndarray, folds: int) -> list[int]:
 def balanced(df: DataFrame, group: str, label: str, folds: int, name: str = "fold") -> DataFrame:
     """(``group``, ``name``): every group's fold. The ``GREEDY`` groups with the most uneven class counts (ties by the group) are assigned one by one; the others, which are smaller, are dealt in turn, in order of their commonest class and size, so no sort by group meets in one task and the driver sees no more than GREEDY rows. A null label is a class, a null group a group."""
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).limit(1000).collect()]  # classes, not rows
+    spark = df.sparkSession
+    kind = df.schema[group].dataType.simpleString()
+    if not classes:
+        return spark.createDataFrame([], f"`{group}` {kind}, `{name}` int")
     cells = df.groupBy(group).agg(*[F.count_if(F.col(label).eqNullSafe(F.lit(c))).alias(f"__c{i}") for i, c in enumerate(classes)])
     mean = sum((F.col(f"__c{i}") for i in range(len(classes))), F.lit(0)) / F.lit(len(classes))
     uneven = sum(((F.col(f"__c{i}") - mean) * (F.col(f"__c{i}") - mean) for i in range(len(classes))), F.lit(0.0))
@@ -38,8 +42,6 @@ def balanced(df: DataFrame, group: str, label: str, folds: int, name: str = "fol
     first = cells.orderBy(F.desc("__uneven"), group).limit(GREEDY)
     top = first.collect()
     dealt = assign(np.array([[r[f"__c{i}"] for i in range(len(classes))] for r in top], float).reshape(len(top), len(classes)), folds)
-    spark = df.sparkSession
-    kind = df.schema[group].dataType.simpleString()
     out = spark.createDataFrame([(r[group], f) for r, f in zip(top, dealt, strict=True)], f"`{group}` {kind}, `{name}` int")
     if len(top) < GREEDY:
         return out

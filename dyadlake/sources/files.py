@@ -26,19 +26,20 @@ def new_path(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/dyadlake-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a stage was completely written there."""
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-    except Exception as missing:
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-            return False
-        raise
-    return True
+    """Whether a stage was completely written there: Spark leaves a success marker when all its tasks have ended."""
+    at, system = _at(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return system.exists(at)
 
 
 def stage(df: DataFrame, path: str | None = None, rebuild: bool = False, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written once as Parquet (zstd) and re-read; a later call with the same path reads what is there."""
+    """``df`` written once as Parquet (zstd) and re-read; a later call with the same path reads what is there, if it was written to the end."""
     spark = df.sparkSession
     path = path or new_path(spark)
     if rebuild or not exists(spark, path):
@@ -49,12 +50,63 @@ def stage(df: DataFrame, path: str | None = None, rebuild: bool = False, partiti
     return out
 
 
+def version(spark: SparkSession, paths: list[str]) -> str:
+    """What the files of some inputs are, now: a digest of their names, lengths and times of change. No file is opened."""
+    seen = []
+    for path in paths:
+        at, system = _at(spark, path)
+        found = system.listFiles(at, True)
+        while found.hasNext():
+            f = found.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def addressed(df: DataFrame, root: str, build: str = "") -> DataFrame:
+    """``df`` as a stage that is found by its content: the folder's name follows from the plan (``semanticHash`` and columns), the files that it reads, as they are now, and ``build``. Changed inputs, another plan or another build make a new stage; otherwise what is there is read.
+
+    A writer works in a folder of its own, which gets the stage's name by a rename only when it is complete: half-written stages are never read, a lost writer leaves nothing under the name, and of two writers at once the first to finish wins and the other reads what that one wrote."""
+    spark = df.sparkSession
+    inputs = sorted(df.inputFiles())
+    columns = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
+    plan = str(df.semanticHash() & 0xFFFFFFFF)
+    key = hashlib.sha256("\n".join([plan, columns, version(spark, inputs), build]).encode()).hexdigest()[:40]
+    path = f"{root.rstrip('/')}/stage-{key}"
+    if not exists(spark, path):
+        own = f"{root.rstrip('/')}/writing-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(own)
+        publish(spark, own, path)
+    out = spark.read.parquet(path)
+    same_columns(out, df)
+    return out
+
+
+def publish(spark: SparkSession, own: str, path: str) -> bool:
+    """Renames a complete folder to ``path``. False, and the folder is deleted, if a complete one is there already; what is there without a success marker is replaced."""
+    (here, system), (there, _) = _at(spark, own), _at(spark, path)
+    if not exists(spark, own):
+        raise ValueError(f"{own} was not written to the end")
+    if system.exists(there) and not exists(spark, path):
+        system.delete(there, True)
+    if not system.exists(there) and system.rename(here, there):
+        inside, _ = _at(spark, f"{path}/{own.rstrip('/').rsplit('/', 1)[1]}")  # another was faster, so the rename went into its folder
+        if not system.exists(inside):
+            return True
+        system.delete(inside, True)
+        return False
+    system.delete(here, True)
+    return False
+
+
 def once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage that all queries of an application over the same tables share: made by the first, read by the others. Tables are taken not to change meanwhile."""
-    key = hashlib.md5(f"{name} {sf_dir}".encode()).hexdigest()
-    path = f"{new_path(spark).rsplit('/', 1)[0]}/dyadlake-{spark.sparkContext.applicationId}-{key}"
+    """A stage that all queries of an application over the same tables share: made by the first, read by the others, made anew when one of the tables' files has changed. Two that start together write two folders, of which one is kept."""
+    key = hashlib.md5(f"{name} {sf_dir} {version(spark, [sf_dir])}".encode()).hexdigest()
+    root = new_path(spark).rsplit("/", 1)[0]
+    path = f"{root}/dyadlake-{spark.sparkContext.applicationId}-{key}"
     if not exists(spark, path):
-        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        own = f"{root}/writing-{uuid.uuid4().hex}"
+        make().write.option("compression", "zstd").parquet(own)
+        publish(spark, own, path)
     return spark.read.parquet(path)
 
 
