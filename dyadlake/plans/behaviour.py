@@ -66,14 +66,15 @@ def target_encode_oof(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT p1 AS member, p2 AS partner, n, s / n AS mean_with, (ts - s) / nullif(tn - n, 0) mean_without, (s / n - coalesce((ts - s) / nullif(tn - n, 0), s / n)) * n / (n + 25.0) shrunk FROM (SELECT p1, p2, count(*) n, CAST(sum(folded_1) AS BIGINT) s FROM pairs GROUP BY 1, 2) JOIN (SELECT player_id p1, count(*) tn, CAST(sum(folded) AS BIGINT) ts FROM seats GROUP BY 1) USING (p1)",
+    "SELECT p1 AS member, p2 AS partner, n, s / n AS mean_with, (ts - s) / nullif(tn - n, 0) mean_without, (s / n - coalesce((ts - s) / nullif(tn - n, 0), s / n)) * n / (n + 25.0) shrunk FROM (SELECT p1, p2, count(*) n, CAST(sum(folded_1) AS BIGINT) s FROM (SELECT p1, p2, folded_1 FROM pairs UNION ALL SELECT p2, p1, folded_2 FROM pairs) GROUP BY 1, 2) JOIN (SELECT player_id p1, count(*) tn, CAST(sum(folded) AS BIGINT) ts FROM seats GROUP BY 1) USING (p1)",
     "pairs",
 )
 def shrunk_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """A member's fold rate with one partner against that without, the latter by subtracting from the totals."""
+    """Each member's fold rate with one partner against that without, the latter by subtracting from the totals: two rows a pair."""
     seats = T.seats(spark, d)
     own = seats.groupBy(F.col("player_id").alias("member")).agg(F.sum("folded").alias("total"), F.count("*").alias("n"))
-    shared = T.pair_hands(spark, d).groupBy(F.col("p1").alias("member"), F.col("p2").alias("partner")).agg(F.sum("folded_1").alias("total"), F.count("*").alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.col(f"p{a}").alias("member"), F.col(f"p{b}").alias("partner"), F.col(f"folded_{a}").alias("folded")) for a, b in ((1, 2), (2, 1))]))
+    shared = T.pair_hands(spark, d).select(sides.alias("s")).groupBy("s.member", "s.partner").agg(F.sum("s.folded").alias("total"), F.count("*").alias("n"))
     both = P.without_partner(own, shared, "member", "total", "n")
     return both.withColumn("shrunk", X.shrunk(F.col("mean_with"), F.coalesce("mean_without", "mean_with"), "n", 25.0))
 

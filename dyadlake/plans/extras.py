@@ -78,7 +78,7 @@ _SHOWN = "CASE street WHEN 0 THEN 0 ELSE street + 2 END"
 )
 def board_context(spark: SparkSession, d: str) -> DataFrame:
     """What an action's player sees: the board cut to its street, against the own two cards. Computed once for each hand of cards and street, then joined."""
-    cards = T.table(spark, d, "part").where(F.col("p_partkey").between(1, wide.DEALT)).select(F.col("p_partkey").alias("part"), deals.dealt(7).alias("c"), F.explode(F.array(*map(F.lit, range(4)))).alias("street"))
+    cards = T.table(spark, d, "part").select(F.col("p_partkey").alias("part"), deals.dealt(7).alias("c"), F.explode(F.array(*map(F.lit, range(4)))).alias("street"))
     shown = F.when(F.col("street") == 0, 0).otherwise(F.col("street") + 2)
     cards = cards.withColumns({"board": F.slice("c", F.lit(3), shown), "own": F.slice("c", 1, 2)})
     b, h = F.transform("board", K.rank), F.transform("own", K.rank)
@@ -90,8 +90,8 @@ def board_context(spark: SparkSession, d: str) -> DataFrame:
         "overpair": (seen & (F.get(h, F.lit(0)) == F.get(h, F.lit(1))) & (F.get(h, F.lit(0)) > F.array_max(b))).cast("int"), "top_pair": (seen & F.array_contains(h, F.coalesce(F.array_max(b), F.lit(-1)))).cast("int"),
     }
     table = cards.select("part", "street", *[c.alias(k) for k, c in context.items()])
-    rows = plays.log(spark, d).select("event_id", "street", (1 + (F.col("hand_id") * 31 + F.col("player_id") * 17) % wide.DEALT).alias("part"))
-    return rows.join(F.broadcast(table), ["part", "street"]).drop("part")  # a fixed number of rows
+    rows = plays.log(spark, d).select("event_id", "street", wide.part_of(spark, d).alias("part"))
+    return rows.join(table, ["part", "street"]).drop("part")
 
 
 @query(

@@ -40,7 +40,7 @@ def map_at_5(spark: SparkSession, d: str) -> DataFrame:
     return R.map_at(scored(spark, d), "source", "score", "toxic", "doc_id").select("source", F.round("ap", 9).alias("ap"))
 
 
-_FAMILY = "family AS (SELECT f, coalesce(sum(y * hits / place) / nullif(sum(y), 0), 0) ap FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, doc_id) place, sum(y) OVER (PARTITION BY f ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING) hits FROM (SELECT doc_id, f, CASE WHEN lang = f AND toxic = 1 THEN 1 ELSE 0 END y, CASE WHEN lang = f THEN score ELSE 0 END s FROM scored, (VALUES ('en'), ('fr'), ('de')) v(f))) GROUP BY 1)"
+_FAMILY = "family AS (SELECT f, coalesce(sum(y * hits / place) / nullif(sum(y), 0), 0) ap FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, doc_id) place, sum(y) OVER (PARTITION BY f ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING) hits FROM (SELECT doc_id, f, CASE WHEN lang = f AND toxic = 1 THEN 1 ELSE 0 END y, CASE WHEN lang = f THEN score ELSE 0 END s FROM scored, (SELECT DISTINCT lang AS f FROM scored WHERE lang IS NOT NULL))) GROUP BY 1)"
 
 
 @query("SELECT f AS family, round(ap, 9) ap FROM family", also=f"{_SCORED}, {_FAMILY}")
@@ -50,8 +50,10 @@ def behaviour_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def by_family(rows: DataFrame) -> DataFrame:
-    own = F.col("lang") == F.col("family")
-    each = rows.withColumn("family", F.explode(F.array(*map(F.lit, ("en", "fr", "de"))))).select("doc_id", "family", (own & (F.col("toxic") == 1)).cast("int").alias("y"), F.when(own, F.col("score")).otherwise(0).alias("s"))
+    """Average precision of every family that occurs: a row without one counts for none."""
+    own = F.coalesce(F.col("lang") == F.col("family"), F.lit(False))
+    families = rows.agg(F.collect_set("lang").alias("families"))  # one row of a few values
+    each = rows.join(F.broadcast(families)).withColumn("family", F.explode("families")).select("doc_id", "family", (own & (F.col("toxic") == 1)).cast("int").alias("y"), F.when(own, F.col("score")).otherwise(0).alias("s"))
     return R.average_precision(each, ["family"], "s", "y", "doc_id").fillna(0.0, ["ap"])
 
 

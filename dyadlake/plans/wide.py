@@ -5,7 +5,7 @@ Every layer's columns stand once, in ``operators/wide``; the DataFrame jobs belo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dyadlake.functions import expr as X
@@ -21,15 +21,20 @@ from dyadlake.sources import files
 from dyadlake.sources import tables as T
 
 BASES = ("fold", "call", "raise", "check")
-#: Parts whose cards are dealt to seats.
-DEALT = 199
+#: The number of parts, all of which have cards that are dealt to seats.
+DEALT = "(SELECT count(*) FROM part)"
 COLUMNS = [*W.SEAT, "net", "points", "flop", "turn", "final", *(f"base_{a}" for a in BASES), *W.JUDGED]
 _PAIR = ["hand_id", "p1", "p2"]
 
 
+def part_of(spark: SparkSession, d: str) -> Column:
+    """The part whose cards a hand's player holds."""
+    return 1 + (F.col("hand_id") * 31 + F.col("player_id") * 17) % T.table(spark, d, "part").count()
+
+
 def cards(spark: SparkSession, d: str) -> DataFrame:
-    """Points and exact values by part, a fixed number of them."""
-    parts = T.table(spark, d, "part").where(F.col("p_partkey").between(1, DEALT))
+    """Points and exact values of every part's cards."""
+    parts = T.table(spark, d, "part")
     points = deals.chen_score(spark, d).withColumnRenamed("p_partkey", "part")
     values = parts.select(F.col("p_partkey").alias("part"), *[K.value(deals.dealt(n)).alias(k) for k, n in (("flop", 5), ("turn", 6), ("final", 7))])
     return values.join(points, "part")
@@ -64,7 +69,7 @@ def _judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
     rates = f.groupBy("faced_pf").agg(F.avg("vpip").alias("rv"), F.avg((F.col("pf_raise") > 0).cast("int")).alias("rr"))
     base = f.groupBy("player_id").agg(*[(F.sum(f"n_{a}") / F.sum("n_acts").cast("double")).alias(f"base_{a}") for a in BASES])
     hand = Window.partitionBy("hand_id")
-    rows = f.join(F.broadcast(rates), "faced_pf").join(base, "player_id").withColumn("part", 1 + (F.col("hand_id") * 31 + F.col("player_id") * 17) % DEALT).join(F.broadcast(cards(spark, d)), "part")
+    rows = f.join(F.broadcast(rates), "faced_pf").join(base, "player_id").withColumn("part", part_of(spark, d)).join(cards(spark, d), "part")
     rows = rows.withColumns({"seats": F.count("*").over(hand), "net": F.col("paid") * F.count("*").over(hand) - F.sum("paid").over(hand)})
     return rows.select("hand_id", "table_id", "player_id", "seats", "rv", "rr", *[c for c in COLUMNS if c not in W.JUDGED], *named(W.JUDGED))
 
@@ -93,8 +98,8 @@ acts AS MATERIALIZED (SELECT f.*, {W.nats('q')} AS u, {W.nats('(c + 5 * q) / (n
 _SEATS = f"""f AS MATERIALIZED (SELECT hand_id, table_id, player_id, {W.selected(W.SEAT)} FROM acts GROUP BY 1, 2, 3),
 rates AS (SELECT faced_pf, avg(vpip) AS rv, avg(CASE WHEN pf_raise > 0 THEN 1 ELSE 0 END) AS rr FROM f GROUP BY 1),
 base AS (SELECT player_id, {', '.join(f'sum(n_{a}) / CAST(sum(n_acts) AS DOUBLE) AS base_{a}' for a in BASES)} FROM f GROUP BY 1),
-held AS MATERIALIZED (SELECT part, points, a.v AS flop, b.v AS turn, c.v AS final FROM chen JOIN ({deals._FLOP[0]}) a ON a.p_partkey = part JOIN ({deals._TURN[0]}) b ON b.p_partkey = part JOIN ({deals._RIVER[0]}) c ON c.p_partkey = part WHERE part BETWEEN 1 AND {DEALT}),
-seat AS (SELECT f.*, rv, rr, {', '.join(f'base_{a}' for a in BASES)}, points, flop, turn, final, count(*) OVER (PARTITION BY hand_id) AS seats, CAST(paid * count(*) OVER (PARTITION BY hand_id) - sum(paid) OVER (PARTITION BY hand_id) AS BIGINT) AS net FROM f JOIN rates USING (faced_pf) JOIN base USING (player_id) JOIN held ON part = 1 + (hand_id * 31 + player_id * 17) % {DEALT}),
+held AS MATERIALIZED (SELECT part, points, a.v AS flop, b.v AS turn, c.v AS final FROM chen JOIN ({deals._FLOP[0]}) a ON a.p_partkey = part JOIN ({deals._TURN[0]}) b ON b.p_partkey = part JOIN ({deals._RIVER[0]}) c ON c.p_partkey = part),
+seat AS (SELECT f.* EXCLUDE (part), rv, rr, {', '.join(f'base_{a}' for a in BASES)}, points, flop, turn, final, count(*) OVER (PARTITION BY hand_id) AS seats, CAST(paid * count(*) OVER (PARTITION BY hand_id) - sum(paid) OVER (PARTITION BY hand_id) AS BIGINT) AS net FROM (SELECT *, 1 + (hand_id * 31 + player_id * 17) % {DEALT} AS part FROM f) f JOIN rates USING (faced_pf) JOIN base USING (player_id) JOIN held USING (part)),
 judged AS MATERIALIZED (SELECT *, {W.selected(W.JUDGED)} FROM seat)"""
 _WIDE = f"""both_ AS (SELECT a.hand_id, a.table_id, a.seats, a.player_id AS p1, b.player_id AS p2, {W.sided(COLUMNS)} FROM judged a JOIN judged b ON a.hand_id = b.hand_id AND a.player_id < b.player_id),
 dirs AS (SELECT hand_id, p1, p2, p1 AS member, p2 AS partner, 1 AS is_first FROM both_ UNION ALL SELECT hand_id, p1, p2, p2, p1, 0 FROM both_),
