@@ -203,13 +203,14 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
     """One row for each piece: ``keep`` (default: doc_id), start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ``ids`` if asked for.
 
-    ``path`` is the tokenizer's file. Columns of ``keep`` must not have the names of the added ones.
+    ``path`` is the tokenizer's file. Columns of ``keep`` with the name of an added one are replaced.
     """
     S.bound_batches(docs.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     fields = [*FIELDS, ("ids", pa.list_(pa.int64()))] if with_ids else FIELDS
-    held = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("__text").schema]
+    own = docs.select(*[F.col(f"`{c}`") for c in (["doc_id"] if keep is None else keep)])
+    keep, whole_text = S.without(own, [n for n, _ in fields]), S.fresh(own, "whole_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(whole_text))
+    held = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop(whole_text).schema]
     schema = ", ".join([*held, *(f"{n} {'array<bigint>' if n == 'ids' else 'bigint'}" for n, _ in fields)])
 
     @S.tidy
@@ -242,8 +243,8 @@ def pack(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None
             return emit(done, kept)
 
         for b in batches:
-            texts = S.text_of(b, "__text")
-            kept = pa.Table.from_batches([b]).drop_columns(["__text"])
+            texts = S.text_of(b, whole_text)
+            kept = pa.Table.from_batches([b]).drop_columns([whole_text])
             for i, j in S.chunks(texts, 4 * S.CHUNK):
                 stream, begins = encoder.encode(texts[i:j])
                 first = 0 if rows is None else rows.num_rows

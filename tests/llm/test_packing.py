@@ -97,3 +97,14 @@ def test_little_padding(spark, small):
 def test_repeats_and_empty_table(spark):
     df = spark.createDataFrame([(1, "same"), (1, "same"), (None, "x")], "doc_id long, text string")
     assert P.pack(df, PATH).count() >= 3 and P.pack(df.limit(0), PATH).count() == 0
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "some words here", "a", 7, "b"), (2, None, None, 8, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, START int, whole_text string")
+    plain = sorted(tuple(r) for r in P.pack(df, P.default_tokenizer()).drop("sequence_id", "offset").collect())
+    for with_ids in (False, True):
+        out = P.pack(df, P.default_tokenizer(), keep=df.columns, with_ids=with_ids)
+        assert out.columns[:4] == ["doc_id", "text", "__text", "whole_text"] and [c.lower() for c in out.columns].count("start") == 1
+        assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out.collect()) == plain
+        assert {(r.doc_id, r["__text"], r.whole_text) for r in out.collect()} == {(1, "a", "b"), (2, None, "c")}
