@@ -1,6 +1,6 @@
 """Ranking over whole tables and hot groups without a single-task window, and metrics on top of it.
 
-Rows are dealt by ranges of (groups, score, tie), as many as ``spark.sql.shuffle.partitions`` says, and staged: the ranges follow the table's size, and
+Rows are dealt by ranges of (groups, score, tie), as many as ``spark.sql.shuffle.partitions`` says, and staged;
 rows that tie on the score are cut apart by the tie. A few numbers for each group and range give every range its offset.
 """
 

@@ -1,7 +1,7 @@
 """Model queries: their results depend on a fit, so they have no oracle and are tested by their held-out quality.
 
 Rows are pairs of players at a table and their hands (``plans/wide``). What a hand is evidence of (a dump, a checkdown, a squeeze) follows from who faced whom and
-what was held; no feature is one of these columns or made of them: the models see money, participation, sums, surprise and timing. A pair is positive by its number of
+what was held. No feature is one of these columns, but some share a condition with them (how often the members raised or checked), so scores are partly told by definition; ``plans/boosted`` has labels from tables of their own. A pair is positive by its number of
 such hands, and known for two pairs of three. Players stay at one table, and folds are whole tables, so no pair, player or hand is on both sides.
 """
 
