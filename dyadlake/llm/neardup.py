@@ -2,7 +2,7 @@
 
 Each of ``PERMUTATIONS`` hash orders of a document's word shingles gives two signature values, its minimum and its
 maximum; ``ROWS`` of them form a band. Documents that share a band are candidates, a pair of similarity 0.8 being missed
-with probability (1 - 0.8^5)^36, under one in a million. What follows loses no candidate and never lists a group's pairs:
+with probability (1 - 0.8^5)^36, under one in a million. The sketch test of candidates (one byte a value, at ``NEAR``) misses one at the limit with a like probability. What follows loses nothing more and never lists a group's pairs:
 
 1. Documents with equal sets become one class.
 2. Each bucket of a band is joined up by a spanning forest of the pairs whose one-byte sketches come within five standard errors
