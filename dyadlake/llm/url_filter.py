@@ -1,9 +1,9 @@
 """URL filters: a host and path rule list, and gradient-boosted trees over lexical features for what no rule fits.
 
 Features come from the URL alone, as SQL expressions: lengths, depth, digit ratio, character entropy, parameter counts,
-hyphens and labels of the host, and statistics of its suffixes (how often a last or last-two-label suffix, and the
-first label's start, was blocked among all labelled rows, repeated ones counted each, smoothed). Trees are trained by MLlib on at most ``SAMPLE`` labelled URLs, the first by a
-hash of the URL; all rows are scored. Of every suffix table the ``FREQUENT`` commonest keys are broadcast; if there are more, the other keys are joined by key.
+hyphens and labels of the host, and statistics of its suffixes (how often a last or last-two-label suffix
+was blocked among all labelled rows, repeated ones counted each, smoothed). Trees are trained by MLlib on at most ``SAMPLE`` labelled URLs, the first by a
+hash of the URL, every split among a third of the features, so that no one of them decides alone and hosts that were never seen are told by what they share with others; all rows are scored. Of every suffix table the ``FREQUENT`` commonest keys are broadcast; if there are more, the other keys are joined by key.
 
 Host: what stands between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to
 ``?``, ``#`` or the end. A rule fits its host and all subdomains, for paths that begin with its path; the longest wins.
@@ -29,7 +29,7 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 #: Words that mark a host as unwanted; they label the URLs that the registered query trains on.
 SEEDS = ("adult", "bet", "bets", "bonus", "casino", "farm", "free", "loan", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "win", "xxx")
 
-FEATURES = ("url_len", "host_len", "path_len", "depth", "host_labels", "first_label_len", "hyphens", "digit_ratio", "host_digits", "entropy", "params", "has_fragment", "letters_only", "longest_run", "suffix1", "suffix2", "start3")
+FEATURES = ("url_len", "host_len", "path_len", "depth", "host_labels", "first_label_len", "hyphens", "digit_ratio", "host_digits", "entropy", "params", "has_fragment", "letters_only", "longest_run", "suffix1", "suffix2")
 
 
 def lower(c: Column) -> Column:
@@ -85,7 +85,7 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
         "hyphens": count(F.col("host"), "-"), "digit_ratio": d(u) / F.greatest(F.length(u), F.lit(1)), "host_digits": d(F.col("host")), "entropy": entropy(first),
         "params": F.when(query == "", 0.0).otherwise(count(query, "&") + 1), "has_fragment": F.contains(u, F.lit("#")).cast("double"),
         "letters_only": first.rlike("^[a-z]+$").cast("double"), "longest_run": F.array_max(F.transform(F.split(first, "[^bcdfghjklmnpqrstvwxz]+"), lambda x: F.length(x))).cast("double"),
-        "key_suffix1": F.element_at(labels, -1), "key_suffix2": F.substring_index("host", ".", -2), "key_start3": F.substring(first, 1, 3),
+        "key_suffix1": F.element_at(labels, -1), "key_suffix2": F.substring_index("host", ".", -2),
     })
 
 
@@ -116,7 +116,7 @@ def with_stats(df: DataFrame, stats: dict[str, tuple[DataFrame, DataFrame | None
 
 def suffix_stats(known: DataFrame) -> tuple[dict[str, tuple[DataFrame, DataFrame | None]], float]:
     """The statistics of all labelled rows, and the share blocked of them."""
-    names = ("suffix1", "suffix2", "start3")
+    names = ("suffix1", "suffix2")
     keys = lexical(known).select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"key_{k}").alias("key")) for k in names])).alias("k"))
     counts = S.materialize(keys.groupBy("k.name", "k.key").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")))
     sums = {r["name"]: r for r in counts.groupBy("name").agg(F.count("*").alias("keys"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).collect()}
@@ -142,7 +142,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", sample: i
     if not 0 < total[1] < total[0]:
         return Model(stats, None, prior)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_stats(seen, stats, prior)).select("features", "label")
-    trees = GBTClassifier(maxIter=12, maxDepth=3, seed=7, maxBins=32).fit(vectors.coalesce(2))
+    trees = GBTClassifier(maxIter=30, maxDepth=3, seed=7, maxBins=32, featureSubsetStrategy="onethird").fit(vectors.coalesce(2))
     return Model(stats, trees, prior)
 
 

@@ -64,6 +64,19 @@ def test_held_out_accuracy(spark):
     assert out.agg(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int"))).first()[0] > 0.97
 
 
+def test_hosts_never_seen_are_told_by_several_features(spark):
+    """No host of the test is among the training hosts, and none of their first letters is."""
+    bad = ["casino-win", "free-bets", "spam-farm", "poker-4-you", "cheap-pills", "loan-now-99", "buy-xxx", "my-warez"]
+    good = ["thring", "morning", "tionher", "letters", "gardens", "weather", "library", "science"]
+    url = lambda h, i: f"{('http', 'https')[i % 2]}://{('', 'www.', 'blog.')[i % 3]}{h}.example.{('com', 'net', 'org')[i % 3]}/en/{i * 37 % 991}{('', '.html', '?a=1&b=2')[i % 3]}"
+    rows = [(url(h, i), y, k) for y, hosts in ((1.0, bad), (0.0, good)) for k, h in enumerate(hosts) for i in range(60)]
+    df = spark.createDataFrame(rows, "url string, label double, k int")
+    model = U.train(df.where("k < 5"))
+    assert sum(w > 0.02 for w in model.trees.featureImportances.toArray()) >= 3
+    out = U.judge(df.where("k >= 5"), model, rules=())
+    assert out.agg(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int"))).first()[0] > 0.97
+
+
 def test_query(spark, small):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in queries.op1_url_filter(spark, small).collect():
