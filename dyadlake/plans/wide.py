@@ -5,6 +5,8 @@ Every layer's columns stand once, in ``operators/wide``; the DataFrame jobs belo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,20 +77,26 @@ def _judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
 
 
 def pair_hands(spark: SparkSession, d: str, family: str | None = None) -> DataFrame:
-    """hand_id, table_id, p1, p2 and the columns of a family, or of all."""
+    """hand_id, table_id, p1, p2 and the columns of a family, or of all; only the layers that these columns name are joined."""
+    columns = W.FAMILIES[family] if family else W.HAND
+    words = set(re.findall(r"\w+", " ".join(columns.values())))
     named = lambda columns: [F.expr(e).alias(c) for c, e in columns.items()]
     log = acts(spark, d)
     seats = judged(spark, d, log)
     both = P.side(seats, ["hand_id", "table_id", "seats"], "1", COLUMNS, "player_id").join(P.side(seats, ["hand_id"], "2", COLUMNS, "player_id"), "hand_id").where("p1 < p2")
     pairs = P.self_join(seats, "hand_id", "player_id", [])
     members = P.members(pairs, ["hand_id"])
-    own = members.join(log.withColumnRenamed("player_id", "member"), ["hand_id", "member"]).withColumns({"fp": F.expr("facing = 1 AND last_aggressor = partner"), "fo": F.expr("facing = 1 AND last_aggressor <> partner")})
-    inside = own.groupBy(*_PAIR).agg(*named(W.INSIDE))
-    answers = members.join(log.where("facing = 1").withColumnRenamed("last_aggressor", "member"), ["hand_id", "member"]).where("player_id <> partner")
-    outside = answers.groupBy(*_PAIR).agg(*named(W.OUTSIDE))
-    others = P.outsiders(pairs, seats.select("hand_id", "player_id", "category", "final"), "hand_id", "player_id").groupBy(*_PAIR).agg(F.max("category").alias("outsider_best"), F.max("final").alias("outsider_final"))
-    rows = both.join(inside, _PAIR).join(outside, _PAIR, "left").join(others, _PAIR, "left").fillna(0, list(W.OUTSIDE)).fillna(-1, ["outsider_best", "outsider_final"])
-    return rows.select("hand_id", "table_id", "p1", "p2", *named(W.FAMILIES[family] if family else W.HAND))
+    rows = both
+    if words & set(W.INSIDE):
+        own = members.join(log.withColumnRenamed("player_id", "member"), ["hand_id", "member"]).withColumns({"fp": F.expr("facing = 1 AND last_aggressor = partner"), "fo": F.expr("facing = 1 AND last_aggressor <> partner")})
+        rows = rows.join(own.groupBy(*_PAIR).agg(*named(W.INSIDE)), _PAIR)
+    if words & set(W.OUTSIDE):
+        answers = members.join(log.where("facing = 1").withColumnRenamed("last_aggressor", "member"), ["hand_id", "member"]).where("player_id <> partner")
+        rows = rows.join(answers.groupBy(*_PAIR).agg(*named(W.OUTSIDE)), _PAIR, "left").fillna(0, list(W.OUTSIDE))
+    if words & {"outsider_best", "outsider_final"}:
+        others = P.outsiders(pairs, seats.select("hand_id", "player_id", "category", "final"), "hand_id", "player_id").groupBy(*_PAIR).agg(F.max("category").alias("outsider_best"), F.max("final").alias("outsider_final"))
+        rows = rows.join(others, _PAIR, "left").fillna(-1, ["outsider_best", "outsider_final"])
+    return rows.select("hand_id", "table_id", "p1", "p2", *named(columns))
 
 
 _ACTS_SQL = f"""{plays._CTX}, faced AS (SELECT hand_id, table_id, player_id, street, act, amount, action_no, last_aggressor, active, CASE WHEN last_aggressor IS NULL OR last_aggressor = player_id THEN 0 ELSE 1 END AS facing, lag(act) OVER w AS prev_act, lag(player_id) OVER w AS prev_player FROM ctx WINDOW w AS (PARTITION BY hand_id ORDER BY action_no)),
@@ -124,8 +132,10 @@ def _family(name: str) -> None:
 for _name in W.FAMILIES:
     _family(_name)
 
-RANKED = list(dict.fromkeys([*W.MOST, *W.TOP3]))
-TO_MAX = ("pair_contrib", "net_gap", "surp_pair_sum", "transfer_any")
+#: Ranked within the pair: what happened in a hand, what was held and who answered whom, and what pairs are summarised by.
+RANKED = list(dict.fromkeys([*(c for f in ("flow", "joint", "sums", "policy", "entrant", "surprise", "strength", "interaction", "outsiders", "anatomy") for c in W.FAMILIES[f]), *W.MOST, *W.TOP3]))
+AT_ONCE = 24
+TO_MAX = ("pair_contrib", "net_gap", "surp_pair_sum", "transfer_any", "outsider_fold")
 
 
 @query(
@@ -133,15 +143,15 @@ TO_MAX = ("pair_contrib", "net_gap", "surp_pair_sum", "transfer_any")
     also=f"{_ALL}, {_HANDS}",
 )
 def hand_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Columns relative to the pair's largest, and their average ranks within the pair. All are turned into rows, so that one sort ranks them all."""
-    rows = pair_hands(spark, d).select(*_PAIR, *[F.col(c).cast("double").alias(c) for c in RANKED])
-    long = rows.unpivot(_PAIR, RANKED, "name", "value")
-    w = Window.partitionBy("p1", "p2", "name")
-    share = F.round(X.average_rank_share(["p1", "p2", "name"], "value"), 6)
-    top = F.round(F.col("value") / (F.max("value").over(w) + 1e-6), 6)
-    scored = long.select(*_PAIR, "name", share.alias("share"), top.alias("top"))
-    pick = lambda c, column: F.max(F.when(F.col("name") == c, F.col(column)))
-    return scored.groupBy(*_PAIR).agg(*[pick(c, "top").alias(f"{c}_to_max") for c in TO_MAX], *[pick(c, "share").alias(f"{c}_prank") for c in RANKED])
+    """Columns relative to the pair's largest, and the average rank shares of all within the pair (a pair has at most a hand a day). ``AT_ONCE`` columns share one exchange by pair and are sorted inside its partitions, so no row is multiplied; more of them at once make plans too deep for the JVM's stack."""
+    rows = files.stage(pair_hands(spark, d).select(*_PAIR, *RANKED))
+    pair = Window.partitionBy("p1", "p2")
+    upto = lambda c: pair.orderBy(c)  # noqa: E731  rows up to the last equal one
+    share = lambda c: F.round((F.rank().over(upto(c)) + F.count("*").over(upto(c))) / 2 / F.count("*").over(pair), 6)
+    out = rows.select(*_PAIR, *[F.round(F.col(c) / (F.max(c).over(pair).cast("double") + 1e-6), 6).alias(f"{c}_to_max") for c in TO_MAX])
+    for k in range(0, len(RANKED), AT_ONCE):
+        out = out.join(rows.select(*_PAIR, *[share(c).alias(f"{c}_prank") for c in RANKED[k : k + AT_ONCE]]), _PAIR)
+    return out
 
 
 _TOPS = ", ".join(f"row_number() OVER (PARTITION BY p1, p2 ORDER BY CAST({c} AS DOUBLE) DESC, hand_id) AS k_{c}" for c in W.TOP3)
@@ -199,3 +209,80 @@ def pair_spread(spark: SparkSession, d: str) -> DataFrame:
     half = F.round(F.avg(F.when(F.col("late"), F.col("net_gap"))), 6) - F.round(F.avg(F.when(~F.col("late"), F.col("net_gap"))), 6)
     episodes = F.round(F.avg("squeeze") + F.avg("dump") + F.avg("checkdown"), 6)
     return rows.groupBy("p1", "p2").agg(F.count("*").alias("n"), *spread, *rates, *[F.max(f"b{k}").alias(f"burst_{k}") for k in (10, 20)], F.max("r5").alias("rolling_5"), half.alias("late_delta"), episodes.alias("episode_rate"))
+
+
+#: What a member does with the partner is held against what they do in all their other hands.
+CONTRAST = ("net", "n_acts", "n_raise", "n_bet", "n_call", "n_fold", "vpip", "post_in", "loose", "junk", "resid", "pf_raise", "surp", "surp_max", "surp_post", "surp_s0", "surp_fold", "surp_call")
+_SHRINK = 25.0
+_FIELD = lambda c, k: f"(sum_{c}_{k} / CAST(n AS DOUBLE) - (t{k}.{c} - sum_{c}_{k}) / CAST(greatest(t{k}.hands - n, 1) AS DOUBLE)) * n / (n + {_SHRINK})"
+
+
+@query(
+    f"SELECT p1, p2, n, {', '.join(f'round({c}_c1 + {c}_c2, 6) + 0.0 AS {c}_pf_sum, round(abs({c}_c1 - {c}_c2), 6) AS {c}_pf_gap, round(least({c}_c1, {c}_c2), 6) + 0.0 AS {c}_pf_min' for c in CONTRAST)} FROM (SELECT w.p1, w.p2, n, {', '.join(f'{_FIELD(c, k)} AS {c}_c{k}' for c in CONTRAST for k in '12')} FROM with_ w JOIN alone t1 ON t1.player_id = w.p1 JOIN alone t2 ON t2.player_id = w.p2)",
+    also=f"{_ACTS_SQL}, {deals._HOLE}, {_CHEN}, {deals._FLOP[1]}, {deals._TURN[1]}, {deals._RIVER[1]}, {_SEATS}, alone AS MATERIALIZED (SELECT player_id, count(*) AS hands, {', '.join(f'sum({c}) AS {c}' for c in CONTRAST)} FROM judged GROUP BY 1), with_ AS MATERIALIZED (SELECT a.player_id AS p1, b.player_id AS p2, count(*) AS n, {', '.join(f'sum({t}.{c}) AS sum_{c}_{k}' for c in CONTRAST for t, k in (('a', '1'), ('b', '2')))} FROM judged a JOIN judged b ON a.hand_id = b.hand_id AND a.player_id < b.player_id GROUP BY 1, 2)",
+)
+def pair_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    """Every member's means with the partner less those of all their other hands (totals less what is shared), shrunk by the shared hands: both members' sum, gap and least."""
+    seats = judged(spark, d, acts(spark, d)).select("hand_id", "player_id", *[F.col(c).cast("long").alias(c) for c in CONTRAST])
+    both = P.side(seats, ["hand_id"], "1", CONTRAST, "player_id").join(P.side(seats, ["hand_id"], "2", CONTRAST, "player_id"), "hand_id").where("p1 < p2")
+    rows = both.groupBy("p1", "p2").agg(F.count("*").alias("n"), *[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for c in CONTRAST for k in "12"])
+    for k in "12":
+        totals = seats.groupBy(F.col("player_id").alias(f"p{k}")).agg(F.count("*").alias("hands"), *[F.sum(c).alias(f"all_{c}") for c in CONTRAST])
+        rows = rows.join(totals, f"p{k}")
+        field = lambda c: (F.col(f"all_{c}") - F.col(f"{c}_{k}")) / F.greatest(F.col("hands") - F.col("n"), F.lit(1)).cast("double")  # noqa: B023, E731
+        rows = rows.select("p1", "p2", "n", *[c for c in rows.columns if c.endswith(("_1", "_2", "_c1"))], *[X.shrunk(F.col(f"{c}_{k}") / F.col("n").cast("double"), field(c), F.col("n"), _SHRINK).alias(f"{c}_c{k}") for c in CONTRAST])
+    both_ = lambda c: (F.col(f"{c}_c1"), F.col(f"{c}_c2"))
+    return rows.select("p1", "p2", "n", *[e for c in CONTRAST for x, y in [both_(c)] for e in (X.rounded(x + y).alias(f"{c}_pf_sum"), X.rounded(F.abs(x - y)).alias(f"{c}_pf_gap"), X.rounded(F.least(x, y)).alias(f"{c}_pf_min"))])
+
+
+SCORED = ("score_v2", "relevance")
+_TOP = (3, 5, 10)
+
+
+def _scores_sql(c: str) -> str:
+    top = ", ".join(f"sum(x_{c}) FILTER (k_{c} <= {k}) / CAST(count(*) FILTER (k_{c} <= {k}) AS DOUBLE) / 1000000 AS {c}_top{k}" for k in _TOP)
+    over = ", ".join(f"count(*) FILTER (x_{c} > g{q}_{c}) AS {c}_n{q}, round(count(*) FILTER (x_{c} > g{q}_{c}) / CAST(count(*) AS DOUBLE), 6) AS {c}_f{q}" for q in (95, 99))
+    burst = f"max(b_{c}) / 1000000 AS {c}_burst_max, (max(b_{c}) - avg(b_{c}) FILTER (j = 1)) / 1000000 AS {c}_burst_excess"
+    loser = f"round(greatest(avg(loser_is_p1) FILTER (k_{c} <= 5), 1 - avg(loser_is_p1) FILTER (k_{c} <= 5)), 6) AS {c}_same_loser"
+    return f"sum(x_{c}) / CAST(count(*) AS DOUBLE) / 1000000 AS {c}_mean, max(x_{c}) / 1000000 AS {c}_max, CAST(sum(x_{c}) AS DOUBLE) / 1000000 AS {c}_sum, percentile_disc(0.9) WITHIN GROUP (ORDER BY x_{c}) / 1000000 AS {c}_p90, {top}, {over}, {burst}, {loser}"
+
+
+@query(
+    f"""SELECT p1, p2, count(*) AS n, {', '.join(map(_scores_sql, SCORED))}, round(sum(transfer_12 + transfer_21) / CAST(count(*) AS DOUBLE), 6) AS transfer_rate, CAST(greatest(sum(transfer_12), sum(transfer_21)) AS BIGINT) AS transfer_dominant, round(abs(CAST(sum(signed_net_diff) AS DOUBLE)) / (CAST(sum(abs(signed_net_diff)) AS DOUBLE) + 1), 6) AS consistency,
+ {', '.join(f'round(greatest(sum({a}_to_partner_by_first), sum({a}_to_partner - {a}_to_partner_by_first)) / CAST(sum({a}_to_partner) + 1 AS DOUBLE), 6) AS {a}_partner_asym' for a in ('call', 'fold'))}
+ FROM (SELECT *, {', '.join(f'CAST(floor(sum(x_{c}) OVER e / CAST(count(*) OVER e AS DOUBLE)) AS BIGINT) AS b_{c}' for c in SCORED)}, row_number() OVER (PARTITION BY p1, p2, e ORDER BY hand_id) AS j
+ FROM (SELECT *, CAST(floor(least((i - 1) * 8 / m, 7)) AS BIGINT) AS e FROM (SELECT *, row_number() OVER (PARTITION BY p1, p2 ORDER BY hand_id) AS i, count(*) OVER (PARTITION BY p1, p2) AS m, {', '.join(f'row_number() OVER (PARTITION BY p1, p2 ORDER BY x_{c} DESC, hand_id) AS k_{c}' for c in SCORED)} FROM marks)) WINDOW e AS (PARTITION BY p1, p2, e)),
+ (SELECT {', '.join(f'percentile_disc(0.{q}) WITHIN GROUP (ORDER BY x_{c}) AS g{q}_{c}' for c in SCORED for q in (95, 99))} FROM marks) GROUP BY 1, 2""",
+    also=f"{_ALL}, {_HANDS}, marks AS MATERIALIZED (SELECT *, {', '.join(f'CAST(round(CAST({c} AS DOUBLE) * 1000000) AS BIGINT) AS x_{c}' for c in SCORED)} FROM hands_)",
+)
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How a pair's hands score: mean, largest, sum, ninth decile, best three, five and ten, hands beyond the whole population's 95 and 99 %, bursts over eight stretches, whether the best hands have one loser; and how one-sided the pair is. Scores and the stretches' means are in whole millionths, so their sums don't depend on the order."""
+    from dyadlake.operators import ranking as R
+
+    asym = [f"{a}_to_partner{w}" for a in ("call", "fold") for w in ("", "_by_first")]
+    rows = pair_hands(spark, d).select(*_PAIR, "loser_is_p1", "transfer_12", "transfer_21", "signed_net_diff", *asym, *[F.round(F.col(c).cast("double") * 1000000).cast("long").alias(f"x_{c}") for c in SCORED])
+    rows = files.stage(rows)
+    cuts = [R.quantiles(rows.select(F.col(f"x_{c}").alias("v")), [], "v", {f"g{q}_{c}": q / 100 for q in (95, 99)}) for c in SCORED]
+    pair = Window.partitionBy("p1", "p2")
+    i, m = F.row_number().over(pair.orderBy("hand_id")), F.count("*").over(pair)
+    rows = rows.withColumns({"e": F.floor(F.least((i - 1) * 8 / m, F.lit(7))).cast("long"), **{f"k_{c}": F.row_number().over(pair.orderBy(F.desc(f"x_{c}"), "hand_id")) for c in SCORED}})
+    stretch = Window.partitionBy("p1", "p2", "e")
+    rows = rows.withColumns({**{f"b_{c}": F.floor(F.sum(f"x_{c}").over(stretch) / F.count("*").over(stretch).cast("double")).cast("long") for c in SCORED}, "j": F.row_number().over(stretch.orderBy("hand_id"))})
+    for cut in cuts:
+        rows = rows.join(F.broadcast(cut))  # one row
+    whole = lambda e, name: (e / 1000000).alias(name)
+    out = []
+    for c in SCORED:
+        x, first = F.col(f"x_{c}"), F.when(F.col(f"k_{c}") <= 5, F.col("loser_is_p1"))
+        out += [whole(F.sum(x) / F.count("*").cast("double"), f"{c}_mean"), whole(F.max(x), f"{c}_max"), whole(F.sum(x).cast("double"), f"{c}_sum"), whole(F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY x_{c})"), f"{c}_p90")]
+        out += [whole(F.sum(F.when(F.col(f"k_{c}") <= k, x)) / F.least(F.count("*"), F.lit(k)).cast("double"), f"{c}_top{k}") for k in _TOP]
+        for q in (95, 99):
+            above = X.count_if(x > F.col(f"g{q}_{c}"))
+            out += [above.alias(f"{c}_n{q}"), F.round(above / F.count("*").cast("double"), 6).alias(f"{c}_f{q}")]
+        out += [whole(F.max(f"b_{c}"), f"{c}_burst_max"), whole(F.max(f"b_{c}") - F.avg(F.when(F.col("j") == 1, F.col(f"b_{c}"))), f"{c}_burst_excess"), F.round(F.greatest(F.avg(first), 1 - F.avg(first)), 6).alias(f"{c}_same_loser")]
+    there, back = F.sum("transfer_12"), F.sum("transfer_21")
+    out += [F.round((there + back) / F.count("*").cast("double"), 6).alias("transfer_rate"), F.greatest(there, back).cast("long").alias("transfer_dominant"), F.round(F.abs(F.sum("signed_net_diff")) / (F.sum(F.abs("signed_net_diff")).cast("double") + 1), 6).alias("consistency")]
+    for a in ("call", "fold"):
+        mine, all_ = F.sum(f"{a}_to_partner_by_first"), F.sum(f"{a}_to_partner")
+        out.append(F.round(F.greatest(mine, all_ - mine) / (all_ + 1).cast("double"), 6).alias(f"{a}_partner_asym"))
+    return rows.groupBy("p1", "p2").agg(F.count("*").alias("n"), *out)
