@@ -111,7 +111,7 @@ seat AS (SELECT f.* EXCLUDE (part), rv, rr, {', '.join(f'base_{a}' for a in BASE
 judged AS MATERIALIZED (SELECT *, {W.selected(W.JUDGED)} FROM seat)"""
 _WIDE = f"""both_ AS (SELECT a.hand_id, a.table_id, a.seats, a.player_id AS p1, b.player_id AS p2, {W.sided(COLUMNS)} FROM judged a JOIN judged b ON a.hand_id = b.hand_id AND a.player_id < b.player_id),
 dirs AS (SELECT hand_id, p1, p2, p1 AS member, p2 AS partner, 1 AS is_first FROM both_ UNION ALL SELECT hand_id, p1, p2, p2, p1, 0 FROM both_),
-own AS (SELECT d.*, street, act, amount, active, u, prev_act, prev_player, facing = 1 AND last_aggressor = partner AS fp, facing = 1 AND last_aggressor <> partner AS fo FROM dirs d JOIN acts x ON x.hand_id = d.hand_id AND x.player_id = d.member),
+own AS (SELECT d.*, street, act, amount, active, u, own_u, prev_act, prev_player, facing = 1 AND last_aggressor = partner AS fp, facing = 1 AND last_aggressor <> partner AS fo FROM dirs d JOIN acts x ON x.hand_id = d.hand_id AND x.player_id = d.member),
 inside AS (SELECT hand_id, p1, p2, {W.selected(W.INSIDE)} FROM own GROUP BY 1, 2, 3),
 outside AS (SELECT d.hand_id, p1, p2, {W.selected(W.OUTSIDE)} FROM dirs d JOIN acts x ON x.hand_id = d.hand_id AND x.facing = 1 AND x.last_aggressor = d.member AND x.player_id <> d.partner GROUP BY 1, 2, 3),
 others AS (SELECT b.hand_id, p1, p2, max(category) AS outsider_best, max(final) AS outsider_final FROM both_ b JOIN judged j ON j.hand_id = b.hand_id AND j.player_id <> p1 AND j.player_id <> p2 GROUP BY 1, 2, 3),

@@ -29,7 +29,7 @@ FIRST = {
     "anatomy": {"fold_stronger_to_partner": 1, "fold_better_to_partner": 1, "both_strong_no_raise": 0, "multi_call": 0, "squeeze": 1, "squeeze_pf": 0, "squeeze_then_fold": 1, "squeeze_then_fold_pf": 0, "dump": 1, "dump_better_hand": 1, "checkdown": 0, "hu_checkdown_strong": 0, "hu_check_two_pair_plus": 0},
     "made": {"decisive_street": 1, "who_folded": 1, "loser_cat_flop": 2, "winner_cat_flop": 0, "loser_cat_reached": 2, "winner_cat_reached": 1, "cat_gap_reached": 1, "cat_gap_final": 2, "min_cat_turn": 1, "improved_1": 1, "improved_2": 1, "outsider_category": 2, "pair_beats_outsiders": 1, "both_beat_outsiders": 0, "weaker_isolates": 0, "folder_category": 2, "stayer_category": 1, "combo_both": 28, "combo_roles": 47, "combo_outsider": 33},
     "timing": {"fold_first": 1, "fold_last": 99, "loser_fold_street": 1, "winner_fold_street": 99, "loser_last_street": 1, "winner_last_street": 3, "isolate_street": 99, "partner_street": 0, "face_first": 0, "face_last": 1, "odd_first": 99, "active_last": 4, "both_in_s0": 1, "both_in_s1": 0, "outsiders_s0": 4, "outsiders_s1": 3, "outsiders_s3": 2, "heads_up_s1": 0, "surp_sum_s1": 2772588, "surp_max_s0": 1098612, "surp_least_s0": 693147, "acts_sum_s0": 2, "acts_sum_s1": 3, "acts_sum_s3": 1, "loser_surp_s0": 1098612, "loser_acts_s1": 2, "acted_alone_s3": 1, "acted_alone_s1": 0},
-    "own_policy": {"own_sum": 3774038, "own_most": 1134980, "own_least": 1134980, "own_p_min": 0.321429, "own_n_rare": 0, "own_n_rarest": 0, "own_both_rare": 0, "own_loser": 2100061, "own_winner": 1673977, "own_delta": -790309, "own_delta_max": -384845, "own_delta_min": -405464},
+    "own_policy": {"own_sum": 3774038, "own_most": 1134980, "own_least": 1134980, "own_p_min": 0.321429, "own_n_rare": 0, "own_n_rarest": 0, "own_both_rare": 0, "own_loser": 2100061, "own_winner": 1673977, "own_delta": -790309, "own_delta_max": -384845, "own_delta_min": -405464, "own_pf_sum": 1504078, "own_post_sum": 2269960, "own_to_partner": 538997, "own_to_other": 0, "own_most_to_partner": 538997, "own_fold_to_partner": 0, "own_call_to_partner": 538997, "own_raise_to_partner": 0, "own_delta_partner": -154150},
     "notebook": {"is_pure_dump": 1, "soft_checkdown": 0, "squeeze_isolation": 0, "iso_preflop": 0, "late_vs_blind": 0, "dump_from_oop": 1, "partner_calls_dump": 1, "dump_vs_hole": 300, "strong_hole_passive": 0, "passivity_density": 0.333333, "opposite_net_sign": 1, "outsider_fold_then_pair": 1},
     "residuals": {"strength_1": 0.333333, "strength_2": 0.111111, "strength_gap": 0.222222, "fold_resid_1": 0.133333, "raise_resid_1": 0.133333, "check_resid_1": -0.4, "call_resid_2": 0.133333, "check_resid_2": -0.266667, "weighted_passivity": 0.0, "transfer_x_gap": 0.006667, "fold_strength": 0.333333, "semantic_directed": 4.158883, "semantic_soft": 0.0, "semantic_isolation": 3},
     "heuristics": {"directed_signal": 2.136294, "soft_signal": 1.0, "isolation_signal": 2.0, "directed_priority": 1.612426, "soft_priority": 0.166667, "isolation_priority": 1.0, "score_v2": 2.819673, "relevance": 67.25, "relevance_flow": 4.125},
