@@ -8,10 +8,10 @@ back (a skip of any length); the second the last word, the word before it (skip)
 Features are hashed into fixed rows. Among the words of one class and ending, each has its add-one relative frequency, an unknown word the share of one.
 
 1. Counts of all training tokens: each task counts its own words, then one aggregation by word.
-2. Training in ``ROUNDS`` rounds over disjoint folds of the training texts. A fold is dealt by the texts' hash into shards of ``SHARD``
-   to ``MOST`` tokens each; for each shard one replica takes AdaGrad steps from the broadcast weights on every position of its texts, in the order of their hash.
-   The replicas' changes, weighted by how often each row was active, are summed by block of rows. Neither the partitioning of the input nor the
-   cluster's size changes the model.
+2. Training in ``ROUNDS`` rounds over disjoint folds of the training texts. A fold is dealt by the texts' hash into as many shards as it has
+   ``SHARD`` tokens, at every size; for each shard one replica takes AdaGrad steps from the broadcast weights on every position of its texts, in the order of their hash.
+   The replicas' changes (rounded to 16 bits), weighted by how often each row was active, are summed by block of rows, ``FAN`` shards at a time,
+   then ``FAN`` such sums, until one is left. Neither the partitioning of the input nor the cluster's size changes the model.
 3. Scoring is a map in numpy. Words are looked up in a broadcast table of at most ``FREQUENT`` words, the most frequent; the other tokens are
    joined with the full counts by word, summed for each text first, so that no word is hot.
 
@@ -37,8 +37,8 @@ SINGLES, SHAPES, ENDINGS = 32, 16, 32
 CLASSES = SINGLES + SHAPES
 FREQUENT = 1 << 20
 ROUNDS, STEP = 3, 2048
-#: A shard has at least so many tokens, and where there would be more than ``SPREAD`` shards, up to so many.
-SHARD, MOST, SPREAD = 1 << 19, 1 << 24, 16
+#: How many tokens a shard has, and how many shards' changes one task adds up for a block of rows.
+SHARD, FAN = 1 << 21, 256
 RATE = 0.2
 END = np.uint64(0x5851F42D4C957F2D)
 _N = CLASSES + 1  # class values of a history: one more for before the text
@@ -275,6 +275,33 @@ def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _add(changes: DataFrame, kind: type) -> DataFrame:
+    """The changes of ``FAN`` shards by block of rows, each row's weighted by how often it was active, as one shard's; ``kind`` is the numbers' type that comes in, float32 goes out."""
+    fan = FAN
+
+    @S.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, seen = None, np.zeros(0), np.zeros(0, np.int64)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                i = np.flatnonzero(seen).astype(np.int32)
+                yield _batch([(*now, i.tobytes(), (total[i] / seen[i][:, None]).astype(np.float32).tobytes(), seen[i].tobytes())], _CHANGES)
+
+        for b in batches:
+            for table, block, shard, at, val, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (table, block, shard // fan) != now:
+                    yield from done()
+                    now, total, seen = (table, block, shard // fan), np.zeros((BLOCK, WIDTHS[table])), np.zeros(BLOCK, np.int64)
+                i, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.int64)
+                total[i] += np.frombuffer(val, kind).reshape(len(i), -1).astype(float) * n[:, None]
+                seen[i] += n
+        yield from done()
+
+    group = F.expr(f"shard div {fan}")
+    return changes.repartition("tab", "block", group).sortWithinPartitions("tab", "block", "shard").mapInArrow(run, _CHANGES)
+
+
 def train_round(docs: DataFrame, vocabulary, weights, fold: int, shards: int) -> list[np.ndarray]:
     """Both softmaxes' weights after one more round, on the texts of one fold. ``docs``: text, fold, shard, place (the text's hash). ``vocabulary`` and ``weights`` are broadcasts."""
 
@@ -325,27 +352,10 @@ def train_round(docs: DataFrame, vocabulary, weights, fold: int, shards: int) ->
                         steps(STEP)
         yield from close()
 
-    @S.tidy
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, seen = None, np.zeros(0), np.zeros(0)
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                i = np.flatnonzero(seen).astype(np.int32)
-                yield _batch([(*now, i.tobytes(), (total[i] / seen[i][:, None]).astype(np.float32).tobytes())], "tab int, block int, at binary, val binary")
-
-        for b in batches:
-            for table, block, _, at, val, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (table, block) != now:
-                    yield from done()
-                    now, total, seen = (table, block), np.zeros((BLOCK, WIDTHS[table])), np.zeros(BLOCK)
-                i, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.int64)
-                total[i] += np.frombuffer(val, np.float16).reshape(len(i), -1).astype(float) * n[:, None]
-                seen[i] += n
-        yield from done()
-
     own = docs.where(F.col("fold") == fold).select("text", "shard", "place").repartitionById(shards, "shard").sortWithinPartitions("shard", "place").select("text", "shard")
-    summed = own.mapInArrow(run, _CHANGES).repartition("tab", "block").sortWithinPartitions("tab", "block", "shard").mapInArrow(add, "tab int, block int, at binary, val binary")
+    summed, left, kind = own.mapInArrow(run, _CHANGES), shards, np.float16
+    while left > 1 or kind == np.float16:
+        summed, left, kind = _add(summed, kind), -(-left // FAN), np.float32
     out = [w.copy() for w in weights.value]
     for r in summed.collect():  # a fixed number of blocks
         i = np.frombuffer(r.at, np.int32)
@@ -353,13 +363,18 @@ def train_round(docs: DataFrame, vocabulary, weights, fold: int, shards: int) ->
     return out
 
 
+def shards_for(tokens: int, size: int) -> int:
+    """How many shards of ``size`` tokens each round's part of all tokens makes."""
+    return max(1, tokens // (ROUNDS * size))
+
+
 def fit(learn: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, object, object]:
     """The counts of all tokens of the texts (column text), and as broadcasts the vocabulary and the two softmaxes' weights."""
     counts = count(learn, "text")
     sc = learn.sparkSession.sparkContext
     v = Vocabulary(counts, frequent)
     sent = sc.broadcast(v)
-    shards = max(1, min(SPREAD, v.total // (ROUNDS * SHARD)), v.total // (ROUNDS * MOST))  # from the data alone
+    shards = shards_for(v.total, SHARD)
     place = F.xxhash64(F.coalesce("text", F.lit("")))
     dealt = learn.select("text", place.alias("place"), F.pmod(place, F.lit(ROUNDS)).alias("fold"), F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard"))
     weights = sc.broadcast([np.zeros((n, k), np.float32) for n, k in zip(ROWS_, WIDTHS, strict=True)])

@@ -136,6 +136,13 @@ def test_the_model_does_not_depend_on_partitions(spark, small, monkeypatch):
     sizes = [r["count"] for r in dealt[0].groupBy("fold", "shard").count().collect()]
     assert len(sizes) > 12 and max(sizes) < 4 * sum(sizes) / len(sizes)  # no shard has much more than its part
     assert found[0] == pytest.approx(found[1], rel=1e-12) and found[0] == pytest.approx(found[2], rel=1e-12)
+    monkeypatch.setattr(L, "FAN", 3)  # summed in several levels, rounded between them
+    assert dict(L.score(docs, learn).select("doc_id", "score").collect()) == pytest.approx(found[0], rel=1e-5)
+
+
+@pytest.mark.parametrize("tokens, shards", [(0, 1), (5, 1), (24_000, 2), (36_000, 3), (12_000_000, 1000)])
+def test_shards_have_one_size_however_many_there_are(tokens, shards):
+    assert L.shards_for(tokens, 4000) == shards
 
 
 def test_beats_the_base_on_held_out_texts(spark, small):
