@@ -46,6 +46,28 @@ def _labelled_hands(spark: SparkSession, d: str) -> DataFrame:
     return L.out_of_fold(_label(rows, "evidence"), lambda: L.boosted((*HAND, *MORE)), "fold", FOLDS).withColumnRenamed("p", "hand_p").drop("label")
 
 
+#: What is known of a hand once its second street is over, besides ``HAND``.
+EARLY = ("face_first", "active_last", "acts_sum_s0", "acts_sum_s1", "heads_up_s1", "own_sum", "own_delta", "own_n_rare")
+
+
+def early_features(spark: SparkSession, d: str) -> DataFrame:
+    """hand_id, table_id, p1, p2 and the features of the hands' first two streets, of pairs who both acted there; no later action has a part in them."""
+    rows = wide.pair_hands(spark, d, part="early").withColumn("opposite_net", F.col("opposite_net_sign"))
+    return rows.select("hand_id", "table_id", "p1", "p2", *[F.col(c).cast("double").alias(c) for c in (*HAND, *EARLY)])
+
+
+def foretold_hands(spark: SparkSession, d: str) -> DataFrame:
+    """Hands with the features of their first two streets, ``evidence`` from the last two alone (0 if not both acted there), their table's fold, and ``hand_p`` by trees fitted to the other tables' hands; a stage."""
+    return files.once(spark, "foretold_hands", d, lambda: _foretold_hands(spark, d))
+
+
+def _foretold_hands(spark: SparkSession, d: str) -> DataFrame:
+    late = wide.pair_hands(spark, d, part="late").select("hand_id", "p1", "p2", F.greatest(*FAMILIES.values()).cast("int").alias("evidence"))
+    rows = early_features(spark, d).join(late, ["hand_id", "p1", "p2"], "left").fillna(0, ["evidence"])
+    rows = files.stage(rows.withColumn("fold", F.pmod("table_id", F.lit(FOLDS)).cast("int")))
+    return L.out_of_fold(_label(rows, "evidence"), lambda: L.boosted((*HAND, *EARLY)), "fold", FOLDS).withColumnRenamed("p", "hand_p").drop("label")
+
+
 def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with features, ``truth`` (at least ``POSITIVE`` hands of evidence), ``known`` (the same for two pairs of three, else null), their commonest family, and the fold. A stage that all model queries share."""
     return files.once(spark, "labelled_pairs", d, lambda: _pairs(labelled_hands(spark, d)))
@@ -332,6 +354,36 @@ def early_to_late(spark: SparkSession, d: str) -> DataFrame:
     return _scored(rows, _logit()).select("p1", "p2", "truth", F.round("p", 6).alias("p"))
 
 
+#: The conditions that the labels' own definitions name, as far as features show them; they part hands into a few dozen cells.
+RULE = ("pair_aggr = 0", "pair_aggr >= 2", "n_pfr >= 2", "pair_check >= 2", "transfer_any > 0", "surp_fold_sum > 0")
+
+
+def by_rule(hands: DataFrame) -> DataFrame:
+    """``hands`` with ``rule_p``: the share of evidence among the other folds' hands in the same cell of ``RULE``, of which one more is taken to be as common as among all of them."""
+    hands = hands.withColumn("cell", sum((F.expr(f"CAST({c} AS INT) * {1 << k}") for k, c in enumerate(RULE)), F.lit(0)))
+    counts = hands.groupBy("cell", "fold").agg(F.sum("evidence").alias("y"), F.count("*").alias("n"))  # cells x folds
+    cells, others = counts.select("cell").distinct(), counts.select(F.col("fold").alias("of"), F.col("cell").alias("at"), "y", "n")
+    held = counts.select("fold").distinct().join(others, F.col("fold") != F.col("of"))
+    whole = held.groupBy("fold").agg((F.sum("y") / F.sum("n")).alias("prior"))
+    own = held.groupBy("fold", F.col("at").alias("cell")).agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    table = whole.join(F.broadcast(cells)).join(own, ["fold", "cell"], "left").fillna(0, ["y", "n"])
+    table = table.select("fold", "cell", ((F.col("y") + F.col("prior")) / (F.col("n") + 1)).alias("rule_p"))
+    return hands.join(F.broadcast(table), ["fold", "cell"], "left").fillna(0.0, ["rule_p"]).drop("cell")
+
+
+@query()
+def held_out_report(spark: SparkSession, d: str) -> DataFrame:
+    """How well hands of other tables are scored, by the trees and by the look-up of ``RULE``: where the label is of the whole hand (and features share its conditions), and where features are of the first two streets and the label of the last two."""
+    out = []
+    for labels, rows in (("whole hand", labelled_hands(spark, d)), ("last streets", foretold_hands(spark, d))):
+        rows = files.stage(by_rule(rows.withColumn("row", F.xxhash64("hand_id", "p1", "p2"))))
+        size = rows.agg(F.count("*").alias("n"), F.sum("evidence").alias("positives"))
+        for scorer, p in (("trees", "hand_p"), ("rule", "rule_p")):
+            figures = R.auc(rows, p, "evidence", "row").select("auc").join(R.average_precision(rows, [], p, "evidence", "row").select("ap")).join(size)  # one row each
+            out.append(figures.select(F.lit(labels).alias("labels"), F.lit(scorer).alias("scorer"), "n", "positives", F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     """What the boosted trees of all folds split on, on average."""

@@ -60,9 +60,13 @@ def _acts(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(table, ["player_id", *situation, "act"])
 
 
-def judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
-    """One row for each hand and player, with base rates and cards; a stage."""
-    return files.once(spark, "judged", d, lambda: _judged(spark, d, log))
+#: Parts of a hand, of which none sees another's actions: what a member did there is told by these streets alone.
+PARTS = {"early": "street <= 1", "late": "street >= 2"}
+
+
+def judged(spark: SparkSession, d: str, log: DataFrame, part: str = "") -> DataFrame:
+    """One row for each hand and player, with base rates and cards; a stage. ``log``: the actions, of the whole hand or of one of its ``PARTS``."""
+    return files.once(spark, f"judged_{part}" if part else "judged", d, lambda: _judged(spark, d, log))
 
 
 def _judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
@@ -76,13 +80,13 @@ def _judged(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
     return rows.select("hand_id", "table_id", "player_id", "seats", "rv", "rr", *[c for c in COLUMNS if c not in W.JUDGED], *named(W.JUDGED))
 
 
-def pair_hands(spark: SparkSession, d: str, family: str | None = None) -> DataFrame:
-    """hand_id, table_id, p1, p2 and the columns of a family, or of all; only the layers that these columns name are joined."""
+def pair_hands(spark: SparkSession, d: str, family: str | None = None, part: str = "") -> DataFrame:
+    """hand_id, table_id, p1, p2 and the columns of a family, or of all; only the layers that these columns name are joined. With ``part``, of the pairs who both acted in that part of the hand, from its actions alone."""
     columns = W.FAMILIES[family] if family else W.HAND
     words = set(re.findall(r"\w+", " ".join(columns.values())))
     named = lambda columns: [F.expr(e).alias(c) for c, e in columns.items()]
-    log = acts(spark, d)
-    seats = judged(spark, d, log)
+    log = acts(spark, d).where(PARTS[part]) if part else acts(spark, d)
+    seats = judged(spark, d, log, part) if part else judged(spark, d, log)
     both = P.side(seats, ["hand_id", "table_id", "seats"], "1", COLUMNS, "player_id").join(P.side(seats, ["hand_id"], "2", COLUMNS, "player_id"), "hand_id").where("p1 < p2")
     pairs = P.self_join(seats, "hand_id", "player_id", [])
     members = P.members(pairs, ["hand_id"])

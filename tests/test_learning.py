@@ -7,7 +7,9 @@ from dyadlake.operators import learning as L
 from dyadlake.operators import ranking as R
 from dyadlake.operators import wide
 from dyadlake.plans import catalogue as registry
+from dyadlake.plans import interactions as plays
 from dyadlake.plans import learning as plans
+from dyadlake.plans import wide as hands_of
 from pyspark.sql import functions as F
 
 from conftest import TESTDATA
@@ -62,7 +64,7 @@ MODELS = sorted(n for n, f in registry.QUERIES.items() if f.__module__ == "dyadl
 @pytest.mark.parametrize("name", MODELS)
 def test_model_queries_score_every_row_once(spark, small, name):
     out = registry.QUERIES[name](spark, small).cache()
-    keys = [c for c in ("p1", "p2", "bag", "hand_id", "event_id", "feature") if c in out.columns]
+    keys = [c for c in ("p1", "p2", "bag", "hand_id", "event_id", "feature", "labels", "scorer") if c in out.columns]
     assert 0 < out.count() == out.select(keys).distinct().count()
     for f in out.schema:
         if f.dataType.simpleString() == "double" and f.name != "spread":
@@ -106,3 +108,29 @@ def test_rounds_score_out_of_fold(spark, monkeypatch):
     assert len(calls) == 3 and seen.count() == 600
     df = rows(spark, 120).withColumns({"bag": (F.col("id") / 10).cast("int"), "bag_label": ((F.col("id") / 10).cast("int") % 2).cast("int")})
     assert L.mil_rounds(df, "bag", ["x", "z"], "id", top=3).count() == 120 and len(calls) == 7
+
+
+def test_early_features_see_no_later_action(spark, small, monkeypatch):
+    monkeypatch.setattr(hands_of, "acts", hands_of._acts)
+    monkeypatch.setattr(hands_of, "judged", lambda spark, d, log, part="": hands_of._judged(spark, d, log))
+    real = plays.log
+    before = plans.early_features(spark, small).cache()
+    assert before.count() > 100
+    late = F.col("street") >= 2
+    other = lambda *a: real(*a).withColumns({"action": F.when(late, "raise").otherwise(F.col("action")), "amount": F.when(late, F.col("amount") + 7).otherwise(F.col("amount"))})
+    monkeypatch.setattr(plays, "log", other)
+    after = plans.early_features(spark, small)
+    assert before.exceptAll(after).count() == 0 and after.exceptAll(before).count() == 0
+    monkeypatch.setattr(plays, "log", lambda *a: real(*a).withColumn("action", F.when(~late, "raise").otherwise(F.col("action"))))
+    assert before.exceptAll(plans.early_features(spark, small)).count() > 0  # and they do see the earlier ones
+
+
+def test_the_rule_learns_from_other_folds_alone(spark):
+    i = F.col("id")
+    df = spark.range(90).select("id", (i % 3).cast("int").alias("fold"), F.when(i % 2 == 0, 0.0).otherwise(3.0).alias("pair_aggr"), F.lit(0.0).alias("pair_check"), F.lit(0.0).alias("n_pfr"), F.lit(0.0).alias("transfer_any"), F.lit(0.0).alias("surp_fold_sum"))
+    df = df.withColumn("evidence", F.when(F.col("pair_aggr") == 0, 1).otherwise(0)).withColumn("evidence", F.when(F.col("fold") == 2, 0).otherwise(F.col("evidence")))
+    got = {(r.fold, r.pair_aggr): r.rule_p for r in plans.by_rule(df).collect()}
+    assert plans.by_rule(df).count() == 90
+    # folds 0 and 1 have 15 positives of 30 each, fold 2 none: held out, fold 0 sees 15 of 60, 15 of 30 in its own cell
+    assert got[0, 0.0] == pytest.approx((15 + 0.25) / 31) and got[0, 3.0] == pytest.approx(0.25 / 31)
+    assert got[2, 0.0] == pytest.approx((30 + 0.5) / 31) and got[2, 3.0] == pytest.approx(0.5 / 31)
