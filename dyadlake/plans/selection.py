@@ -74,7 +74,7 @@ def hole_strength(spark: SparkSession, d: str) -> DataFrame:
 )
 def strength_in_hand(spark: SparkSession, d: str) -> DataFrame:
     """Each seat's exact card value and its rank among the hand's seats; the value is computed once for each part."""
-    values = T.table(spark, d, "part").select(F.col("p_partkey").alias("part"), K.value(deals.dealt(7)).alias("v"))
+    values = deals.values(spark, d, v=7).withColumnRenamed("p_partkey", "part")
     w = Window.partitionBy("hand_id")
     return T.seats(spark, d).select("hand_id", "player_id", "part").join(values, "part").select("hand_id", "player_id", "v", F.rank().over(w.orderBy(F.desc("v"))).cast("long").alias("place"), (F.col("v") - F.max("v").over(w)).alias("behind"))
 
