@@ -4,13 +4,14 @@ Every assistant turn becomes an example of its own: all turns before it are cont
 An example's text is the beginning of its conversation's formatted text, up to the end of that turn, so an example's row holds its reply as formatted, and
 its context as bounds into the conversation (context end = loss start, loss end): the turns' segments are stored once, and the output
 grows with the turns, not with their square. ``examples`` are these rows; ``expand`` joins the whole texts of chosen ones back together.
+``prefix_targets`` writes every example out, context and target, which by nature is the square of a conversation's turns; the registered query takes this way and reads its columns back from these examples.
 
 Template: ``<<SYS>>text<</SYS>>``, ``[INST]text[/INST]``, and ``text</s>`` for system, user and assistant, any other
 role as ``[ROLE:role]text[/ROLE]``, the whole after ``<s>``. All control strings begin with ``<`` or ``[``; in texts and roles these two and the
 backslash are escaped (``\\{``, ``\\(``, ``\\\\``), so no text can hold a control string, and unescaping is exact.
 
 Conversations are dealt out by id and read in order, a turn at a time: a task's memory doesn't grow with the length
-of a conversation. Order: turn, then role, then text; nulls first. Defined results: a null text is empty, a null role is ``[ROLE:]``
+of a conversation in ``segments``, and is one conversation's text and a batch in ``prefix_targets``. Order: turn, then role, then text; nulls first. Defined results: a null text is empty, a null role is ``[ROLE:]``
 and reads back as the empty role; turns without an id are one conversation; repeated rows are turns of their own; an empty table gives no
 conversation; other columns of the input are left out, whatever their names.
 """
@@ -124,6 +125,89 @@ def expand(formatted: DataFrame, chosen: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.concat(F.substring("text", 1, F.col("loss_end").cast("int")), F.lit(END)))
 
 
+_EXPANDED = {"example": "long", "context": "string", "target": "string", "loss_start": "long", "loss_end": "long"}
+#: Characters of examples after which a batch goes on.
+BATCH = 4_000_000
+
+
+def prefix_targets(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The expansion written out: a row for each assistant turn, conv_id, example (its number from 0), context (the conversation's formatted text before the reply), target (the formatted reply), loss_start and loss_end (its bounds in context + target + ``</s>``).
+    Where turns follow the last reply, or there is none, one more row has the whole conversation as its context and no target. Rows come in order within partitions that hold whole conversations; a task holds one conversation's text and a batch."""
+    S.bound_batches(turns.sparkSession)
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    @S.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = run  # no id yet
+        whole, number, pending, size = "", 0, False, 0
+        out: list[tuple] = []
+        for b in batches:
+            for conv, _, r, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if conv != now:
+                    if pending:
+                        out.append((now, number, whole, None, None, None))
+                        size += len(whole)
+                    now, whole, number = conv, START, 0
+                s, x, y = segment(r, t)
+                pending = r != "assistant"
+                if not pending:
+                    out.append((conv, number, whole + s[:x], s[x:y], len(whole) + x, len(whole) + y))
+                    number, size = number + 1, size + len(whole) + y
+                whole += s
+                if size > BATCH:
+                    yield _rows(out, kind, _EXPANDED)
+                    out, size = [], 0
+        if pending:
+            out.append((now, number, whole, None, None, None))
+        if out:
+            yield _rows(out, kind, _EXPANDED)
+
+    kind = turns.schema[conv_id].dataType.simpleString()
+    return dealt.mapInArrow(run, f"conv_id {kind}, " + ", ".join(f"{k} {v}" for k, v in _EXPANDED.items()))
+
+
+def expanded_digests(expanded: DataFrame) -> DataFrame:
+    """What ``digests`` gives, read back from the examples that ``prefix_targets`` wrote: the loss from each example's text under its mask, the turns from the text of the conversation's last row. ``expanded`` comes straight from ``prefix_targets``."""
+
+    @S.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = run
+        last, loss, chars, count = "", hashlib.sha256(), 0, 0
+        done: list[tuple] = []
+
+        def close() -> None:
+            if now is not run:
+                turns, found = hashlib.sha256(), read_back(last)
+                for role, text in found:
+                    turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                done.append((now, len(found), turns.hexdigest(), chars, loss.hexdigest(), len(last), count))
+
+        for b in batches:
+            for conv, example, context, target, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if conv != now:
+                    close()
+                    now, last, loss, chars, count = conv, START, hashlib.sha256(), 0, 0
+                if example != count or not context.startswith(last):
+                    raise ValueError("not the next example of this conversation")
+                last = context
+                if target is not None:
+                    last = context + target + END
+                    trained = unescape(last[x:y])
+                    chars += len(trained)
+                    loss.update(trained.encode("utf-8", "surrogatepass"))
+                    count += 1
+            if done:
+                yield _rows(done, kind, _DIGESTS)
+                done.clear()
+        close()
+        if done:
+            yield _rows(done, kind, _DIGESTS)
+
+    kind = expanded.schema["conv_id"].dataType.simpleString()
+    return expanded.mapInArrow(run, f"conv_id {kind}, " + ", ".join(f"{k} {v}" for k, v in _DIGESTS.items()))
+
+
 _DIGESTS = {"n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long", "n_examples": "long"}
 
 

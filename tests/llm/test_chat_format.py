@@ -92,3 +92,31 @@ def test_expanded_examples_train_on_their_reply_alone(spark):
                 number += 1
             done += C.segment(role, text)[0]
     assert got == want
+
+
+def test_query_reads_back_from_examples_written_out(spark, small, monkeypatch):
+    """The query's examples hold their whole context; its columns change when an example does."""
+    seen = []
+    real = C.prefix_targets
+    monkeypatch.setattr(C, "prefix_targets", lambda turns: seen.append(real(turns)) or seen[-1])
+    rows = queries.op5_chat_formatting(spark, small)
+    probe = seen[0].where("conv_id = -7").collect()
+    assert [(r.example, r.context, r.target) for r in probe] == [(0, "<s>[INST]\\{/s>\\(INST] ok \\(/INST][/INST]", "\\{/s>\\(INST] ok \\(/INST]")]
+    assert rows.where("conv_id = -7").first().loss_chars == len("</s>[INST] ok [/INST]")
+
+
+def test_written_out_examples_against_bounds_and_digests(spark):
+    turns = [*ROWS, (None, 1, "assistant", "to nobody [x]"), (5, 0, "assistant", "a"), (5, 1, "assistant", "b")]
+    got = C.prefix_targets(frame(spark, turns))
+    f = C.segments(frame(spark, turns))
+    whole = {(r.conv_id, r.example): (r.text, r.loss_start, r.loss_end) for r in C.expand(f, C.examples(f)).collect()}
+    assert {(r.conv_id, r.example): (r.context + r.target + C.END, r.loss_start, r.loss_end) for r in got.where("target is not null").collect()} == whole
+    assert {r.conv_id for r in got.where("target is null").collect()} == {4}
+    assert sorted(map(repr, C.expanded_digests(got).collect())) == sorted(map(repr, C.digests(f).collect()))
+    assert C.expanded_digests(C.prefix_targets(frame(spark).limit(0))).count() == 0
+
+
+def test_a_long_conversation_written_out(spark):
+    long = [(1, i, "assistant" if i % 2 else "user", "w" * 50) for i in range(2000)]
+    row = C.expanded_digests(C.prefix_targets(frame(spark, long))).first()
+    assert row.n_turns == 2000 and row.loss_chars == 1000 * 50 and row.n_examples == 1000
