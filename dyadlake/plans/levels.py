@@ -28,8 +28,8 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT p1, p2, table_id, {', '.join(f'round({_pct(c, 'PARTITION BY table_id')}, 9) AS {c}_pct' for c in RANKED)} FROM agg_", also=_PAIRS)
 def pair_table_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """The average-rank share of every column of the pair table among the pairs of its table."""
-    out = table_ranks.average_rank_shares(pairs(spark, d), RANKED, ["p1", "p2"], ["table_id"])
+    """The average-rank share of every column of the pair table among the pairs of its table (of six seats, so fifteen pairs at most)."""
+    out = table_ranks.shares_within(pairs(spark, d), RANKED, ["table_id"], ["p1", "p2"])
     return out.select("p1", "p2", "table_id", *[F.round(f"{c}_pct", 9).alias(f"{c}_pct") for c in RANKED])
 
 
