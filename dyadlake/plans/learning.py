@@ -7,6 +7,7 @@ such hands, and known for two pairs of three. Players stay at one table, and fol
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,8 +38,13 @@ def labelled_hands(spark: SparkSession, d: str) -> DataFrame:
     return files.once(spark, "labelled_hands", d, lambda: _labelled_hands(spark, d))
 
 
+def _named(*names: Iterable[str]) -> list[str]:
+    """The pair-hand columns behind some features: layers that none of them needs aren't joined."""
+    return list(dict.fromkeys("opposite_net_sign" if c == "opposite_net" else c for some in names for c in some))
+
+
 def _labelled_hands(spark: SparkSession, d: str) -> DataFrame:
-    rows = wide.pair_hands(spark, d).withColumn("opposite_net", F.col("opposite_net_sign"))
+    rows = wide.pair_hands(spark, d, only=_named(HAND, MORE, FAMILIES.values())).withColumn("opposite_net", F.col("opposite_net_sign"))
     flags = {k: F.col(c).cast("int") for k, c in FAMILIES.items()}
     some = F.greatest(*flags.values())
     double = [F.col(c).cast("double").alias(c) for c in (*HAND, *MORE)]
@@ -52,7 +58,7 @@ EARLY = ("face_first", "active_last", "acts_sum_s0", "acts_sum_s1", "heads_up_s1
 
 def early_features(spark: SparkSession, d: str) -> DataFrame:
     """hand_id, table_id, p1, p2 and the features of the hands' first two streets, of pairs who both acted there; no later action has a part in them."""
-    rows = wide.pair_hands(spark, d, part="early").withColumn("opposite_net", F.col("opposite_net_sign"))
+    rows = wide.pair_hands(spark, d, part="early", only=_named(HAND, EARLY)).withColumn("opposite_net", F.col("opposite_net_sign"))
     return rows.select("hand_id", "table_id", "p1", "p2", *[F.col(c).cast("double").alias(c) for c in (*HAND, *EARLY)])
 
 
@@ -62,7 +68,7 @@ def foretold_hands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _foretold_hands(spark: SparkSession, d: str) -> DataFrame:
-    late = wide.pair_hands(spark, d, part="late").select("hand_id", "p1", "p2", F.greatest(*FAMILIES.values()).cast("int").alias("evidence"))
+    late = wide.pair_hands(spark, d, part="late", only=_named(FAMILIES.values())).select("hand_id", "p1", "p2", F.greatest(*FAMILIES.values()).cast("int").alias("evidence"))
     rows = early_features(spark, d).join(late, ["hand_id", "p1", "p2"], "left").fillna(0, ["evidence"])
     rows = files.stage(rows.withColumn("fold", F.pmod("table_id", F.lit(FOLDS)).cast("int")))
     return L.out_of_fold(_label(rows, "evidence"), lambda: L.boosted((*HAND, *EARLY)), "fold", FOLDS).withColumnRenamed("p", "hand_p").drop("label")
