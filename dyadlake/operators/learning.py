@@ -28,10 +28,15 @@ def logistic(features: Sequence[str], weight: str | None = None, classes: str =
     return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled"), model])
 
 
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` and its features as ``vector``, for models that are fitted to the same features many times."""
+    return VectorAssembler(inputCols=list(features), outputCol="vector").transform(df)
+
+
 def boosted(features: Sequence[str], weight: str | None = None, seed: int = 7, subset: str = "all") -> Pipeline:
-    """Boosted trees. ``subset``: which share of the features a node chooses from, by the seed."""
+    """Boosted trees. ``subset``: which share of the features a node chooses from, by the seed. Without features the rows' own ``vector`` is taken."""
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=10, maxDepth=3, seed=seed, featureSubsetStrategy=subset, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="vector"), model])
+    return Pipeline(stages=[*([VectorAssembler(inputCols=list(features), outputCol="vector")] if features else []), model])
 
 
 def forest(features: Sequence[str], seed: int = 7) -> Pipeline:

@@ -48,8 +48,8 @@ def _labelled_hands(spark: SparkSession, d: str) -> DataFrame:
     flags = {k: F.col(c).cast("int") for k, c in FAMILIES.items()}
     some = F.greatest(*flags.values())
     double = [F.col(c).cast("double").alias(c) for c in (*HAND, *MORE)]
-    rows = files.stage(rows.select("table_id", "hand_id", "p1", "p2", (F.col("p1") * 1000003 + F.col("p2")).alias("id"), *double, *[c.alias(k) for k, c in flags.items()], some.alias("evidence"), F.pmod("table_id", F.lit(FOLDS)).cast("int").alias("fold")))
-    return L.out_of_fold(_label(rows, "evidence"), lambda: L.boosted((*HAND, *MORE)), "fold", FOLDS).withColumnRenamed("p", "hand_p").drop("label")
+    rows = files.stage(L.assembled(rows.select("table_id", "hand_id", "p1", "p2", (F.col("p1") * 1000003 + F.col("p2")).alias("id"), *double, *[c.alias(k) for k, c in flags.items()], some.alias("evidence"), F.pmod("table_id", F.lit(FOLDS)).cast("int").alias("fold")), (*HAND, *MORE)))
+    return L.out_of_fold(_label(rows, "evidence"), lambda: L.boosted(()), "fold", FOLDS).withColumnRenamed("p", "hand_p").drop("label", "vector")
 
 
 #: What is known of a hand once its second street is over, besides ``HAND``.

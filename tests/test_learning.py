@@ -110,6 +110,24 @@ def test_rounds_score_out_of_fold(spark, monkeypatch):
     assert L.mil_rounds(df, "bag", ["x", "z"], "id", top=3).count() == 120 and len(calls) == 7
 
 
+@pytest.mark.parametrize(("part", "gaps"), [("", True), ("late", False)])
+def test_hands_told_by_seats_alone(spark, small, monkeypatch, part, gaps):
+    """Without cards the same rows as by way of all columns, and no card is valued for them; with ``gaps`` some seats' parts are missing."""
+    monkeypatch.setattr(hands_of, "judged", lambda spark, d, log, part="": hands_of._judged(spark, d, log))
+    if gaps:
+        real = hands_of.T.table
+        monkeypatch.setattr(hands_of.T, "table", lambda s, d, name: real(s, d, name).where("p_partkey % 5 <> 2") if name == "part" else real(s, d, name))
+    made = {}
+    for way, held in (("all", {"net_1"}), ("seats", hands_of.HELD)):
+        monkeypatch.setattr(hands_of, "HELD", held)
+        if way == "seats":
+            monkeypatch.setattr(hands_of, "cards", None)
+        made[way] = hands_of.pair_hands(spark, small, part=part, only=plans._named(plans.HAND, plans.MORE, plans.FAMILIES.values())).cache()
+        assert made[way].count() > 50
+    assert [(f.name, f.dataType) for f in made["all"].schema] == [(f.name, f.dataType) for f in made["seats"].schema]
+    assert made["all"].exceptAll(made["seats"]).count() == 0 == made["seats"].exceptAll(made["all"]).count()
+
+
 def test_early_features_see_no_later_action(spark, small, monkeypatch):
     monkeypatch.setattr(hands_of, "acts", hands_of._acts)
     monkeypatch.setattr(hands_of, "judged", lambda spark, d, log, part="": hands_of._judged(spark, d, log))
