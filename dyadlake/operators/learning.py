@@ -50,8 +50,8 @@ def probability(model: PipelineModel, df: DataFrame, name: str = "p", index: int
     return model.transform(df).select(*kept, vector_to_array("probability")[index].alias(name))
 
 
-def out_of_fold(df: DataFrame, make: Callable[[], Pipeline], fold: str, folds: int, apply_to: DataFrame | None = None) -> DataFrame:
-    """Every row scored by the model fitted without its fold. ``apply_to``: other rows with a fold, scored by the same models. Without two classes to learn from, the score is the share of positives."""
+def out_of_fold(df: DataFrame, make: Callable[[], Pipeline], fold: str, folds: int, apply_to: DataFrame | None = None, before: dict[int, PipelineModel] | None = None) -> DataFrame:
+    """Every row scored by the model fitted without its fold. ``apply_to``: other rows with a fold, scored by the same models. ``before``: keeps, by fold, what was fitted ahead of the last stage, for rounds over the same rows that change labels and weights alone. Without two classes to learn from, the score is the share of positives."""
     target = df if apply_to is None else apply_to
     sizes = {r[fold]: (r.n, r.y) for r in df.groupBy(fold).agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()}  # one row a fold
     parts = []
@@ -59,7 +59,12 @@ def out_of_fold(df: DataFrame, make: Callable[[], Pipeline], fold: str, folds: i
         n, y = (sum(v[i] for f, v in sizes.items() if f != k) for i in (0, 1))
         own = target.where(F.col(fold) == k)
         if 0 < y < n:
-            parts.append(probability(make().fit(df.where(F.col(fold) != k)), own))
+            others, made = df.where(F.col(fold) != k), make()
+            if before is not None:
+                if k not in before:
+                    before[k] = Pipeline(stages=made.getStages()[:-1]).fit(others)
+                made = Pipeline(stages=[before[k], made.getStages()[-1]])
+            parts.append(probability(made.fit(others), own))
         else:  # nothing to learn from: the share of positives, if any row is there
             parts.append(own.drop("p").withColumn("p", F.lit(float(y / n) if n else 0.5)))
     return reduce(DataFrame.unionByName, parts)
@@ -83,13 +88,15 @@ def pu_rounds(df: DataFrame, features: Sequence[str], stages: Sequence[float] =
 
 def mil_rounds(df: DataFrame, bag: str, features: Sequence[str], tie: str, rounds: int = 3, top: int = 8, folds: int = 3, fold: str | None = None) -> DataFrame:
     """Multiple-instance learning: a positive bag's best ``top`` rows are its positives, its others count little; repeated. All scores are of models
-    that saw no row of the bag. ``fold``: a column of folds that holds whole bags (default: by the bag)."""
+    that saw no row of the bag. ``fold``: a column of folds that holds whole bags (default: by the bag). Rounds change labels and weights alone, so medians and scales are worked out once."""
     rows = df.withColumns({"mil_fold": X.fold_of(bag, folds) if fold is None else F.col(fold), "label": F.col("bag_label").cast("double"), "w": F.when(F.col("bag_label") == 1, 0.3).otherwise(1.0)})
-    rows = files.stage(out_of_fold(rows, lambda: logistic(features, "w"), "mil_fold", folds))
+    make = lambda: logistic(features, "w")
+    before: dict[int, PipelineModel] = {}
+    rows = files.stage(out_of_fold(rows, make, "mil_fold", folds, None, before))
     for _ in range(rounds):
         place = F.row_number().over(Window.partitionBy(bag).orderBy(F.desc("p"), tie))
         rows = rows.withColumn("place", place).withColumns({"label": ((F.col("bag_label") == 1) & (F.col("place") <= top)).cast("double"), "w": F.when(F.col("bag_label") == 1, F.when(F.col("place") <= top, 1.0).otherwise(0.2)).otherwise(1.0)}).drop("place", "p")
-        rows = files.stage(out_of_fold(files.stage(rows), lambda: logistic(features, "w"), "mil_fold", folds))
+        rows = files.stage(out_of_fold(files.stage(rows), make, "mil_fold", folds, None, before))
     return rows.drop("label", "w", "mil_fold")
 
 

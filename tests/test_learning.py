@@ -110,6 +110,14 @@ def test_rounds_score_out_of_fold(spark, monkeypatch):
     assert L.mil_rounds(df, "bag", ["x", "z"], "id", top=3).count() == 120 and len(calls) == 7
 
 
+def test_rounds_fit_medians_and_scales_once_for_each_fold(spark, monkeypatch):
+    fits = []
+    real = L.Imputer.fit
+    monkeypatch.setattr(L.Imputer, "fit", lambda self, *a: fits.append(1) or real(self, *a))
+    df = rows(spark, 120).withColumns({"bag": (F.col("id") / 10).cast("int"), "bag_label": ((F.col("id") / 10).cast("int") % 2).cast("int")})
+    assert L.mil_rounds(df, "bag", ["x", "z"], "id", top=3).count() == 120 and len(fits) == 3
+
+
 @pytest.mark.parametrize(("part", "gaps"), [("", True), ("late", False)])
 def test_hands_told_by_seats_alone(spark, small, monkeypatch, part, gaps):
     """Without cards the same rows as by way of all columns, and no card is valued for them; with ``gaps`` some seats' parts are missing."""
