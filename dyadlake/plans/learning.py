@@ -129,9 +129,10 @@ def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 def _two_seeds(rows: DataFrame, features: tuple[str, ...], label: str, weight: Column | None = None) -> DataFrame:
     """``rows`` with ``p``: the mean of two seeds' out-of-fold boosted trees."""
-    rows = files.stage(_label(rows, label).withColumn("w", F.lit(1.0) if weight is None else weight))
+    rows = files.stage(L.assembled(_label(rows, label).withColumn("w", F.lit(1.0) if weight is None else weight), features))
     for seed in (7, 18):
-        rows = files.stage(L.out_of_fold(rows, lambda seed=seed: L.boosted(features, "w", seed, "0.6"), "fold", FOLDS).withColumnRenamed("p", f"p_{seed}"))
+        rows = L.out_of_fold(rows, lambda seed=seed: L.boosted((), "w", seed, "0.6"), "fold", FOLDS).withColumnRenamed("p", f"p_{seed}")
+        rows = files.stage(rows if seed == 7 else rows.drop("vector"))
     return rows.withColumn("p", (F.col("p_7") + F.col("p_18")) / 2).drop("p_7", "p_18", "label", "w")
 
 
