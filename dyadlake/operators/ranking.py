@@ -6,8 +6,11 @@ rows that tie on the score are cut apart by the tie. A few numbers for each grou
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,45 @@ def percent_rank(df: DataFrame, groups: Sequence[str], value: str, name: str, ti
     return tied(df, groups, value, tie).withColumn(name, share).drop(*TIED)
 
 
+def _looked_up(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the other columns of a staged table of these keys, which may be null. A table of up to 200,000 rows goes to every task, so that no key's rows meet in one."""
+    other = table.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return df.join(F.broadcast(other) if table.count() <= 200_000 else other, same).drop(*[f"__k_{k}" for k in keys])
+
+
+def _share_below(low: Column, n: Column) -> Column:
+    return F.coalesce(low / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
+
+
+def percent_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str, few: dict[str, str], ranges: int | None = None) -> DataFrame:
+    """``df``, a stage, with ``name``: the percent rank of a whole number (no nulls) in its group, and those of further columns, ``few``, which have few values in a group. Nothing is staged but counts, and a row is sent once at most.
+
+    Quantiles cut the value's range, so that no part has many rows but one of a single value, and every part's counts give its first rank. Rows are sent to their group and part and ranked there; in parts of a single value the first rank is all rows', so they stay where they are.
+    The quantiles are approximate and only place the cuts: ranks are exact wherever they lie. What ``few`` has is ranked by its values' counts.
+    """
+    ranges = max(2, ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges)).alias("q")).first().q or []  # one row
+    common = {v for v, w in zip(found, found[1:], strict=False) if v == w and abs(v) < 1 << 53}
+    edges = sorted({float(e) for v in found for e in ((v, v + 1) if v in common else (v,))})
+    alone = [k + 1 for k, e in enumerate(edges) if e in common]
+    cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__v", outputCol="__r").transform(df.withColumn("__v", F.col(value).cast("double"))) if edges else df.withColumns({"__v": F.lit(0.0), "__r": F.lit(0.0)})
+    rows = cut.drop("__v").withColumn("__r", F.col("__r").cast("int"))
+    every, earlier = Window.partitionBy(*groups), lambda c: Window.partitionBy(*groups).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+
+    def firsts(of: DataFrame, c: str) -> DataFrame:
+        counts = of.groupBy(*groups, c).agg(F.count("*").alias("__n"))
+        return files.stage(counts.select(*groups, c, F.coalesce(F.sum("__n").over(earlier(c)), F.lit(0)).alias("__low"), F.sum("__n").over(every).alias("__all")))
+
+    within = F.rank().over(Window.partitionBy(*groups, "__r").orderBy(value)) - 1
+    single = F.col("__r").isin(alone)
+    out = rows.where(~single).withColumn("__in", within).unionByName(rows.where(single).withColumn("__in", F.lit(0)))
+    out = _looked_up(out, firsts(rows, "__r"), [*groups, "__r"]).withColumn(name, _share_below(F.col("__low") + F.col("__in"), F.col("__all"))).drop("__r", "__in", "__low", "__all")
+    for c, rank in few.items():
+        out = _looked_up(out, firsts(df, c), [*groups, c]).withColumn(rank, _share_below(F.col("__low"), F.col("__all"))).drop("__low", "__all")
+    return out
+
+
 def average_rank_share(df: DataFrame, groups: Sequence[str], value: str, name: str, tie: str) -> DataFrame:
     """``df`` with ``name``: average rank over the rows of its group, for groups of any size, without nulls."""
     share = (F.col("__low") + (F.col("__ties") + 1) / 2) / F.col("__all")

@@ -23,7 +23,8 @@ from dyadlake.sources import tables as T
 )
 def pool_pair_features(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: what each pair of each table moved between its members, how one-sidedly, and its rank in the table."""
-    return B.pool_features(T.pair_hands(spark, d))
+    seats = T.seats(spark, d, by_hand=True)
+    return B.pool_features(P.in_one_pass(seats, "hand_id", "player_id", ["net", "folded"]).join(T.hands(spark, d), "hand_id"))
 
 
 _POLICY = "policy AS (SELECT table_id, lines, sum(folded) s, count(*) n FROM seated GROUP BY 1, 2), prior AS (SELECT lines, sum(folded) / count(*) p FROM seated GROUP BY 1)"
