@@ -127,11 +127,11 @@ def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
     return _scored(rows, _logit()).select("p1", "p2", "known", "truth", F.round("p", 6).alias("p"))
 
 
-def _two_seeds(rows: DataFrame, features: tuple[str, ...], label: str, weight: Column | None = None) -> DataFrame:
-    """``rows`` with ``p``: the mean of two seeds' out-of-fold boosted trees."""
+def _two_seeds(rows: DataFrame, features: tuple[str, ...], label: str, weight: Column | None = None, among: str = "true") -> DataFrame:
+    """``rows`` with ``p``: the mean of two seeds' out-of-fold boosted trees, fitted to the rows ``among`` which a condition holds."""
     rows = files.stage(L.assembled(_label(rows, label).withColumn("w", F.lit(1.0) if weight is None else weight), features))
     for seed in (7, 18):
-        rows = L.out_of_fold(rows, lambda seed=seed: L.boosted((), "w", seed, "0.6"), "fold", FOLDS).withColumnRenamed("p", f"p_{seed}")
+        rows = L.out_of_fold(rows.where(among), lambda seed=seed: L.boosted((), "w", seed, "0.6"), "fold", FOLDS, rows).withColumnRenamed("p", f"p_{seed}")
         rows = files.stage(rows if seed == 7 else rows.drop("vector"))
     return rows.withColumn("p", (F.col("p_7") + F.col("p_18")) / 2).drop("p_7", "p_18", "label", "w")
 
@@ -142,12 +142,12 @@ def _known_hands(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hand_ranker_oof(spark: SparkSession, d: str) -> DataFrame:
-    """Every hand of a known pair scored without its table, the mean of two seeds: as evidence, by trees fitted to the hands of positive pairs, and as a hand of a positive pair, those weighing 8."""
-    rows = files.stage(_known_hands(spark, d))
-    suspect = _two_seeds(rows, HAND, "known", F.when(F.col("known") == 1, 8.0).otherwise(1.0)).select("p1", "p2", "hand_id", F.col("p").alias("suspicion"))
-    fit = _label(rows.where("known = 1"), "evidence")
-    p = L.out_of_fold(fit, lambda: L.boosted(HAND, None, 7, "0.6"), "fold", FOLDS, rows)
-    return p.join(suspect, ["p1", "p2", "hand_id"]).select("table_id", "p1", "p2", "hand_id", "fold", "known", "evidence", F.round("p", 6).alias("p"), F.round("suspicion", 6).alias("suspicion"))
+    """Every hand of a known pair scored without its table, twice, by the mean of two seeds' trees. ``p``: as evidence, by trees fitted to the hands of positive pairs.
+    ``suspicion``: as a positive pair's evidence among the hands of all known pairs, to which the trees are fitted; such evidence weighs 8."""
+    rows = _two_seeds(_known_hands(spark, d), HAND, "evidence", among="known = 1").withColumnRenamed("p", "as_evidence")
+    found = F.col("known") * F.col("evidence")
+    rows = _two_seeds(rows.withColumn("found", found), HAND, "found", F.when(found == 1, 8.0).otherwise(1.0))
+    return rows.select("table_id", "p1", "p2", "hand_id", "fold", "known", "evidence", F.round("as_evidence", 6).alias("p"), F.round("p", 6).alias("suspicion"))
 
 
 def _stage_one(spark: SparkSession, d: str) -> DataFrame:

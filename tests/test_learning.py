@@ -79,6 +79,25 @@ def test_tables_are_left_out_whole(spark, small):
     assert hands.where(F.col("fold") != F.col("table_id") % plans.FOLDS).count() == 0
 
 
+def test_hand_ranker_takes_two_seeds_of_both_models_and_evidence_as_the_label_of_both(spark, small, monkeypatch):
+    fits = []
+    hands = plans._known_hands(spark, small).select("p1", "p2", "hand_id", "known", "evidence").cache()
+    monkeypatch.setattr(L, "boosted", lambda features, weight=None, seed=7, subset="all": (weight, seed))
+
+    def scored(df, make, fold, folds, apply_to=None, before=None):
+        fits.append((make(), {tuple(r) for r in df.groupBy("known", "evidence", "label", "w").count().collect()}))
+        return (df if apply_to is None else apply_to).withColumn("p", F.lit(make()[1] / 100) + F.col("w") / 1000)
+
+    monkeypatch.setattr(L, "out_of_fold", scored)
+    out = registry.QUERIES["hand_ranker_oof"](spark, small)
+    n = {(r.known, r.evidence): r["count"] for r in hands.groupBy("known", "evidence").count().collect()}
+    assert len(n) == 4  # positive and negative pairs have hands of both kinds
+    own = {(1, e, float(e), 1.0, n[1, e]) for e in (0, 1)}
+    every = {(k, e, float(k * e), 8.0 if k * e else 1.0, n[k, e]) for k, e in n}
+    assert fits == [(("w", 7), own), (("w", 18), own), (("w", 7), every), (("w", 18), every)]
+    assert out.count() == hands.count() and out.where("p = 0.126 and suspicion = IF(known * evidence = 1, 0.133, 0.126)").count() == hands.count()
+
+
 def test_no_feature_is_a_label_or_made_of_one(spark, small):
     assert not set(plans.FAMILIES.values()) & {*plans.HAND, *plans.MORE}
     made = {c for f in ("interaction", "outsiders", "anatomy", "notebook", "residuals", "heuristics", "strength", "made") for c in wide.FAMILIES[f]} - {"opposite_net"}
